@@ -1,10 +1,11 @@
 """Ordered operators on groups of any size: average ranks, positions, running minima, quantiles.
 
 A window over one group sorts that group in one task, and the exact percentile aggregate holds all
-distinct values of a group in one buffer. Both fail when one group has a third of all rows. Here the
-rows are range-partitioned by (group, value, tie-break), so a large group is spread over many pieces;
-windows run inside a (group, piece), and per-piece totals -- at most one row per group and partition --
-carry positions and ties from piece to piece.
+distinct values of a group in one buffer. Both fail when one group has a third of all rows. The input is
+therefore stored and counted first. Up to ``SMALL_ROWS`` rows in all, a plain window or ``percentile`` is
+the best plan. Beyond that the rows are range-partitioned by (group, value, tie-break), so a large group
+is spread over many pieces; windows run inside a (group, piece), and per-piece totals -- at most one row
+per group and partition -- carry positions and ties from piece to piece. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,20 +14,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lesionlens.session import materialize
 
+SMALL_ROWS = 1_000_000
 PIECE = "_piece"
+UP = Window.unboundedPreceding
+DOWN = Window.unboundedFollowing
+
+
+def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+
+
+def _is_small(df: DataFrame) -> bool:
+    return df.count() <= SMALL_ROWS
 
 
 def _pieces(df: DataFrame, keys: list[str]) -> DataFrame:
     """Range-partition by ``keys`` and fix the partition number as a column.
 
-    The result is written, so that both readers below see the same ranges even if executors are lost.
+    The result is written, so that all its readers see the same ranges even if executors are lost.
     """
     ranged = df.repartitionByRange(*keys).withColumn(PIECE, F.spark_partition_id())
     return materialize(ranged, "ranged")
 
 
-def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+def _upto_and_same(df: DataFrame, part: list[str], value: str, w: Column, weighted: bool) -> DataFrame:
+    """Weight up to and including a row's value, and of the value itself, inside ``part``."""
+    along = Window.partitionBy(*part).orderBy(value)
+    df = df.withColumn("_upto", F.sum(w).over(along.rangeBetween(UP, 0)))
+    if weighted:
+        return df.withColumn("_same", F.sum(w).over(Window.partitionBy(*part, value)))
+    return df.withColumn("_same", F.col("_upto") - F.rank().over(along) + 1)
 
 
 def ranked(
@@ -45,13 +62,19 @@ def ranked(
     """
     df, group = _grouped(df.where(F.col(value).isNotNull()), list(by))
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
-    rows = _pieces(df, [*group, value, *tiebreak])
-
-    in_piece = Window.partitionBy(*group, PIECE)
-    local = rows.withColumn(
-        "_upto", F.sum(w).over(in_piece.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_same", F.sum(w).over(Window.partitionBy(*group, PIECE, value)))
+    weighted = weight is not None
+    rows = materialize(df, "rows")
+    if _is_small(rows):
+        return (
+            _upto_and_same(rows, group, value, w, weighted)
+            .withColumn("total", F.sum(w).over(Window.partitionBy(*group)))
+            .withColumn("before", F.col("_upto") - F.col("_same"))
+            .withColumn("ties", F.col("_same"))
+            .drop("_all", "_upto", "_same")
+        )
 
+    rows = _pieces(rows, [*group, value, *tiebreak])
+    local = _upto_and_same(rows, [*group, PIECE], value, w, weighted)
     # one row per (group, piece): weight and the two edge values, the only ones shared with neighbours
     edges = (
         rows.groupBy(*group, PIECE, F.col(value).alias("_v"))
@@ -67,20 +90,11 @@ def ranked(
     same = Window.partitionBy(*group, "_e._v").orderBy(PIECE)
     zero = F.lit(0)
     carry = (
-        edges.withColumn(
-            "_prior",
-            F.coalesce(F.sum("_w").over(along.rowsBetween(Window.unboundedPreceding, -1)), zero),
-        )
+        edges.withColumn("_prior", F.coalesce(F.sum("_w").over(along.rowsBetween(UP, -1)), zero))
         .withColumn("_total", F.sum("_w").over(Window.partitionBy(*group)))
         .withColumn("_e", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
-        .withColumn(
-            "_earlier",
-            F.coalesce(F.sum("_e._n").over(same.rowsBetween(Window.unboundedPreceding, -1)), zero),
-        )
-        .withColumn(
-            "_later",
-            F.coalesce(F.sum("_e._n").over(same.rowsBetween(1, Window.unboundedFollowing)), zero),
-        )
+        .withColumn("_earlier", F.coalesce(F.sum("_e._n").over(same.rowsBetween(UP, -1)), zero))
+        .withColumn("_later", F.coalesce(F.sum("_e._n").over(same.rowsBetween(1, DOWN)), zero))
         .groupBy(*group, PIECE)
         .agg(
             F.first("_prior").alias("_prior"),
@@ -95,9 +109,9 @@ def ranked(
     at_hi = F.when(F.col(value) == F.col("_vhi"), F.col("_later")).otherwise(zero)
     return (
         local.join(carry, [*group, PIECE])
+        .withColumn("total", F.col("_total"))
         .withColumn("before", F.col("_prior") - at_lo + F.col("_upto") - F.col("_same"))
         .withColumn("ties", F.col("_same") + at_lo + at_hi)
-        .withColumn("total", F.col("_total"))
         .drop(
             PIECE, "_all", "_upto", "_same", "_prior", "_total", "_vlo", "_vhi", "_earlier", "_later"
         )
@@ -135,20 +149,23 @@ def suffix_min(
     ``order`` must be unique per group: rows before a row do not count, even with equal first column.
     """
     df, group = _grouped(df, list(by))
-    rows = _pieces(df, [*group, *order])
-    down = Window.partitionBy(*group, PIECE).orderBy(*[F.col(c).desc() for c in order])
-    local = rows.withColumn(
-        "_here", F.min(value).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    later = Window.partitionBy(*group).orderBy(F.col(PIECE).desc())
+    rows = materialize(df, "rows")
+    down = [F.col(c).desc() for c in order]
+    if _is_small(rows):
+        whole = Window.partitionBy(*group).orderBy(*down).rowsBetween(UP, 0)
+        return rows.withColumn(out, F.min(value).over(whole)).drop("_all")
+    rows = _pieces(rows, [*group, *order])
+    inside = Window.partitionBy(*group, PIECE).orderBy(*down).rowsBetween(UP, 0)
+    later = Window.partitionBy(*group).orderBy(F.col(PIECE).desc()).rowsBetween(UP, -1)
     carry = (
         rows.groupBy(*group, PIECE)
         .agg(F.min(value).alias("_min"))
-        .withColumn("_after", F.min("_min").over(later.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("_after", F.min("_min").over(later))
         .drop("_min")
     )
     return (
-        local.join(carry, [*group, PIECE])
+        rows.withColumn("_here", F.min(value).over(inside))
+        .join(carry, [*group, PIECE])
         .withColumn(out, F.least("_here", "_after"))
         .drop(PIECE, "_all", "_here", "_after")
     )
@@ -167,27 +184,35 @@ def quantiles(
     A quantile needs the values at two positions; they are picked by position out of the ranked rows.
     Groups without a value are absent. ``count`` names a column for the group size.
     """
-    r = ranked(df.select(*by, value, *[c for c in tiebreak if c not in (*by, value)]), by, value, tiebreak)
+    names, qs = list(probabilities), [float(q) for q in probabilities.values()]
+    extra = [c for c in dict.fromkeys(tiebreak) if c not in (*by, value)]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), *extra)
+    rows = materialize(rows, "values")
+    keep = [F.col(count)] if count else []
+    if _is_small(rows):
+        aggs = [F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q")]
+        if count:
+            aggs.append(F.count(value).alias(count))
+        picked = rows.groupBy(*by).agg(*aggs)
+        if not by:
+            picked = picked.where(F.col("_q").isNotNull())
+        return picked.select(*by, *keep, *[F.col("_q")[k].alias(n) for k, n in enumerate(names)])
+
     aggs, outs, wanted = [], [], F.lit(False)
-    for k, (name, q) in enumerate(probabilities.items()):
-        at = (F.col("total") - 1) * F.lit(float(q))
+    first, last = F.col("before"), F.col("before") + F.col("ties")
+    for k, (name, q) in enumerate(zip(names, qs)):
+        at = (F.col("total") - 1) * F.lit(q)
         low, high = F.floor(at), F.ceil(at)
-        hit_low = (F.col("before") <= low) & (low < F.col("before") + F.col("ties"))
-        hit_high = (F.col("before") <= high) & (high < F.col("before") + F.col("ties"))
+        hit_low = (first <= low) & (low < last)
+        hit_high = (first <= high) & (high < last)
         wanted = wanted | hit_low | hit_high
         aggs += [
-            F.max(F.when(hit_low, F.col(value))).cast("double").alias(f"_l{k}"),
-            F.max(F.when(hit_high, F.col(value))).cast("double").alias(f"_h{k}"),
+            F.max(F.when(hit_low, F.col(value))).alias(f"_l{k}"),
+            F.max(F.when(hit_high, F.col(value))).alias(f"_h{k}"),
             F.max(at - low).alias(f"_f{k}"),
         ]
         outs.append((F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).alias(name))
-    keep = [F.col(count)] if count else []
     if count:
         aggs.append(F.max("total").alias(count))
-    return r.where(wanted).groupBy(*by).agg(*aggs).select(*by, *keep, *outs)
-
-
-def medians(
-    df: DataFrame, by: list[str], value: str, out: str = "median", tiebreak: list[str] = ()
-) -> DataFrame:
-    return quantiles(df, by, value, {out: 0.5}, tiebreak)
+    picked = ranked(rows, by, value, extra).where(wanted).groupBy(*by).agg(*aggs)
+    return picked.select(*by, *keep, *outs)
