@@ -60,14 +60,23 @@ def spearman(
     return out.withColumn("p_value", correlation_p_value(F.col("rho"), F.col("n") - 2)) if p_value else out
 
 
-def _partial(r: dict[tuple[int, int], Column], a: int, b: int, given: tuple[int, ...]) -> Column:
-    """Partial correlation of variables a and b by the recursion over the controls."""
-    if not given:
-        return r[min(a, b), max(a, b)]
-    z, rest = given[-1], given[:-1]
-    ab, az, bz = _partial(r, a, b, rest), _partial(r, a, z, rest), _partial(r, b, z, rest)
-    left = (1 - az * az) * (1 - bz * bz)
-    return F.when((1 - az * az >= SINGULAR) & (1 - bz * bz >= SINGULAR), (ab - az * bz) / F.sqrt(left))
+def _condition(df: DataFrame, variables: int) -> DataFrame:
+    """Add p<j>_<a>_<b>, the correlation of a and b given the first j controls (variables 2, 3, ...).
+
+    One projection per control, so that no expression is written out more than once.
+    """
+    for j in range(variables - 2):
+        z, left = 2 + j, [0, 1, *range(3 + j, variables)]
+        r = {v: F.col(f"p{j}_{min(v, z)}_{max(v, z)}") for v in left}
+        free = {v: 1 - r[v] * r[v] for v in left}
+        df = df.withColumns({
+            f"p{j + 1}_{a}_{b}": F.when(
+                (free[a] >= SINGULAR) & (free[b] >= SINGULAR),
+                (F.col(f"p{j}_{a}_{b}") - r[a] * r[b]) / F.sqrt(free[a] * free[b]),
+            )
+            for a, b in combinations(left, 2)
+        })
+    return df
 
 
 def _partial_rho(
@@ -98,17 +107,14 @@ def _partial_rho(
         F.sum("_w").cast("bigint").alias("n"),
         *[F.sum(F.col("_w") * F.col(f"_c{a}") * F.col(f"_c{b}")).alias(f"_s{a}_{b}") for a, b in pairs],
     )
-    r = {
-        (a, b): F.try_divide(F.col(f"_s{a}_{b}"), F.sqrt(F.col(f"_s{a}_{a}")) * F.sqrt(F.col(f"_s{b}_{b}")))
+    r = sums.withColumns({
+        f"p0_{a}_{b}": F.try_divide(F.col(f"_s{a}_{b}"), F.sqrt(F.col(f"_s{a}_{a}")) * F.sqrt(F.col(f"_s{b}_{b}")))
         for a, b in combinations(range(most), 2)
-    }
-    rho = F.lit(None).cast("double")
-    controls = F.lit(None).cast("int")
-    for label, cols in variables.items():
-        mine = F.col("label") == label
-        rho = F.when(mine, _partial(r, 0, 1, tuple(range(2, len(cols))))).otherwise(rho)
-        controls = F.when(mine, F.lit(len(cols) - 2)).otherwise(controls)
-    return sums.select(*key, "n", controls.alias("n_controls"), rho.alias("partial_rho"))
+    })
+    given = F.create_map(*[F.lit(v) for label, cols in variables.items() for v in (label, len(cols) - 2)])
+    r = _condition(r, most).withColumn("n_controls", F.element_at(given, F.col("label")))
+    rho = F.coalesce(*[F.when(F.col("n_controls") == j, F.col(f"p{j}_0_1")) for j in range(most - 1)])
+    return r.select(*key, "n", "n_controls", rho.alias("partial_rho"))
 
 
 def partial_spearman(

@@ -67,9 +67,9 @@ def chunk_multiplicities(
 
 
 def _chunked(df: DataFrame, by: list[str], order: str) -> tuple[DataFrame, list[str]]:
-    group = list(by) or ["_all"]
+    group = list(by) or ["_one"]
     if not by:
-        df = df.withColumn("_all", F.lit(0))
+        df = df.withColumn("_one", F.lit(0))
     rows = row_position(df, group, order, "_ordinal")
     return rows.withColumn("_chunk", F.floor((F.col("_ordinal") - 1) / F.lit(CHUNK)).cast("int")), group
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lesionlens.plans import catalog_voxel
+from lesionlens.plans import catalog_case, catalog_checks, catalog_voxel
 
-QUERIES = {**catalog_voxel.QUERIES}
-ORACLES = {**catalog_voxel.ORACLES}
+QUERIES = {**catalog_voxel.QUERIES, **catalog_case.QUERIES, **catalog_checks.QUERIES}
+ORACLES = {**catalog_voxel.ORACLES, **catalog_case.ORACLES, **catalog_checks.ORACLES}
