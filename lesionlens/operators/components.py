@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lesionlens.operators.lookup import lookup
 from lesionlens.session import materialize
 
 AXES = ("z", "y", "x")
@@ -77,8 +78,10 @@ def _label_tiles(group: np.ndarray, zyx: np.ndarray, bits: np.ndarray, tile: int
     out = np.full((n, n_masks), -1, dtype=np.int64)
     for k in range(n_masks):
         on = (both >> k) & 1 == 1
-        inside = (bits >> k) & 1 == 1
-        out[inside, k] = _min_labels(n, a[on], b[on])[inside]
+        inside = np.flatnonzero((bits >> k) & 1)
+        place = np.zeros(n, dtype=np.int64)
+        place[inside] = np.arange(inside.size)
+        out[inside, k] = inside[_min_labels(inside.size, place[a[on]], place[b[on]])]
     return out
 
 
@@ -292,7 +295,8 @@ def min_size_filter(comp: DataFrame, keys: list[str], min_voxels: int) -> DataFr
     if min_voxels <= 1:
         return comp
     kept = component_sizes(comp, keys).where(F.col("size") >= min_voxels).select(*keys, "comp")
-    return comp.join(kept, [*keys, "comp"], "left_semi")
+    # a component may hold most voxels of a case: split its rows by position
+    return lookup(comp, kept, [*keys, "comp"], list(AXES), how="left_semi")
 
 
 def lesion_match(pred: DataFrame, ref: DataFrame, keys: list[str], cases: DataFrame | None = None) -> DataFrame:

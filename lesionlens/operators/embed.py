@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lesionlens.operators.lookup import with_scalars
 from lesionlens.operators.ordered import quantiles
+from lesionlens.session import materialize
 
 
 def impute_median(df: DataFrame, columns: list[str], case: str = "case_id") -> DataFrame:
@@ -37,6 +38,7 @@ def pca(df: DataFrame, columns: list[str], k: int = 10, case: str = "case_id") -
     """
     k = min(k, len(columns))
     rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(df).select(case, "_x")
+    rows = materialize(rows, "vectors")  # read by the fit and by the scores
     model = PCA(k=k, inputCol="_x", outputCol="_p").fit(rows)
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]

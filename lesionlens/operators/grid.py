@@ -130,9 +130,9 @@ def evaluate_points(
 
     ``points``: (held_out_fold, threshold, min_voxels), one row per fold. ``keys`` include ``fold``.
     """
-    own = points.select(
+    own = materialize(points.select(
         F.col("held_out_fold").alias(fold), F.col("threshold").alias("_t"), F.col("min_voxels").alias("_s")
-    )
+    ), "points")
     df = lookup(vox, own, [fold], [k for k in keys if k != fold] + ["z", "y", "x"])
     base_t, base_m = baseline
     flags = _base_flags(ref)

@@ -81,13 +81,13 @@ def table_digest(df: DataFrame, digest: str = "sha256") -> DataFrame:
 
 
 def label_domain(labels: DataFrame, keys: list[str], lab: str, allowed: tuple[int, ...] = ALLOWED_LABELS) -> DataFrame:
-    """(keys, labels, n_labels, valid): sorted distinct labels per case; labels are small integers.
+    """(keys, labels, n_labels, valid): sorted distinct labels per case; labels are 16-bit integers.
 
     Distinct (case, label) rows are formed first, so the collected sets hold at most one entry per label.
     """
-    pairs = labels.select(*keys, F.col(lab).cast("int").alias("_l")).distinct()
+    pairs = labels.select(*keys, F.col(lab).cast("smallint").alias("_l")).distinct()
     out = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list("_l")).alias("labels"))
-    bad = F.size(F.array_except("labels", F.array(*[F.lit(a) for a in allowed])))
+    bad = F.size(F.array_except("labels", F.array(*[F.lit(a).cast("smallint") for a in allowed])))
     return out.select(*keys, "labels", F.size("labels").alias("n_labels"), (bad == 0).alias("valid"))
 
 

@@ -24,8 +24,12 @@ def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def _is_small(df: DataFrame) -> bool:
-    return df.count() <= SMALL_ROWS
+def stored(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` and a bound on its number of rows; stored and counted unless the caller knows the bound."""
+    if rows is not None:
+        return df, rows
+    df = materialize(df, "rows")
+    return df, df.count()
 
 
 def _pieces(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,32 +56,34 @@ def ranked(
     value: str,
     tiebreak: list[str] = (),
     weight: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``before``, ``ties`` and ``total`` to every row with a value.
 
     ``before`` is the weight of the rows of the group with a smaller value, ``ties`` the weight of
     those with the same value (itself included), ``total`` the weight of the group. Rows with a NULL
     value are dropped. ``tiebreak`` columns only spread equal values over partitions, they do not
-    influence the result; ``by`` columns must not be NULL.
+    influence the result; ``by`` columns must not be NULL. ``rows`` is a known bound on the number of
+    rows of a ``df`` that is already stored or cheap to read twice.
     """
     df, group = _grouped(df.where(F.col(value).isNotNull()), list(by))
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     weighted = weight is not None
-    rows = materialize(df, "rows")
-    if _is_small(rows):
+    df, n = stored(df, rows)
+    if n <= SMALL_ROWS:
         return (
-            _upto_and_same(rows, group, value, w, weighted)
+            _upto_and_same(df, group, value, w, weighted)
             .withColumn("total", F.sum(w).over(Window.partitionBy(*group)))
             .withColumn("before", F.col("_upto") - F.col("_same"))
             .withColumn("ties", F.col("_same"))
             .drop("_all", "_upto", "_same")
         )
 
-    rows = _pieces(rows, [*group, value, *tiebreak])
-    local = _upto_and_same(rows, [*group, PIECE], value, w, weighted)
+    pieces = _pieces(df, [*group, value, *tiebreak])
+    local = _upto_and_same(pieces, [*group, PIECE], value, w, weighted)
     # one row per (group, piece): weight and the two edge values, the only ones shared with neighbours
     edges = (
-        rows.groupBy(*group, PIECE, F.col(value).alias("_v"))
+        pieces.groupBy(*group, PIECE, F.col(value).alias("_v"))
         .agg(F.sum(w).alias("_n"))
         .groupBy(*group, PIECE)
         .agg(
@@ -125,16 +131,19 @@ def average_rank(
     tiebreak: list[str] = (),
     weight: str | None = None,
     out: str = "avg_rank",
+    rows: int | None = None,
 ) -> DataFrame:
     """Ranks 1..n per group, equal values sharing the mean rank; frequency-weighted with ``weight``."""
     rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
-    return ranked(df, by, value, tiebreak, weight).withColumn(out, rank).drop("before", "ties", "total")
+    return ranked(df, by, value, tiebreak, weight, rows).withColumn(out, rank).drop("before", "ties", "total")
 
 
-def row_position(df: DataFrame, by: list[str], order: str, out: str = "ordinal") -> DataFrame:
+def row_position(
+    df: DataFrame, by: list[str], order: str, out: str = "ordinal", rows: int | None = None
+) -> DataFrame:
     """1-based position of each row in its group by a unique ``order`` column, plus group size ``n``."""
     return (
-        ranked(df, by, order)
+        ranked(df, by, order, rows=rows)
         .withColumn(out, (F.col("before") + 1).cast("bigint"))
         .withColumnRenamed("total", "n")
         .drop("before", "ties")
@@ -142,29 +151,29 @@ def row_position(df: DataFrame, by: list[str], order: str, out: str = "ordinal")
 
 
 def suffix_min(
-    df: DataFrame, by: list[str], order: list[str], value: str, out: str = "suffix_min"
+    df: DataFrame, by: list[str], order: list[str], value: str, out: str = "suffix_min", rows: int | None = None
 ) -> DataFrame:
     """Per row the minimum of ``value`` over its group from this row on, in the order of ``order``.
 
     ``order`` must be unique per group: rows before a row do not count, even with equal first column.
     """
     df, group = _grouped(df, list(by))
-    rows = materialize(df, "rows")
+    df, n = stored(df, rows)
     down = [F.col(c).desc() for c in order]
-    if _is_small(rows):
+    if n <= SMALL_ROWS:
         whole = Window.partitionBy(*group).orderBy(*down).rowsBetween(UP, 0)
-        return rows.withColumn(out, F.min(value).over(whole)).drop("_all")
-    rows = _pieces(rows, [*group, *order])
+        return df.withColumn(out, F.min(value).over(whole)).drop("_all")
+    pieces = _pieces(df, [*group, *order])
     inside = Window.partitionBy(*group, PIECE).orderBy(*down).rowsBetween(UP, 0)
     later = Window.partitionBy(*group).orderBy(F.col(PIECE).desc()).rowsBetween(UP, -1)
     carry = (
-        rows.groupBy(*group, PIECE)
+        pieces.groupBy(*group, PIECE)
         .agg(F.min(value).alias("_min"))
         .withColumn("_after", F.min("_min").over(later))
         .drop("_min")
     )
     return (
-        rows.withColumn("_here", F.min(value).over(inside))
+        pieces.withColumn("_here", F.min(value).over(inside))
         .join(carry, [*group, PIECE])
         .withColumn(out, F.least("_here", "_after"))
         .drop(PIECE, "_all", "_here", "_after")
@@ -178,6 +187,7 @@ def quantiles(
     probabilities: dict[str, float],
     tiebreak: list[str] = (),
     count: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: one column per entry of ``probabilities``.
 
@@ -186,14 +196,14 @@ def quantiles(
     """
     names, qs = list(probabilities), [float(q) for q in probabilities.values()]
     extra = [c for c in dict.fromkeys(tiebreak) if c not in (*by, value)]
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), *extra)
-    rows = materialize(rows, "values")
+    df = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), *extra)
+    df, n = stored(df, rows)
     keep = [F.col(count)] if count else []
-    if _is_small(rows):
+    if n <= SMALL_ROWS:
         aggs = [F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q")]
         if count:
             aggs.append(F.count(value).alias(count))
-        picked = rows.groupBy(*by).agg(*aggs)
+        picked = df.groupBy(*by).agg(*aggs)
         if not by:
             picked = picked.where(F.col("_q").isNotNull())
         return picked.select(*by, *keep, *[F.col("_q")[k].alias(n) for k, n in enumerate(names)])
@@ -214,5 +224,5 @@ def quantiles(
         outs.append((F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).alias(name))
     if count:
         aggs.append(F.max("total").alias(count))
-    picked = ranked(rows, by, value, extra).where(wanted).groupBy(*by).agg(*aggs)
+    picked = ranked(df, by, value, extra, rows=n).where(wanted).groupBy(*by).agg(*aggs)
     return picked.select(*by, *keep, *outs)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lesionlens.functions.fixed import FAILURE_PERCENTILES, REPLICATES_SHORT, SEED
 from lesionlens.functions.scalars import norm_missing
 from lesionlens.functions.tails import chi2_p_value, correlation_p_value, normal_p_value
-from lesionlens.operators.ordered import quantiles, ranked, suffix_min
-from lesionlens.operators.resample import bootstrap_weights, percentile_interval
+from lesionlens.operators.ordered import quantiles, ranked, stored, suffix_min
+from lesionlens.operators.resample import CHUNK, bootstrap_weights, chunk_multiplicities, percentile_interval
 
 SINGULAR = 1e-12
+BLOCK_ROWS = 100_000
 
 
 def _long(df: DataFrame, keep: list, columns: list[str], name: str, value: str = "_v") -> DataFrame:
@@ -49,8 +52,9 @@ def spearman(
     ])
     rows = df.select(case, F.inline(pairs)).dropna(subset=["_x", "_y"])
     by = ["feature", "outcome"]
-    rows = ranked(rows, by, "_x", [case]).withColumn("_rx", centred_rank()).drop("before", "ties", "total")
-    rows = ranked(rows, by, "_y", [case]).withColumn("_ry", centred_rank())
+    rows, n = stored(rows)
+    rows = ranked(rows, by, "_x", [case], rows=n).withColumn("_rx", centred_rank()).drop("before", "ties", "total")
+    rows = ranked(rows, by, "_y", [case], rows=n).withColumn("_ry", centred_rank())
     out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.try_divide(
@@ -146,11 +150,77 @@ def bootstrap_partial_spearman(
     df: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], strata: list[str],
     case: str = "case_id", replicates: int = REPLICATES_SHORT, salt: int = SEED,
 ) -> DataFrame:
-    """(label, ci_low, ci_high): rows resampled within strata, missing dropped after, ranks anew each time."""
+    """(label, ci_low, ci_high): rows resampled within strata, missing dropped after, ranks anew each time.
+
+    Up to ``BLOCK_ROWS`` cases a task takes all of them and some replicates. Beyond that the replicate
+    is part of the ranking key and no task sees all cases. Both ways draw the same rows.
+    """
     used = list(dict.fromkeys(c for h in hypotheses for c in (h[1], h[2], *h[3])))
-    keep = df.select(case, *strata, *[c for c in used if c not in strata])
-    drawn = bootstrap_weights(keep, strata, case, replicates, salt)
-    return percentile_interval(_partial_rho(drawn, hypotheses, case, ["replicate"], "w"), ["label"], "partial_rho")
+    keep, n = stored(df.select(case, *strata, *[norm_missing(c).alias(c) for c in used if c not in strata]))
+    if n <= BLOCK_ROWS:
+        samples = _replicate_blocks(keep, hypotheses, strata, case, replicates, salt)
+    else:
+        drawn = bootstrap_weights(keep, strata, case, replicates, salt)
+        samples = _partial_rho(drawn, hypotheses, case, ["replicate"], "w")
+    return percentile_interval(samples, ["label"], "partial_rho")
+
+
+def _replicate_blocks(
+    keep: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], strata: list[str],
+    case: str, replicates: int, salt: int,
+) -> DataFrame:
+    """(label, replicate, partial_rho) with the replicates spread over tasks, for a checked number of cases."""
+    tasks = max(1, min(replicates, 64))  # every task gets the whole, bounded table
+    copies = keep.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*strata, case]).reset_index(drop=True)
+        mine = np.arange(1 + int(pdf["_task"].iloc[0]), replicates + 1, tasks)
+        times = np.zeros((len(mine), len(pdf)), dtype=np.int64)
+        for rows in pdf.groupby(strata, dropna=False).indices.values() if strata else [np.arange(len(pdf))]:
+            for chunk in range(-(-len(rows) // CHUNK)):
+                drawn = chunk_multiplicities(len(rows), chunk, replicates, salt, only=mine)
+                at = rows[chunk * CHUNK : (chunk + 1) * CHUNK]
+                done = 0
+                for b, t in drawn:
+                    times[done : done + len(b), at] = t
+                    done += len(b)
+        parts = []
+        for label, feature, outcome, controls in hypotheses:
+            x = pdf[[feature, outcome, *controls]].to_numpy(float)
+            full = ~np.isnan(x).any(axis=1)
+            rho = weighted_partial_rho(x[full], times[:, full])
+            parts.append(pd.DataFrame({"label": label, "replicate": mine.astype("int32"), "partial_rho": rho}))
+        return pd.concat(parts, ignore_index=True)
+
+    return copies.groupBy("_task").applyInPandas(kernel, "label string, replicate int, partial_rho double")
+
+
+def weighted_partial_rho(x: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Partial rank correlation of columns 0 and 1 given the others, one value per row of weights."""
+    total = times.sum(axis=1, keepdims=True)
+    centred = []
+    for v in x.T:
+        order = np.argsort(v, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(v[order]) != 0])
+        ties = np.add.reduceat(times[:, order], starts, axis=1) if len(starts) else times[:, order]
+        before = np.cumsum(ties, axis=1) - ties
+        of_value = np.searchsorted(v[order][starts], v)
+        centred.append((before + (ties - total) / 2.0)[:, of_value])
+    k = len(centred)
+    r = {}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = {(a, b): (times * centred[a] * centred[b]).sum(axis=1) for a in range(k) for b in range(a, k)}
+        for a, b in combinations(range(k), 2):
+            r[a, b] = cov[a, b] / (np.sqrt(cov[a, a]) * np.sqrt(cov[b, b]))
+        for z in range(2, k):
+            left = [0, 1, *range(z + 1, k)]
+            get = {v: r[min(v, z), max(v, z)] for v in left}
+            for a, b in combinations(left, 2):
+                free_a, free_b = 1 - get[a] ** 2, 1 - get[b] ** 2
+                value = (r[a, b] - get[a] * get[b]) / np.sqrt(free_a * free_b)
+                r[a, b] = np.where((free_a >= SINGULAR) & (free_b >= SINGULAR), value, np.nan)
+    return r[0, 1]
 
 
 def partial_rho_table(
@@ -162,9 +232,9 @@ def partial_rho_table(
     return point.join(bootstrap_partial_spearman(df, hypotheses, strata, case, replicates, salt), "label", "left")
 
 
-def _two_groups(rows: DataFrame, by: list[str], case: str, p_value: bool) -> DataFrame:
+def _two_groups(df: DataFrame, by: list[str], case: str, p_value: bool, rows: int | None = None) -> DataFrame:
     """Mann-Whitney per key from rows (by, case, _v, _hit): _hit marks the first group."""
-    r = ranked(rows, by, "_v", [case])
+    r = ranked(df, by, "_v", [case], rows=rows)
     hit = F.col("_hit")
     rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
     s = r.groupBy(*by).agg(
@@ -194,9 +264,9 @@ def mann_whitney(
     """
     failed = F.col(failed) if isinstance(failed, str) else failed
     keep = df if eligible is None else df.where(eligible)
-    rows = _long(keep.withColumn("_hit", failed), [case, "_hit"], features, "feature")
-    tests = _two_groups(rows, ["feature"], case, p_value)
-    mid = quantiles(rows, ["feature", "_hit"], "_v", {"_m": 0.5}, [case])
+    rows, n = stored(_long(keep.withColumn("_hit", failed), [case, "_hit"], features, "feature"))
+    tests = _two_groups(rows, ["feature"], case, p_value, n)
+    mid = quantiles(rows, ["feature", "_hit"], "_v", {"_m": 0.5}, [case], rows=n)
     mid = mid.groupBy("feature").agg(
         F.max(F.when(F.col("_hit"), F.col("_m"))).alias("failure_median"),
         F.max(F.when(~F.col("_hit"), F.col("_m"))).alias("nonfailure_median"),
@@ -247,9 +317,10 @@ def bh_fdr(df: DataFrame, p: str, family: list[str], test: str, out: str = "p_fd
     ``test`` is unique within the family. Families of any size: rank and running minimum are both
     computed piecewise (see :mod:`lesionlens.operators.ordered`).
     """
-    r = ranked(df, family, p, [test])
+    df, n = stored(df)
+    r = ranked(df, family, p, [test], rows=n)
     raw = F.col(p) * F.col("total") / (F.col("before") + F.col("ties"))
     r = r.withColumn("_raw", raw).drop("before", "ties", "total")
-    adj = suffix_min(r, family, [p, test], "_raw", out).withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("_raw")
+    adj = suffix_min(r, family, [p, test], "_raw", out, n).withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("_raw")
     none = df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
     return adj.unionByName(none)

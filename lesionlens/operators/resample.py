@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lesionlens.functions.fixed import INTERVAL, REPLICATES, REPLICATES_SHORT, SEED
 from lesionlens.functions.scalars import norm_missing, row_mean
-from lesionlens.operators.ordered import quantiles, row_position
+from lesionlens.operators.ordered import quantiles, row_position, stored
 
 CHUNK = 8192
 MODULUS = 2_147_483_647
@@ -41,16 +41,20 @@ def draws(b: np.ndarray, i: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 
 def chunk_multiplicities(
-    n: int, chunk: int, replicates: int, salt: int, size: int = CHUNK
+    n: int, chunk: int, replicates: int, salt: int, size: int = CHUNK, only: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (replicate numbers, how often each row of the chunk is drawn in each of them)."""
+    """Blocks of (replicate numbers, how often each row of the chunk is drawn in each of them).
+
+    ``only`` restricts the replicates 1..``replicates`` to some of them.
+    """
+    numbers = np.arange(1, replicates + 1) if only is None else only
     chunks = -(-n // size)
     rows = np.full(chunks, size, dtype=np.int64)
     rows[-1] = n - size * (chunks - 1)
     mine = int(rows[chunk])
     step = max(1, BLOCK_CELLS // max(mine, 1))
-    for start in range(1, replicates + 1, step):
-        b = np.arange(start, min(start + step, replicates + 1))
+    for start in range(0, len(numbers), step):
+        b = numbers[start : start + step]
         if chunks == 1:
             taken = np.full(len(b), n)
         else:
@@ -66,22 +70,23 @@ def chunk_multiplicities(
         yield b, np.bincount(used, minlength=len(b) * mine).reshape(len(b), mine)
 
 
-def _chunked(df: DataFrame, by: list[str], order: str) -> tuple[DataFrame, list[str]]:
+def _chunked(df: DataFrame, by: list[str], order: str, rows: int | None) -> tuple[DataFrame, list[str]]:
     group = list(by) or ["_one"]
     if not by:
         df = df.withColumn("_one", F.lit(0))
-    rows = row_position(df, group, order, "_ordinal")
-    return rows.withColumn("_chunk", F.floor((F.col("_ordinal") - 1) / F.lit(CHUNK)).cast("int")), group
+    placed = row_position(df, group, order, "_ordinal", rows)
+    return placed.withColumn("_chunk", F.floor((F.col("_ordinal") - 1) / F.lit(CHUNK)).cast("int")), group
 
 
 def bootstrap_sums(
-    df: DataFrame, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED
+    df: DataFrame, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED,
+    rows: int | None = None,
 ) -> DataFrame:
     """(by, replicate, sum_<v>, n_<v>): sums over each resample; missing values add to neither."""
     wanted = df.select(*by, order, *[F.col(v).cast("double").alias(v) for v in values])
-    rows, group = _chunked(wanted, by, order)
+    placed, group = _chunked(wanted, by, order, rows)
     schema = T.StructType(
-        [rows.schema[g] for g in group]
+        [placed.schema[g] for g in group]
         + [T.StructField("replicate", T.IntegerType())]
         + [T.StructField(f"sum_{v}", T.DoubleType()) for v in values]
         + [T.StructField(f"n_{v}", T.LongType()) for v in values]
@@ -104,7 +109,7 @@ def bootstrap_sums(
             out[g] = pdf[g].iloc[0]
         return out[schema.names]
 
-    sums = rows.groupBy(*group, "_chunk").applyInPandas(kernel, schema)
+    sums = placed.groupBy(*group, "_chunk").applyInPandas(kernel, schema)
     return sums.groupBy(*by, "replicate").agg(
         *[F.sum(f"sum_{v}").alias(f"sum_{v}") for v in values], *[F.sum(f"n_{v}").alias(f"n_{v}") for v in values]
     )
@@ -117,7 +122,7 @@ def bootstrap_weights(
 
     ``by`` are the strata: every stratum is resampled to its own size.
     """
-    rows, group = _chunked(df, by, order)
+    placed, group = _chunked(df, by, order, None)
     extra = [T.StructField("replicate", T.IntegerType()), T.StructField("w", T.LongType())]
     schema = T.StructType([f for f in df.schema.fields] + extra)
     columns = df.columns
@@ -130,7 +135,7 @@ def bootstrap_weights(
             parts.append(pdf[columns].iloc[c].assign(replicate=b[r].astype("int32"), w=times[r, c]))
         return pd.concat(parts, ignore_index=True)[schema.names]
 
-    return rows.groupBy(*group, "_chunk").applyInPandas(kernel, schema)
+    return placed.groupBy(*group, "_chunk").applyInPandas(kernel, schema)
 
 
 def percentile_interval(
@@ -157,10 +162,10 @@ def bootstrap_mean(
     df: DataFrame, value: str, by: list[str], order: str, replicates: int = REPLICATES_SHORT, salt: int = SEED
 ) -> DataFrame:
     """(by, n, mean, ci_low, ci_high) of the finite values; a group without any has n 0 and is missing."""
-    clean = df.select(*by, order, norm_missing(value).alias("_v"))
+    clean, n = stored(df.select(*by, order, norm_missing(value).alias("_v")))
     known = clean.where(F.col("_v").isNotNull())
     point = clean.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
-    ci = percentile_interval(bootstrap_sums(known, by, ["_v"], order, replicates, salt), by, _mean("_v"))
+    ci = percentile_interval(bootstrap_sums(known, by, ["_v"], order, replicates, salt, n), by, _mean("_v"))
     return _join(point, ci, by)
 
 
@@ -174,6 +179,7 @@ def bootstrap_paired(
     clean = df.select(*by, order, norm_missing(left).alias("_l"), norm_missing(right).alias("_r")).withColumn(
         "_d", F.col("_l") - F.col("_r")
     )
+    clean, n = stored(clean)
     pairs = clean.where(F.col("_d").isNotNull())
     lost_l = F.col("_l").isNull() & F.col("_r").isNotNull()
     lost_r = F.col("_r").isNull() & F.col("_l").isNotNull()
@@ -186,8 +192,8 @@ def bootstrap_paired(
         F.count_if(lost_l).alias("n_dropped_left"),
         F.count_if(lost_r).alias("n_dropped_right"),
     )
-    middle = quantiles(pairs, by, "_d", {"median_difference": 0.5}, [order])
-    ci = percentile_interval(bootstrap_sums(pairs, by, ["_d"], order, replicates, salt), by, _mean("_d"))
+    middle = quantiles(pairs, by, "_d", {"median_difference": 0.5}, [order], rows=n)
+    ci = percentile_interval(bootstrap_sums(pairs, by, ["_d"], order, replicates, salt, n), by, _mean("_d"))
     return _join(_join(point, middle, by), ci, by)
 
 
@@ -198,9 +204,9 @@ def bootstrap_independent(
     """Difference of two independent means (target - source), each side resampled on its own."""
     sides = {}
     for name, df, s in (("target", target, salt), ("source", source, salt + SECOND_SALT)):
-        known = df.select(*by, order, norm_missing(value).alias("_v")).where(F.col("_v").isNotNull())
+        known, n = stored(df.select(*by, order, norm_missing(value).alias("_v")).where(F.col("_v").isNotNull()))
         point = known.groupBy(*by).agg(F.count("_v").alias(f"n_{name}"), F.avg("_v").alias(f"{name}_mean"))
-        sums = bootstrap_sums(known, by, ["_v"], order, replicates, s)
+        sums = bootstrap_sums(known, by, ["_v"], order, replicates, s, n)
         sides[name] = point, sums.select(*by, "replicate", _mean("_v").alias(f"_{name}"))
     samples = sides["target"][1].join(sides["source"][1], [*by, "replicate"])
     ci = percentile_interval(samples, by, F.col("_target") - F.col("_source"))
@@ -217,9 +223,9 @@ def bootstrap_region_mean(
     """One row: difference of the means of the regions' means; regions of a case are drawn together."""
     sides = {}
     for name, df, s in (("target", target, salt), ("source", source, salt + SECOND_SALT)):
-        clean = df.select(order, *[norm_missing(v).alias(v) for v in values])
+        clean, n = stored(df.select(order, *[norm_missing(v).alias(v) for v in values]))
         point = clean.agg(F.count(F.lit(1)).alias(f"n_{name}"), row_mean(*[F.avg(v) for v in values]).alias(f"{name}_mean"))
-        sums = bootstrap_sums(clean, [], values, order, replicates, s)
+        sums = bootstrap_sums(clean, [], values, order, replicates, s, n)
         sides[name] = point, sums.select("replicate", row_mean(*[_mean(v) for v in values]).alias(f"_{name}"))
     samples = sides["target"][1].join(sides["source"][1], ["replicate"])
     ci = percentile_interval(samples, [], F.col("_target") - F.col("_source"))

@@ -12,6 +12,7 @@ from lesionlens.operators import components as cc, ensemble, grid as g, guards,
 from lesionlens.operators.scores import paired_effects
 from lesionlens.plans.check_sql import bootstrap_ctes, code, component_ctes, fx, interval, with_
 from lesionlens.plans.fixtures import SIDE, fixture
+from lesionlens.session import materialize
 
 CHECK_REPLICATES = 200
 CASE = ["case_id"]
@@ -22,6 +23,11 @@ def vox(spark: SparkSession, sf: str) -> DataFrame:
     return fixture(spark, sf, "voxels").drop("pct_wt", "pct_tc", "pct_et")
 
 
+def stored_vox(spark: SparkSession, sf: str) -> DataFrame:
+    """The voxel table as a real one would be found: written, not derived again by each reader."""
+    return materialize(vox(spark, sf), "voxels")
+
+
 def shapes(df: DataFrame) -> DataFrame:
     return df.select("case_id").distinct().select("case_id", *[F.lit(SIDE).alias(f"dim_{a}") for a in "zyx"])
 
@@ -140,7 +146,7 @@ def lesion_match(spark, sf):
 
 
 def morphology(spark, sf):
-    df = decoded(vox(spark, sf))
+    df = decoded(stored_vox(spark, sf))
     named = masks("ref_lab") | {f"pred_{r}": m for r, m in masks("pred_lab").items()}
     out = mo.morphology(df, CASE, named, shapes(df))
     return out.select("case_id", "mask", *[F.round(c, 12).alias(c) for c in (*mo.COUNTS, *mo.SHAPES)])
@@ -149,7 +155,7 @@ def morphology(spark, sf):
 # --- operating points -------------------------------------------------------------------------------
 
 def _grid(spark, sf):
-    return g.grid_per_case(vox(spark, sf), FOLDED)
+    return g.grid_per_case(stored_vox(spark, sf), FOLDED)
 
 
 def grid_cross(spark, sf):
@@ -189,8 +195,6 @@ def crossfit_select(spark, sf):
 
 
 def apply_selection(spark, sf):
-    from lesionlens.session import materialize
-
     cells = materialize(_grid(spark, sf), "grid")
     points = g.select_operating_points(cells).withColumnRenamed("held_out_fold", "fold")
     return cells.join(F.broadcast(points.select("fold", "threshold", "min_voxels")), ["fold", "threshold", "min_voxels"])
@@ -217,7 +221,7 @@ def regression_gate(spark, sf):
 
 
 def _evaluated(spark, sf):
-    df = vox(spark, sf)
+    df = stored_vox(spark, sf)
     return g.evaluate_points(df, FOLDED, g.select_operating_points(g.grid_per_case(df, FOLDED)))
 
 
