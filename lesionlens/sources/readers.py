@@ -94,7 +94,7 @@ def explode_map(df: DataFrame, document: str, keep: list[str] = ()) -> DataFrame
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files as text, one row per file."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "document")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
 
 
 def list_files(spark: SparkSession, root: str, glob: str = f"*{VOLUME_SUFFIX}") -> DataFrame:
