@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lesionlens.functions.fixed import ALLOWED_LABELS
+from lesionlens.operators.lookup import with_scalars
 
 
 class GuardError(ValueError):
@@ -139,4 +140,4 @@ def manifest(labels: DataFrame, files: DataFrame, key: str, lab: str, content: s
     domain = label_domain(labels, [key], lab)
     rows = domain.join(content_digest(files, content).select(key, F.col(name).alias("file"), "sha256"), key)
     total = rows.agg(F.countDistinct(key).alias("n_cases"))
-    return rows.select(key, "file", "labels", "valid", "sha256").crossJoin(F.broadcast(total))
+    return with_scalars(rows.select(key, "file", "labels", "valid", "sha256"), total)

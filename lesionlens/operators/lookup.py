@@ -34,5 +34,7 @@ def lookup(
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of an ungrouped aggregate, which has exactly one row."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of an ungrouped aggregate as a scalar subquery; missing if it has no row."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_scalars"))
+    columns = [F.col("_scalars")[c].alias(c) for c in one_row.columns]
+    return df.withColumn("_scalars", packed.scalar()).select(*[F.col(c) for c in df.columns], *columns)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lesionlens.functions.fixed import INTERVAL, REPLICATES, REPLICATES_SHORT, SEED
 from lesionlens.functions.scalars import norm_missing, row_mean
+from lesionlens.operators.lookup import with_scalars
 from lesionlens.operators.ordered import quantiles, row_position, stored
 
 CHUNK = 8192
@@ -155,7 +156,7 @@ def _mean(v: str) -> Column:
 
 
 def _join(a: DataFrame, b: DataFrame, by: list[str], how: str = "left") -> DataFrame:
-    return a.join(b, by, how) if by else a.crossJoin(F.broadcast(b))  # one row each without groups
+    return a.join(b, by, how) if by else with_scalars(a, b)  # one row each without groups
 
 
 def bootstrap_mean(

@@ -14,6 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lesionlens.functions.scalars import any_bit, pack_bits
+from lesionlens.operators.lookup import with_scalars
 
 AXES = ("z", "y", "x")
 
@@ -59,7 +60,7 @@ def border_elements(
     table = table.groupBy("code").agg(F.max("weight").alias("weight"))
     table = table.agg(F.map_from_entries(F.collect_list(F.struct("code", "weight"))).alias("_weights"))
     look = F.transform("_codes", lambda c: F.coalesce(F.try_element_at(F.col("_weights"), c), F.lit(0.0)))
-    return out.crossJoin(F.broadcast(table)).withColumn("w", look).drop("_codes", "_weights")
+    return with_scalars(out, table).withColumn("w", look).drop("_codes", "_weights")
 
 
 def surface_dice(

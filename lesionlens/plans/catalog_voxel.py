@@ -9,6 +9,7 @@ from lesionlens.functions.fixed import (
 )
 from lesionlens.functions.scalars import float_gt
 from lesionlens.operators import components as cc, ensemble, grid as g, guards, morphology as mo, surface, voxels as vx
+from lesionlens.operators.lookup import with_scalars
 from lesionlens.operators.scores import paired_effects
 from lesionlens.plans.check_sql import bootstrap_ctes, code, component_ctes, fx, interval, with_
 from lesionlens.plans.fixtures import SIDE, fixture
@@ -49,7 +50,7 @@ def voxel_scan(spark, sf):
         F.count(F.lit(1)).alias("n_voxels"), F.countDistinct("case_id").alias("n_cases"),
         *[F.max(a).alias(f"max_{a}") for a in "zyx"],
     )
-    return per_fold.crossJoin(F.broadcast(outside))  # one row
+    return with_scalars(per_fold, outside)
 
 
 def region_masks(spark, sf):
