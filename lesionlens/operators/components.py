@@ -179,6 +179,9 @@ def label_fragments(
 
 def _merge(labelled: DataFrame, keys: list[str], tile: int, max_rounds: int) -> DataFrame | None:
     """Component id of every piece with a neighbour in another tile; None if there is no such piece."""
+    far = labelled.agg(*[F.max(a).alias(a) for a in AXES]).first()
+    if all(v is None or v < tile for v in far):
+        return None  # one tile per volume
     on_face = F.lit(False)
     for a in AXES:
         on_face = on_face | (F.col(a) % tile).isin(0, tile - 1)

@@ -14,7 +14,7 @@ from lesionlens.operators import binning, embed, grid, guards, ranks, scores
 from lesionlens.operators.morphology import case_morphology
 from lesionlens.operators.voxels import decode_regions, reconstruct_match
 from lesionlens.session import materialize
-from lesionlens.sources.writers import write_document, write_table
+from lesionlens.sources.writers import bootstrap_document, write_document, write_table
 
 VOXEL_KEYS = ["case_id", "fold"]
 
@@ -67,6 +67,8 @@ def threshold_sweep(
     stored |= _write_all({"crossfit_per_case": (evaluated, [*VOXEL_KEYS, "configuration"])}, target)
     effects = scores.paired_effects(stored["crossfit_per_case"], replicates=replicates, salt=salt)
     stored |= _write_all({"paired_effects": (effects, ["metric"])}, target)
+    settings(vox.sparkSession, f"{target.rstrip('/')}/settings", analysis="threshold_sweep", thresholds=thresholds,
+             min_voxels=min_voxels, replicates=replicates, seed=salt)
     return {"grid_per_case": cells, **stored}
 
 
@@ -107,6 +109,10 @@ def failure_atlas(
         "pca_explained": (explained, ["component"]),
         "pca_scores": (points, ["case_id"]),
     }, target)
+    document = bootstrap_document(stored["partial_intervals"], "case_features", salt, replicates, "case-sampling uncertainty only")
+    write_document(document, f"{target.rstrip('/')}/partial_intervals_document")
+    settings(df.sparkSession, f"{target.rstrip('/')}/settings", analysis="failure_atlas", features=columns, outcomes=outcomes,
+             replicates=replicates, seed=salt)
     return {"case_features": df, **stored}
 
 
@@ -129,14 +135,16 @@ def validation_scores(
     names = {f"dice_{r}": r.upper() for r in REGIONS}
     goal = table.where(F.col(config) == shifted).select(case, *[F.col(f"global_dsc_{r}").alias(f"dice_{r}") for r in REGIONS])
     origin = source.select(case, *[F.col(f"{r}_dice").alias(f"dice_{r}") for r in REGIONS])
-    return _write_all({
+    stored = _write_all({
         "paired_comparisons": (paired, ["comparison", "metric"]),
         "source_target_gap": (scores.source_target_gap(goal, origin, names, case, replicates, salt), ["region"]),
         "aggregate_scores": (scores.aggregate_scores(table, [config], metrics), [config, "metric"]),
     }, target)
+    settings(table.sparkSession, f"{target.rstrip('/')}/settings", analysis="validation_scores",
+             configurations=configurations, replicates=replicates, seed=salt)
+    return stored
 
 
 def settings(spark, target: str, **values) -> None:
     """Metadata of an analysis as one JSON row."""
-    row = spark.range(1).select(*[F.lit(v).alias(k) if not isinstance(v, (list, tuple)) else F.array(*map(F.lit, v)).alias(k) for k, v in values.items()])
-    write_document(row, target)
+    write_document(spark.range(1).select(*[F.lit(list(v) if isinstance(v, tuple) else v).alias(k) for k, v in values.items()]), target)

@@ -38,13 +38,13 @@ def channel_map(spark, sf):
 
 
 def _folds(spark, sf):
-    c = table(spark, sf, "customer")
-    one = c.select(F.expr("cast(c_custkey % 5 as int)").alias("fold"), F.concat(F.lit("p/"), "c_name", F.lit(".npz")).alias("path"))
-    again = c.where("c_custkey % 97 = 0").select(
-        F.expr("cast((c_custkey + 1) % 5 as int)").alias("fold"), F.concat(F.lit("p/"), "c_name", F.lit(".npz")).alias("path"))
-    labels = c.where("c_custkey % 50 <> 0").select(F.concat(F.lit("l/"), "c_name", F.lit(".nii.gz")).alias("path"))
-    exports = one.where(F.length("path") > 0).select("fold", F.regexp_replace("path", "npz$", "nii.gz").alias("path"))
-    return one.unionByName(again), labels, exports
+    """Prediction files by nation's fold, those of customers in debt twice; labels and exports with gaps."""
+    c = table(spark, sf, "customer").withColumn("fold", F.expr("cast(c_nationkey % 5 as int)"))
+    name = lambda folder, suffix: F.concat(F.lit(folder), "c_name", F.lit(suffix)).alias("path")
+    one = c.select("fold", name("p/", ".npz"))
+    again = c.where("c_acctbal < 0").select(F.expr("cast((fold + 1) % 5 as int)").alias("fold"), name("p/", ".npz"))
+    labels = c.where("c_mktsegment <> 'MACHINERY'").select(name("l/", ".nii.gz"))
+    return one.unionByName(again), labels, c.select("fold", name("p/", ".nii.gz"))
 
 
 def discover_cases(spark, sf):
@@ -56,11 +56,10 @@ def discover_violations(spark, sf):
 
 
 def _metric_rows(spark, sf):
-    """Metric rows whose fold is off for some cases, and a split without some cases."""
-    c = table(spark, sf, "customer")
-    metrics = c.select(F.col("c_custkey").alias("case_id"), F.expr("cast((c_custkey + if(c_custkey % 41 = 0, 1, 0)) % 5 as int)").alias("fold"))
-    splits = c.where("c_custkey % 71 <> 0").select(F.col("c_custkey").alias("case_id"), F.expr("cast(c_custkey % 5 as int)").alias("fold"))
-    return metrics, splits
+    """Metric rows by nation's fold, a split by each customer's last order."""
+    metrics = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), F.expr("cast(c_nationkey % 5 as int)").alias("fold"))
+    last = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.max("o_orderkey").alias("o"))
+    return metrics, last.select("case_id", F.expr("cast(o % 5 as int)").alias("fold"))
 
 
 def fold_mismatch(spark, sf):
@@ -77,8 +76,9 @@ def count_guard(spark, sf):
 
 
 def reconcile_sets(spark, sf):
-    docs, labels = table(spark, sf, "documents").where("doc_id % 7 <> 0"), table(spark, sf, "labels")
-    return guards.reconcile(docs, labels, ["doc_id"])
+    users = table(spark, sf, "events").select(F.col("user_id").alias("id"))
+    buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
+    return guards.reconcile(users, buyers, ["id"])
 
 
 def content_digest(spark, sf):
@@ -169,8 +169,8 @@ PARSED = ("parsed", r"""select path, coalesce(nullif(regexp_extract(path, '^(.*)
   from inventory""")
 NAMED = ("named", """select path, case_id, modality, case modality when 't1n' then '0000' when 't1c' then '0001' when 't2f' then '0002' else '0003' end as channel
   from parsed where modality is not null""")
-FOLDS = ("found", """select cast(c_custkey % 5 as int) as fold, c_name as case_id, c_custkey from customer
-    union all select cast((c_custkey + 1) % 5 as int), c_name, c_custkey from customer where c_custkey % 97 = 0""")
+FOLDS = ("found", """select cast(c_nationkey % 5 as int) as fold, c_name as case_id, c_mktsegment as seg, false as again from customer
+    union all select cast((c_nationkey + 1) % 5 as int), c_name, c_mktsegment, true from customer where c_acctbal < 0""")
 KIND = ("g", """select vec_id, vec_id % 5 as kind, vec_id % 50 = 0 as short, 100 + vec_id % 7 as a, 100 + (2 * vec_id) % 7 as b, 100 + (3 * vec_id) % 7 as c,
     cast(embedding[1] as double) as e0 from embeddings""")
 GEOM_EXACT = "not short and kind <> 4 and e0 + (case kind when 1 then 1e-9 when 2 then 1e-7 when 3 then 1e-3 else 0.0e0 end) = e0"
@@ -188,15 +188,16 @@ ORACLES = {
     "channel_map": with_(I, PARSED, NAMED) + "select path as source, concat(case_id, '_', channel, '.nii.gz') as destination from named",
     "discover_cases": with_(FOLDS) + "select row_number() over (order by fold, case_id) - 1 as case_index, fold, case_id, concat('p/', case_id, '.npz') as path from found",
     "discover_violations": with_(FOLDS) + """select 'several folds' as reason, case_id from found group by case_id having count(distinct fold) > 1
-        union all select 'no label', case_id from found where c_custkey % 50 = 0
-        union all select 'no export', case_id from found where fold <> c_custkey % 5""",
-    "fold_mismatch": """select c_custkey as case_id, cast((c_custkey + case when c_custkey % 41 = 0 then 1 else 0 end) % 5 as int) as fold,
-        case when c_custkey % 71 <> 0 then cast(c_custkey % 5 as int) end as split_fold from customer where c_custkey % 41 = 0 or c_custkey % 71 = 0""",
+        union all select 'no label', case_id from found where seg = 'MACHINERY'
+        union all select 'no export', case_id from found where again""",
+    "fold_mismatch": """select c_custkey as case_id, cast(c_nationkey % 5 as int) as fold, f as split_fold from customer
+        left join (select o_custkey, cast(max(o_orderkey) % 5 as int) as f from orders group by 1) o on o_custkey = c_custkey
+        where f is null or f <> c_nationkey % 5""",
     "fold_leak_guard": "select o_custkey as case_id, count(distinct o_orderkey % 5) as n_folds from orders group by 1 having count(distinct o_orderkey % 5) > 1",
     "count_guard": """select * from (select count(*) as n_rows, (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)) as n_distinct,
         cast(60000 as bigint) as expected from lineitem) t where n_rows <> n_distinct or n_rows <> 60000""",
-    "reconcile_sets": """select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'missing' when d.doc_id is null then 'extra' else 'ok' end as status
-        from (select distinct doc_id from documents where doc_id % 7 <> 0) d full outer join (select distinct doc_id from labels) l on l.doc_id = d.doc_id""",
+    "reconcile_sets": """select coalesce(d.id, l.id) as id, case when l.id is null then 'missing' when d.id is null then 'extra' else 'ok' end as status
+        from (select distinct user_id as id from events) d full outer join (select distinct o_custkey as id from orders) l on l.id = d.id""",
     "content_digest": "select doc_id, sha256(text) as sha256 from documents",
     "table_digest": with_(("h", "select sha256(text) as s from documents")) + """select n_rows, sha256(concat_ws('|', n_rows, a, b, c, d)) as digest from (
         select count(*) as n_rows, """ + ", ".join(

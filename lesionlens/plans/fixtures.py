@@ -99,13 +99,13 @@ FIXTURES = {
         from {customer} cross join (
           select 't1n' as modality, '0000' as channel union all select 't1c', '0001'
           union all select 't2f', '0002' union all select 't2w', '0003') m
-        where not (c_custkey % 11 = 0 and modality = 't2w')
-        union all select concat('case-', cast(c_custkey as string), '-t1n.nii.gz') from {customer} where c_custkey % 13 = 0
+        where not (c_acctbal > 9000 and modality = 't2w')
+        union all select concat('case-', cast(c_custkey as string), '-t1n.nii.gz') from {customer} where c_acctbal < 0
         union all select concat('note-', cast(s_suppkey as string), '.nii.gz') from {supplier}""",
     # pseudo p values, family by return flag, some missing
     "pvalues": """
         select l_returnflag as family, l_suppkey as test_id,
-               case when l_suppkey % 17 = 0 then null
+               case when (sum(cast(l_quantity as bigint)) * 37 + l_suppkey * 101) % 9973 < 500 then null
                     else (1 + (sum(cast(l_quantity as bigint)) * 37 + l_suppkey * 101) % 9973) / 10000.0e0 end as p_value
         from {lineitem} group by l_returnflag, l_suppkey""",
     # score rows with the scorer's own aggregate rows mixed in

@@ -26,6 +26,9 @@ def local_session(cpus: int | str = 8, name: str = "lesionlens") -> SparkSession
     )
 
 
+_local_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder for lineage cuts: the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -37,9 +40,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_roots[app]
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -41,6 +41,9 @@ def test_failure_atlas(spark, vox, tmp_path):
     assert out["partial_intervals"].count() == 4 and out["pca_explained"].count() == 10
     assert {r["header_domain"] for r in out["domain_summary"].collect()} == {"D0", "D1", "Unknown domain"}
     assert out["failure_effects"].where("p_fdr < p_value").isEmpty()
+    document = spark.read.json(str(tmp_path / "atlas" / "partial_intervals_document")).first()
+    assert len(document["estimates"]) == 4 and document["bootstrap"]["replicates"] == 20
+    assert spark.read.json(str(tmp_path / "atlas" / "settings")).first()["analysis"] == "failure_atlas"
 
 
 def test_validation_scores(spark, tmp_path):
