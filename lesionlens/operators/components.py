@@ -146,7 +146,7 @@ def label_fragments(
 ) -> Fragments:
     """Label all masks of ``bits`` inside tiles and find which pieces belong together.
 
-    ``vox`` has one row per (keys, z, y, x) with axes >= 0. Component ids are the smallest voxel code of
+    ``vox`` has one row per (keys, z, y, x) with axes >= 0 and no missing key. Component ids are the smallest voxel code of
     a component, hence independent of row order, partitioning and tile size.
     """
     tiles = [f"_t{a}" for a in AXES]

@@ -5,7 +5,6 @@
 
 import os
 
-import duckdb
 import pytest
 
 import check_oracles
