@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import exact_dedup, language_id, mixing
+from lesionlens.llm import exact_dedup, language_id, mixing, near_dup
 from lesionlens.llm.columns import held_out
 
 
@@ -17,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op2_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.components(table(spark, sf, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", held_out("doc_id"))
     model = language_id.train(docs.where("not held_out"))
@@ -28,7 +32,7 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(queued, line).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op9_mixing)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
