@@ -4,25 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lesionlens.llm import exact_dedup, mixing
+from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup
 from lesionlens.session import materialize
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and those whose language is less than even."""
+    return language_id.identified(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``taken``, the words of the document that the mix holds, repeats counted."""
     return mixing.mixed(docs)
 
 
 STAGES = [
+    ("language_id", keep_known_languages),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
 
-ORACLE_SQL = None  # later stages score with models
+ORACLE_SQL = None  # the first stage scores with a model
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from lesionlens.llm.columns import held_out, unpacked, whole_row
 from lesionlens.llm.kernels import pieces
 
 BITS = 16
@@ -121,6 +122,17 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
-    kept = "".join(f"keep_{c} {rows.schema[f'keep_{c}'].dataType.simpleString()}, " for c in keep)
-    out = rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kept}lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = rows.mapInArrow(score, schema)
     return out.withColumnsRenamed({f"keep_{c}": c for c in keep})
+
+
+def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.5) -> DataFrame:
+    """The documents whose language is known with probability ``least``, with the columns of ``docs``.
+
+    The model learns from the labelled rows of ``docs`` outside the held-out fold; ``und`` is rejected.
+    """
+    model = train(docs.where(~held_out(doc_id)), text, label)
+    rows = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"))
+    out = predict(rows, model, "row", "text")
+    return unpacked(out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), "doc_id", docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import exact_dedup, language_id, mixing, near_dup
+from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup
 from lesionlens.llm.columns import held_out
 
 
@@ -27,12 +27,16 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.predict(docs, model, keep=["held_out"])
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     queued, line = mixing.mix(table(spark, sf, "documents"))
     return mixing.taken(queued, line).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op8_decontamination, op9_mixing)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
