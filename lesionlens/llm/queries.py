@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup
+from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup, quality, toxicity, url_filter
 from lesionlens.llm.columns import held_out
+from lesionlens.llm.sampling import labelled_sample
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def with_fold(scored: DataFrame, least: float) -> DataFrame:
+    predicted = (F.col("score") >= least).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = exact_dedup.verdicts(table(spark, sf, "documents"), exact_dedup.new_index(spark))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -27,6 +33,16 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.predict(docs, model, keep=["held_out"])
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    sample = labelled_sample(docs, table(spark, sf, "labels"), "toxic", toxicity.FIT_ROWS)
+    return with_fold(toxicity.predict(docs, toxicity.train(sample)), 0.5)
+
+
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -36,7 +52,14 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(queued, line).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op8_decontamination, op9_mixing)}
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(labelled_sample(docs, table(spark, sf, "labels"), "quality", quality.FIT_ROWS))
+    return with_fold(quality.predict(docs, model), 0.3)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op7_url_filter, op8_decontamination, op9_mixing, op10_quality)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
