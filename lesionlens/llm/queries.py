@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup, quality, toxicity, url_filter
+from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup, quality, substring_dedup, toxicity, url_filter
 from lesionlens.llm.columns import held_out
 from lesionlens.llm.sampling import labelled_sample
 
@@ -39,6 +39,10 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return with_fold(toxicity.predict(docs, toxicity.train(sample)), 0.5)
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
+
+
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"))
 
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return with_fold(quality.predict(docs, model), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op7_url_filter, op8_decontamination, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op7_url_filter, op8_decontamination, op9_mixing, op10_quality)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
@@ -67,6 +71,18 @@ g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)
 """
 
+OP5_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 33)) as i, w from d),
+h as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) as h from p),
+r as (select h from h group by h having count(*) > 1),
+g as (select distinct doc_id, unnest(range(i, i + 35)) as i from h join r using (h)),
+k as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+j as (select k.doc_id, string_agg(word, ' ' order by k.i) as kept, count(*) as n from k anti join g on k.doc_id = g.doc_id and k.i = g.i group by k.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join j using (doc_id)
+"""
+
 OP9_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
@@ -93,4 +109,4 @@ select doc_id, size, source_size, target,
 from q join t on q.source is not distinct from t.source
 """
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
