@@ -77,11 +77,15 @@ def windows(rows: DataFrame, key: str, text: str, named: str) -> DataFrame:
     """(key, hash, named_at, named_slots, named_words): every window of each row with its placeholders' values."""
     words = rows.select(F.col(key), _words(text, True).alias("valued"))
     words = words.withColumn("bare", F.transform("valued", _bare))
-    at = words.select(key, "valued", "bare", F.size("bare").alias(f"{named}_words"), F.explode(_positions("bare", 1)).alias("at"))
-    run = F.slice("bare", F.col("at") + 1, WINDOW)
-    slots = F.filter(F.slice("valued", F.col("at") + 1, WINDOW), lambda w: w.startswith("#"))
-    return at.where(_evidence(run)).select(
-        key, F.xxhash64(run).alias("hash"), F.col("at").alias(f"{named}_at"), slots.alias(f"{named}_slots"), f"{named}_words"
+
+    def window(i: Column) -> Column:  # a long text's words are not repeated for each of its windows
+        run = F.slice("bare", i + 1, WINDOW)
+        slots = F.filter(F.slice("valued", i + 1, WINDOW), lambda w: w.startswith("#"))
+        return F.struct(F.xxhash64(run).alias("hash"), i.alias("at"), slots.alias("slots"), _evidence(run).alias("evidence"))
+
+    each = words.select(key, F.size("bare").alias(f"{named}_words"), F.explode(F.transform(_positions("bare", 1), window)).alias("w"))
+    return each.where("w.evidence").select(
+        key, F.col("w.hash").alias("hash"), F.col("w.at").alias(f"{named}_at"), F.col("w.slots").alias(f"{named}_slots"), f"{named}_words"
     )
 
 
