@@ -14,10 +14,12 @@ s = 0.3 meets with probability 0.03. Half keys that a single document has are dr
 is one node from here on.
 
 *Links without all pairs.* In each bucket of a table every member is paired with one leader, the member that shares
-most half keys in all; these pairs are confirmed and contracted to components. Only where a bucket still
-holds several components are its other pairs tried, and of those only pairs that two exact bounds
-leave possible: the sizes differ by at most 20 %, and the distances to the leader by at most 0.2 (the Jaccard
-distance is a metric). Every pair that shares a bucket is thus confirmed, or excluded, or already connected.
+most half keys in all; these pairs are confirmed. What is left are pairs of members of one leader, one of them
+not linked with it. For those the sets' differences from the leader's set decide: with S the sum of their sizes, z
+and x are linked only if the differences D(z) and D(x) share at least (|D(z)| + |D(x)| - S / 9) / 2 shingles. This
+is positive when z is not linked with the leader, so an overlap join of the differences, with prefix filtering
+in order of rarity, finds every such pair; it is confirmed on the full sets. Every pair that shares a bucket is thus
+confirmed, or excluded by a bound, or connected through its leader, without listing the pairs of a group.
 
 Defined cases: a null text is empty; a row with a null id is linked with nothing and stays; repeated rows are
 one node; rows with the same id and different texts are one node with the links of all of them; ids are
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lesionlens.llm import kernels
 from lesionlens.llm.columns import unpacked, whole_row
@@ -136,57 +138,65 @@ def _tables(reps: DataFrame) -> DataFrame:
     return members.join(leads, "key").select("key", "node", "n", "leader")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(a, b, both, either) of each pair: sizes of intersection and union of the full sets."""
+def _with_sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(a, b, x, y, both): each pair with its full sets and the size of their intersection."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = materialize(sets_of(docs, ids, doc_id, text), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).alias("both")
-    got = pairs.join(right, "b").join(left, "a").select("a", "b", both, (F.size("x") + F.size("y")).alias("sizes"))
-    return got.select("a", "b", "both", (F.col("sizes") - F.col("both")).alias("either"))
-
-
-def _linked(confirmed: DataFrame) -> DataFrame:
-    return confirmed.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * F.col("either")).select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).distinct()
-
-
-def links(docs: DataFrame, reps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links (u, v) between class representatives, stars (u, v): each node and the smallest of its component)."""
-    members = materialize(_tables(reps).where("node is not null"), "members")
-    pairs = materialize(
-        members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
-    )
-    tried = materialize(_confirmed(docs, pairs, doc_id, text), "confirmed")
-    found = _linked(tried)
-    stars = star_contraction(found, [])
-
-    component = F.coalesce("v", "node").alias("comp")
-    away = F.lit(1.0) - F.col("both") / F.col("either")
-    near = tried.select(F.col("a").alias("leader"), F.col("b").alias("node"), away.alias("away"))
-    placed = (
-        members.join(stars.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "leader", component)
-        .join(near.groupBy("leader", "node").agg(F.min("away").alias("away")), ["leader", "node"], "left")
-    )
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.where("node <> leader").join(mixed, "key", "left_semi")
-    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "away")]) for s in "ab")
-    apart = (
-        a.join(b, "key").where("node_a < node_b and comp_a <> comp_b")
-        .where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(PERCENT) * F.greatest("n_a", "n_b"))
-        .where(F.abs(F.col("away_a") - F.col("away_b")) <= 1 - PERCENT / 100 + 1e-9)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    )
-    apart = materialize(apart, "apart")
-    if apart.isEmpty():
-        return found, stars
-    more = materialize(_linked(_confirmed(docs, apart, doc_id, text)), "more")
-    if more.isEmpty():
-        return found, stars
-    return found.union(more).distinct(), star_contraction(stars.select("u", "v").union(more).distinct(), [])
+    return pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+
+
+def _linked(both: Column, sizes: Column) -> Column:
+    return F.lit(100) * both >= F.lit(PERCENT) * (sizes - both)
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+
+
+def _overlapping(tried: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one leader, one of them not linked with it, that the differences leave possible.
+
+    ``tried`` has (a, b, linked, n, differs): leader, member, the member's set size and its difference from the
+    leader's set. With slack = |D| - n / 9 a pair needs an overlap of (slack + slack) / 2.
+    """
+    part = 1 - PERCENT / 100
+    part = part / (1 + PERCENT / 100)  # 1/9 at 80 %: the share of two linked sets' sizes that may differ
+    tried = tried.withColumn("slack", F.size("differs") - F.col("n") * F.lit(part))
+    least = tried.groupBy("a").agg(
+        F.min("slack").alias("any"), F.min(F.when(~F.col("linked"), F.col("slack"))).alias("open"), F.count(F.lit(1)).alias("c")
+    ).where("c > 1 and open is not null")
+    overlap = F.ceil((F.col("slack") + F.when(F.col("linked"), F.col("open")).otherwise(F.col("any"))) / 2 - F.lit(1e-6))
+    rows = tried.join(least, "a").withColumn("prefix", F.size("differs") - F.greatest(overlap, F.lit(1)) + 1).where("prefix > 0")
+    items = materialize(rows.select("a", "b", "linked", "n", "slack", "prefix", F.explode("differs").alias("e")), "differences")
+    counts = items.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("closed")).where("df > 1 and not closed")
+    singles = items.groupBy("a", "b").agg(F.count(F.lit(1)).alias("all"))
+    common = items.join(counts, ["a", "e"]).join(singles, ["a", "b"])
+    rarest = Window.partitionBy("a", "b").orderBy("df", "e")
+    many = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+    # the shingles that no partner shares come first in the order of rarity
+    place = F.row_number().over(rarest) + F.col("all") - many
+    heads = materialize(common.withColumn("place", place).where("place <= prefix").select("a", "b", "linked", "n", "slack", "e"), "heads")
+    z, x = (heads.select("a", "e", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "linked", "n", "slack")]) for s in "zx")
+    got = z.where("not linked_z").join(x, ["a", "e"]).where("b_z <> b_x and (linked_x or b_z < b_x)")
+    got = got.where(F.lit(100) * F.least("n_z", "n_x") >= F.lit(PERCENT) * F.greatest("n_z", "n_x"))
+    return got.select(F.least("b_z", "b_x").alias("a"), F.greatest("b_z", "b_x").alias("b")).distinct()
+
+
+def links(docs: DataFrame, reps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (u, v), u > v, between class representatives; their components are those of all links."""
+    pairs = _tables(reps).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    full = _with_sets(docs, materialize(pairs, "pairs"), doc_id, text)
+    away = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
+    linked = _linked(F.col("both"), F.size("x") + F.size("y")).alias("linked")
+    tried = materialize(full.select("a", "b", linked, F.size("y").alias("n"), away.alias("differs")), "tried")
+    found = _edges(tried.where("linked"))
+    rest = materialize(_overlapping(tried), "rest")
+    if rest.isEmpty():
+        return found
+    more = _with_sets(docs, rest, doc_id, text).where(_linked(F.col("both"), F.size("x") + F.size("y")))
+    return materialize(found.union(_edges(more)).distinct(), "links")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,7 +207,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     classes = materialize(named.groupBy(*whole).agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes, [F.col("doc_id") == F.col("rep"), *[named[c] == classes[c] for c in whole]], "left_semi")
     reps = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["node", "n"])
-    stars = links(docs, reps, doc_id, text)[1]
+    stars = star_contraction(links(docs, reps, doc_id, text), [])
     roots = classes.join(stars.withColumnRenamed("u", "rep"), "rep", "left").select(*whole, F.coalesce("v", "rep").alias("root"))
     out = signed.drop("keys").join(materialize(roots, "roots"), whole, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
