@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup, quality, substring_dedup, toxicity, url_filter
+from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup, quality, substring_dedup, token_counts, toxicity, url_filter
 from lesionlens.llm.columns import held_out
 from lesionlens.llm.sampling import labelled_sample
+from lesionlens.session import checkpoint_root
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,6 +46,12 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
 
 
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = token_counts.TokenLedger(spark, f"{checkpoint_root(spark).rstrip('/')}/token-ledger-{uuid4().hex}")
+    ledger.apply("documents", table(spark, sf, "documents"))
+    return ledger.rollup()
+
+
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"))
 
@@ -63,7 +72,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return with_fold(quality.predict(docs, model), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op7_url_filter, op8_decontamination, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
