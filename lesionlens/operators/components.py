@@ -217,7 +217,7 @@ def _min_per_node(edges: DataFrame, node: list[str], salts: int) -> DataFrame:
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)))
     least = edges.groupBy(*node).agg(F.min("v").alias("m"))
     copies = least.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [*node, "_s"]).drop("_s")
+    return salted.join(copies.hint("merge"), [*node, "_s"]).drop("_s")
 
 
 def star_contraction(edges: DataFrame, keys: list[str], max_rounds: int = 50, salts: int = 8) -> DataFrame:
