@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lesionlens.functions.fixed import VOLUME_SUFFIX
 
@@ -19,6 +19,12 @@ def norm_missing(c: str | Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
+def known(df: DataFrame) -> DataFrame:
+    """``df`` with NaN and infinities of its DOUBLE and FLOAT columns as NULL."""
+    kinds = {f.name: f.dataType for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.withColumns({c: norm_missing(F.col(f"`{c}`")).cast(t) for c, t in kinds.items()}) if kinds else df
+
+
 def row_mean(*cols: str | Column) -> Column:
     """Mean over columns; missing as soon as one of them is."""
     return reduce(lambda a, b: a + b, [col(c) for c in cols]) / F.lit(float(len(cols)))
@@ -53,9 +59,9 @@ def below(c: str | Column, t: float) -> Column:
 
 
 def float_gt(p: str | Column, t: float | Column) -> Column:
-    """Strict threshold in single precision: the threshold is rounded to FLOAT before comparing."""
+    """Strict threshold in single precision: the threshold is rounded to FLOAT before comparing. NaN is above nothing."""
     t = t if isinstance(t, Column) else F.lit(float(t))
-    return col(p) > t.cast("float")
+    return (col(p) > t.cast("float")) & ~F.isnan(col(p))
 
 
 def case_id(path: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lesionlens.functions.fixed import FAILURE_PERCENTILES
-from lesionlens.functions.scalars import flag
+from lesionlens.functions.scalars import flag, norm_missing
 from lesionlens.operators.lookup import with_scalars
 from lesionlens.operators.ordered import quantiles
 
@@ -15,10 +15,11 @@ def quantile_flags(
     percentiles: tuple[int, ...] = FAILURE_PERCENTILES, prefix: str = "failure",
 ) -> DataFrame:
     """Add {prefix}_eligible (value present) and {prefix}_bottomNN (value at or below that quantile)."""
+    score = norm_missing(value)  # NaN and infinities are missing
     cuts = quantiles(df, [], value, {f"_q{p}": p / 100 for p in percentiles}, [case])
-    out = with_scalars(df, cuts).withColumn(f"{prefix}_eligible", F.col(value).isNotNull())
+    out = with_scalars(df, cuts).withColumn(f"{prefix}_eligible", score.isNotNull())
     for p in percentiles:
-        out = out.withColumn(f"{prefix}_bottom{p:02d}", flag(F.col(value) <= F.col(f"_q{p}")))
+        out = out.withColumn(f"{prefix}_bottom{p:02d}", flag(score <= F.col(f"_q{p}")))
     return out.drop(*[f"_q{p}" for p in percentiles])
 
 

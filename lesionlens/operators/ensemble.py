@@ -17,11 +17,12 @@ def ensemble_mean(
     """Weighted mean of member probabilities per voxel.
 
     A member without a row for a voxel counts as 0 there, so sums are divided by the declared total
-    weight. Members may only be sparsified after averaging, never before at a decision threshold.
+    weight; a member without a declared weight is an error. Members may only be sparsified after averaging, never before at a decision threshold.
     """
     total = float(sum(weights.values()))
     w = F.create_map(*[F.lit(v) for kv in weights.items() for v in (kv[0], float(kv[1]))])
-    w = F.coalesce(F.try_element_at(w, F.col(member)), F.lit(0.0))
+    undeclared = F.raise_error(F.concat(F.lit("no weight declared for member "), F.coalesce(F.col(member).cast("string"), F.lit("NULL"))))
+    w = F.coalesce(F.try_element_at(w, F.col(member)), undeclared.cast("double"))
     return prob.groupBy(*keys, *AXES).agg(
         *[(F.sum(F.col(v).cast("double") * w) / F.lit(total)).alias(v) for v in values]
     )
@@ -34,10 +35,12 @@ def tta_mean(
     """Predictions of mirrored volumes turned back and averaged.
 
     ``flip`` names the mirrored axes (a subset of "xyz"); ``dims`` holds dim_z, dim_y, dim_x per key.
+    A mirrored case without dimensions and a code that is not one of ``codes`` are errors.
     """
-    rows = lookup(prob, dims.select(*dim_keys, *[f"dim_{a}" for a in AXES]), dim_keys, list(AXES), how="inner")
+    rows = lookup(prob, dims.select(*dim_keys, *[f"dim_{a}" for a in AXES]), dim_keys, list(AXES))
+    size = {a: F.coalesce(F.col(f"dim_{a}"), F.raise_error(F.lit("a case without dimensions")).cast("int")) for a in AXES}
     for a in AXES:
-        back = F.when(F.contains(flip, F.lit(a)), F.col(f"dim_{a}") - 1 - F.col(a)).otherwise(F.col(a))
+        back = F.when(F.contains(flip, F.lit(a)), size[a] - 1 - F.col(a)).otherwise(F.col(a))
         rows = rows.withColumn(a, back.cast("int"))
     return ensemble_mean(rows, keys, flip, {c: 1.0 for c in codes}, values)
 

@@ -75,7 +75,7 @@ def table_digest(df: DataFrame, digest: str = "sha256") -> DataFrame:
     The row digests are summed limb by limb (exact integers, combined map-side) and the sums hashed, so
     no task ever sees the table; repeated rows count.
     """
-    limbs = [F.conv(F.substring(digest, 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    limbs = [F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)") for k in range(4)]
     sums = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(x).alias(f"_l{k}") for k, x in enumerate(limbs)])
     text = F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"_l{k}").cast("string") for k in range(4)])
     return sums.select("n_rows", F.sha2(text, 256).alias("digest"))
@@ -101,23 +101,27 @@ def _affine_matches(a: Column, b: Column, atol: float) -> Column:
 
 
 def _side_by_side(ref: DataFrame, out: DataFrame, key: str) -> DataFrame:
-    return ref.select(key, F.col("affine").alias("ref_affine"), F.col("shape").alias("ref_shape")).join(
-        out.select(key, F.col("affine").alias("out_affine"), F.col("shape").alias("out_shape")), key
+    return ref.select(key, F.col("affine").alias("ref_affine"), F.col("shape").alias("ref_shape"), F.lit(True).alias("_in_ref")).join(
+        out.select(key, F.col("affine").alias("out_affine"), F.col("shape").alias("out_shape"), F.lit(True).alias("_in_out")), key, "full"
     )
 
 
 def geometry_matches(ref: DataFrame, out: DataFrame, key: str, atol: float = 0.0) -> DataFrame:
-    """(key, matches): shape exactly equal and affine within ``atol`` (bit-exact by default, no relative part)."""
+    """(key, matches): shape exactly equal and affine within ``atol`` (bit-exact by default, no relative part).
+
+    A case that only one side has does not match.
+    """
     same = (F.col("ref_shape") == F.col("out_shape")) & _affine_matches(F.col("ref_affine"), F.col("out_affine"), atol)
-    return _side_by_side(ref, out, key).select(key, same.alias("matches"))
+    return _side_by_side(ref, out, key).select(key, F.coalesce(same, F.lit(False)).alias("matches"))
 
 
 def geometry_violations(ref: DataFrame, out: DataFrame, key: str, atol: float = 0.0) -> DataFrame:
-    """Mismatching cases with ``reason`` shape (checked first) or affine, and both values."""
-    reason = F.when(F.col("ref_shape") != F.col("out_shape"), "shape").when(
-        ~_affine_matches(F.col("ref_affine"), F.col("out_affine"), atol), "affine"
+    """Mismatching cases with ``reason`` missing, extra, shape (checked in this order) or affine, and both values."""
+    absent = F.when(F.col("_in_out").isNull(), "missing").when(F.col("_in_ref").isNull(), "extra")
+    reason = absent.when(~F.col("ref_shape").eqNullSafe(F.col("out_shape")), "shape").when(
+        ~F.coalesce(_affine_matches(F.col("ref_affine"), F.col("out_affine"), atol), F.lit(False)), "affine"
     )
-    return _side_by_side(ref, out, key).withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return _side_by_side(ref, out, key).withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_in_ref", "_in_out")
 
 
 def shape_guard(vox: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,11 +137,14 @@ def shape_guard(vox: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame
 
 
 def manifest(labels: DataFrame, files: DataFrame, key: str, lab: str, content: str, name: str) -> DataFrame:
-    """(key, file, labels, valid, sha256, n_cases): one row per finished case.
+    """(key, file, labels, valid, sha256, status, n_cases): one row per case and file.
 
-    The total is one number, attached from an ungrouped aggregate.
+    ``status`` is ok, missing (labels without a file) or extra (a file without labels); ``n_cases`` counts the
+    finished cases, those that are ok. It is one number, attached from an ungrouped aggregate.
     """
-    domain = label_domain(labels, [key], lab)
-    rows = domain.join(content_digest(files, content).select(key, F.col(name).alias("file"), "sha256"), key)
-    total = rows.agg(F.countDistinct(key).alias("n_cases"))
-    return with_scalars(rows.select(key, "file", "labels", "valid", "sha256"), total)
+    domain = label_domain(labels, [key], lab).withColumn("_e", F.lit(1))
+    digests = content_digest(files, content).select(key, F.col(name).alias("file"), "sha256", F.lit(1).alias("_p"))
+    status = F.when(F.col("_p").isNull(), "missing").when(F.col("_e").isNull(), "extra").otherwise("ok")
+    rows = domain.join(digests, key, "full").withColumn("status", status)
+    total = rows.where("status = 'ok'").agg(F.countDistinct(key).alias("n_cases"))
+    return with_scalars(rows.select(key, "file", "labels", "valid", "sha256", "status"), total)

@@ -68,12 +68,13 @@ def stale_files(present: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def discover_cases(
-    files: DataFrame, labels: DataFrame, exports: DataFrame
+    files: DataFrame, labels: DataFrame, exports: DataFrame, expect: dict[int, int] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(cases, violations) from out-of-fold prediction files (fold, path), label files (path) and exports (fold, path).
 
     ``cases``: (case_index, fold, case_id, path), a dense index in (fold, name) order. ``violations``:
-    (reason, case_id) for a name in several folds, a missing label or a missing export.
+    (reason, case_id) for a name in several folds, a name repeated in a fold, a missing label, a missing export, and with
+    ``expect`` (cases of each fold) a fold whose number of cases is another, named fold <n>.
     """
     rows = files.select("fold", case_id("path").alias("case_id"), "path")
     rows = rows.withColumn("_order", F.struct("fold", "case_id"))
@@ -82,11 +83,18 @@ def discover_cases(
     )
     found = rows.select("fold", "case_id")
     several = found.groupBy("case_id").agg(F.countDistinct("fold").alias("_n")).where("_n > 1")
+    twice = found.groupBy("fold", "case_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     no_label = found.join(labels.select(case_id("path").alias("case_id")), "case_id", "left_anti")
     no_export = found.join(exports.select("fold", case_id("path").alias("case_id")), ["fold", "case_id"], "left_anti")
     violations = (
         several.select(F.lit("several folds").alias("reason"), "case_id")
+        .unionByName(twice.select(F.lit("duplicate").alias("reason"), "case_id"))
         .unionByName(no_label.select(F.lit("no label").alias("reason"), "case_id"))
         .unionByName(no_export.select(F.lit("no export").alias("reason"), "case_id"))
     )
+    if expect is not None:
+        wanted = found.sparkSession.createDataFrame(list(expect.items()), "fold int, _wanted bigint")
+        counts = found.groupBy("fold").agg(F.countDistinct("case_id").alias("_n")).join(wanted, "fold", "full")
+        off = counts.where(~F.col("_n").eqNullSafe(F.col("_wanted")))
+        violations = violations.unionByName(off.select(F.lit("count").alias("reason"), F.concat(F.lit("fold "), F.col("fold").cast("string")).alias("case_id")))
     return cases, violations

@@ -10,6 +10,13 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal names in which NULL keys meet; the keys are taken from the left."""
+    there = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    met = [F.col(k).eqNullSafe(F.col(r)) for k, r in there.items()]
+    return left.join(right.withColumnsRenamed(there), met, how).drop(*there.values())
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -19,7 +26,7 @@ def lookup(
     limit: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``left`` to a table that is unique on ``keys``, whose size is only known at run time.
+    """Join ``left`` to a table that is unique on ``keys``, whose size is only known at run time. NULL keys meet.
 
     ``right`` is written and counted. Up to ``limit`` rows it is broadcast. Beyond that the join
     is salted: a row of ``left`` goes to one of ``salts`` copies of its key, chosen from its ``spread``
@@ -27,10 +34,10 @@ def lookup(
     """
     right = materialize(right, "lookup")
     if right.count() <= limit:
-        return left.join(F.broadcast(right), keys, how)
+        return null_safe_join(left, F.broadcast(right), keys, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

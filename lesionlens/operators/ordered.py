@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lesionlens.functions.scalars import norm_missing
+from lesionlens.operators.lookup import null_safe_join
 from lesionlens.session import materialize
 
 SMALL_ROWS = 1_000_000
@@ -63,7 +65,7 @@ def ranked(
     ``before`` is the weight of the rows of the group with a smaller value, ``ties`` the weight of
     those with the same value (itself included), ``total`` the weight of the group. Rows with a NULL
     value are dropped. ``tiebreak`` columns only spread equal values over partitions, they do not
-    influence the result; ``by`` columns must not be NULL. ``rows`` is a known bound on the number of
+    influence the result; NULL is a group like any other. ``rows`` is a known bound on the number of
     rows of a ``df`` that is already stored or cheap to read twice.
     """
     df, group = _grouped(df.where(F.col(value).isNotNull()), list(by))
@@ -114,7 +116,7 @@ def ranked(
     at_lo = F.when(F.col(value) == F.col("_vlo"), F.col("_earlier")).otherwise(zero)
     at_hi = F.when(F.col(value) == F.col("_vhi"), F.col("_later")).otherwise(zero)
     return (
-        local.join(carry, [*group, PIECE])
+        null_safe_join(local, carry, [*group, PIECE])
         .withColumn("total", F.col("_total"))
         .withColumn("before", F.col("_prior") - at_lo + F.col("_upto") - F.col("_same"))
         .withColumn("ties", F.col("_same") + at_lo + at_hi)
@@ -174,7 +176,7 @@ def suffix_min(
     )
     return (
         pieces.withColumn("_here", F.min(value).over(inside))
-        .join(carry, [*group, PIECE])
+        .transform(null_safe_join, carry, [*group, PIECE])
         .withColumn(out, F.least("_here", "_after"))
         .drop(PIECE, "_all", "_here", "_after")
     )
@@ -192,11 +194,11 @@ def quantiles(
     """Exact linearly interpolated quantiles per group: one column per entry of ``probabilities``.
 
     A quantile needs the values at two positions; they are picked by position out of the ranked rows.
-    Groups without a value are absent. ``count`` names a column for the group size.
+    NaN and infinities are missing values; groups without a value are absent. ``count`` names a column for the group size.
     """
     names, qs = list(probabilities), [float(q) for q in probabilities.values()]
     extra = [c for c in dict.fromkeys(tiebreak) if c not in (*by, value)]
-    df = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), *extra)
+    df = df.select(*by, norm_missing(value).alias(value), *extra).where(F.col(value).isNotNull())
     df, n = stored(df, rows)
     keep = [F.col(count)] if count else []
     if n <= SMALL_ROWS:

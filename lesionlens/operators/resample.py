@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lesionlens.functions.fixed import INTERVAL, REPLICATES, REPLICATES_SHORT, SEED
 from lesionlens.functions.scalars import norm_missing, row_mean
-from lesionlens.operators.lookup import with_scalars
+from lesionlens.operators.lookup import null_safe_join, with_scalars
 from lesionlens.operators.ordered import quantiles, row_position, stored
 
 CHUNK = 8192
@@ -156,7 +156,7 @@ def _mean(v: str) -> Column:
 
 
 def _join(a: DataFrame, b: DataFrame, by: list[str], how: str = "left") -> DataFrame:
-    return a.join(b, by, how) if by else with_scalars(a, b)  # one row each without groups
+    return null_safe_join(a, b, by, how) if by else with_scalars(a, b)  # one row each without groups
 
 
 def bootstrap_mean(
@@ -209,7 +209,7 @@ def bootstrap_independent(
         point = known.groupBy(*by).agg(F.count("_v").alias(f"n_{name}"), F.avg("_v").alias(f"{name}_mean"))
         sums = bootstrap_sums(known, by, ["_v"], order, replicates, s, n)
         sides[name] = point, sums.select(*by, "replicate", _mean("_v").alias(f"_{name}"))
-    samples = sides["target"][1].join(sides["source"][1], [*by, "replicate"])
+    samples = null_safe_join(sides["target"][1], sides["source"][1], [*by, "replicate"])
     ci = percentile_interval(samples, by, F.col("_target") - F.col("_source"))
     point = _join(sides["target"][0], sides["source"][0], by, "inner").withColumn(
         "mean_difference", F.col("target_mean") - F.col("source_mean")

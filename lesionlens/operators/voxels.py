@@ -125,9 +125,12 @@ def bounding_boxes(vox: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def centroids(vox: DataFrame, keys: list[str], shapes: DataFrame, shape_keys: list[str]) -> DataFrame:
-    """Mean position per axis as a share of the volume's size (dim_z, dim_y, dim_x of ``shapes``)."""
+    """Mean position per axis as a share of the volume's size (dim_z, dim_y, dim_x of ``shapes``).
+
+    A case without a shape is kept with missing positions.
+    """
     mean = vox.groupBy(*keys).agg(*[F.avg(a).alias(f"_m{a}") for a in AXES])
-    return mean.join(shapes, shape_keys).select(
+    return mean.join(shapes, shape_keys, "left").select(
         *keys, *[(F.col(f"_m{a}") / F.col(f"dim_{a}")).alias(f"centroid_{a}") for a in AXES]
     )
 

@@ -9,6 +9,7 @@ from lesionlens.functions.scalars import (
     below, log_millilitres, log_volume, norm_missing, recode, relative_bias, row_mean, safe_ratio,
 )
 from lesionlens.operators import binning, embed, guards, ordered, ranks, resample, scores as sc
+from lesionlens.operators.lookup import lookup
 from lesionlens.plans.check_sql import SALT2, bootstrap_ctes, draw, fx, interval, with_
 from lesionlens.plans.fixtures import fixture, table
 from lesionlens.session import materialize
@@ -17,7 +18,7 @@ from lesionlens.sources import readers
 REPLICATES = 200
 PARTIAL_REPLICATES = 20
 METRICS = ("dsc_et", "dsc_tc", "dsc_wt")
-CONTRASTS = {"c2_minus_c1": ("c2", "c1"), "c4_minus_c3": ("c4", "c3"), "c3_minus_c1": ("c3", "c1"), "c5_minus_c4": ("c5", "c4")}
+CONTRASTS = {"c2_minus_c1": ("c2", "c1"), "c4_minus_c3": ("c4", "c3"), "c3_minus_c1": ("c3", "c1"), "c5_minus_c4": ("c5", "c4"), "c6_minus_c5": ("c6", "c5")}
 FEATURES = ("wt_volume", "et_volume", "et_wt_ratio", "largest_fraction", "n_large")
 OUTCOMES = ("mean_dice", "wt_dice", "tc_dice", "et_dice")
 HYPOTHESES = [
@@ -67,7 +68,7 @@ def norm_missing_q(spark, sf):
 
 
 def align_guard(spark, sf):
-    return guards.align_guard(scores(spark, sf), "config", "case_id", 5)
+    return guards.align_guard(scores(spark, sf), "config", "case_id", 7)
 
 
 def paired_join(spark, sf):
@@ -187,6 +188,36 @@ def avg_rank(spark, sf):
     return out.select("domain", "case_id", "et_dice", "avg_rank")
 
 
+MANY = 1 << 60  # rows that no plain window is meant for: the ranged way runs
+
+
+def _some_unnamed(spark, sf):
+    return features(spark, sf).withColumn("domain", F.nullif("domain", F.lit("MACHINERY")))
+
+
+def avg_rank_ranged(spark, sf):
+    out = ordered.average_rank(materialize(_some_unnamed(spark, sf), "features"), ["domain"], "et_dice", ["case_id"], rows=MANY)
+    return out.select("domain", "case_id", "et_dice", "avg_rank")
+
+
+def suffix_min_ranged(spark, sf):
+    out = ordered.suffix_min(materialize(_some_unnamed(spark, sf), "features"), ["domain"], ["case_id"], "wt_volume", rows=MANY)
+    return out.select("domain", "case_id", "suffix_min")
+
+
+def quantiles_ranged(spark, sf):
+    df = materialize(_some_unnamed(spark, sf), "features").withColumn(
+        "et_dice", F.when(F.col("case_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("et_dice")))
+    out = ordered.quantiles(df, ["domain"], "et_dice", {"q1": 0.25, "q2": 0.5, "q9": 0.9}, ["case_id"], "n", rows=MANY)
+    return _round(out, ["domain", "n"], ["q1", "q2", "q9"])
+
+
+def lookup_salted(spark, sf):
+    df = _some_unnamed(spark, sf)
+    sizes = df.groupBy("domain").agg(F.count(F.lit(1)).alias("n_domain"))
+    return lookup(df.select("case_id", "domain"), sizes, ["domain"], ["case_id"], limit=0)
+
+
 def pearson(spark, sf):
     return _round(ranks.pearson(features(spark, sf), "wt_volume", "mean_dice", ["domain"], p_value=False), ["domain", "n"], ["r"])
 
@@ -305,7 +336,9 @@ QUERIES = {
     "source_target_gap": source_target_gap, "scan_features": scan_features, "row_mean": row_mean_q,
     "log_volume": log_volume_q, "safe_ratios": safe_ratios, "volume_bias": volume_bias, "recode_default": recode_default,
     "abs_flags": abs_flags, "quantile_flags": quantile_flags, "failure_counts": failure_counts,
-    "domain_summary": domain_summary, "bootstrap_group": bootstrap_group, "avg_rank": avg_rank, "pearson": pearson,
+    "domain_summary": domain_summary, "bootstrap_group": bootstrap_group, "avg_rank": avg_rank,
+    "avg_rank_ranged": avg_rank_ranged, "suffix_min_ranged": suffix_min_ranged, "quantiles_ranged": quantiles_ranged,
+    "lookup_salted": lookup_salted, "pearson": pearson,
     "spearman": spearman, "partial_spearman": partial_spearman, "bootstrap_partial_rho": bootstrap_partial_rho,
     "partial_rho_table": partial_rho_table, "mann_whitney": mann_whitney, "failure_sensitivity": failure_sensitivity,
     "kruskal": kruskal, "association_tables": association_tables, "bh_fdr": bh_fdr, "qcut_median": qcut_median,
@@ -452,12 +485,14 @@ DOM = ("dom", " union all ".join(
     + " union all select domain, 'failure_bottom10', case_id, case when failure_bottom10 then 1.0e0 else 0.0e0 end from flagged where failure_eligible")
 
 
+UNNAMED = ("unnamed", "select * replace (nullif(domain, 'MACHINERY') as domain) from features")
+
 ORACLES = {
     "scan_filter_regex": with_(fx("subjects")) + r"select * from subjects where regexp_full_match(subject_id, 'case-\d{6}-seg\.nii\.gz') order by subject_id",
     "unpivot_scores": with_(S, LONG) + "select * from long",
     "norm_missing": """select l_returnflag, count(*) as n_rows, count(v) as n, round(avg(v), 6) as mean, max(v) as top
         from (select l_returnflag, case when l_linenumber in (3, 5, 6) then null else l_extendedprice end as v from lineitem) t group by 1""",
-    "align_guard": with_(S) + "select case_id, count(distinct config) as n_configs from scores group by 1 having count(distinct config) < 5",
+    "align_guard": with_(S) + "select case_id, count(distinct config) as n_configs from scores group by 1 having count(distinct config) < 7",
     "paired_join": with_(S, LONG, _pairs(CONTRASTS)) + 'select comparison, metric, case_id, l as "left", r as "right" from pairs where l is not null and r is not null',
     "aggregate_scores": with_(S, LONG) + "select config, metric, count(value) as n, round(avg(value), 9) as mean, round(stddev_samp(value), 9) as sd from long group by 1, 2",
     "bootstrap_paired": _paired_sql({"x": ("c2", "c1")}, ["metric"], True),
@@ -492,6 +527,11 @@ ORACLES = {
         + f"""select * from (select domain, count(et_dice) as n, round(avg(et_dice), 9) as mean from features group by 1) a
         join (select domain, {interval('mean_et_dice')} from rep group by 1) b using (domain)""",
     "avg_rank": with_(X) + f"select domain, case_id, et_dice, {_rank('domain', 'et_dice')} as avg_rank from features where et_dice is not null",
+    "avg_rank_ranged": with_(X, UNNAMED) + f"select domain, case_id, et_dice, {_rank('domain', 'et_dice')} as avg_rank from unnamed where et_dice is not null",
+    "suffix_min_ranged": with_(X, UNNAMED) + """select domain, case_id, min(wt_volume) over (partition by domain order by case_id desc) as suffix_min from unnamed""",
+    "quantiles_ranged": with_(X, UNNAMED) + """select domain, count(et_dice) as n, round(quantile_cont(et_dice, 0.25), 9) as q1, round(quantile_cont(et_dice, 0.5), 9) as q2,
+        round(quantile_cont(et_dice, 0.9), 9) as q9 from unnamed where case_id % 7 <> 0 and et_dice is not null group by 1""",
+    "lookup_salted": with_(X, UNNAMED) + "select case_id, domain, count(*) over (partition by domain) as n_domain from unnamed",
     "pearson": with_(X) + """select domain, count(*) as n, round(corr(wt_volume, mean_dice), 9) as r from features
         where wt_volume is not null and mean_dice is not null group by 1""",
     "spearman": with_(*SPEARMAN) + "select feature, outcome, n, round(rho, 9) as rho from rho",

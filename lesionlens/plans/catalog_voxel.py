@@ -128,6 +128,13 @@ def connected_components(spark, sf):
     return cc.connected_components(vox(spark, sf).select("case_id", "z", "y", "x"), CASE)
 
 
+SMALL_TILE = 8  # of 20 voxels a side, so that pieces of a component meet across tiles
+
+
+def connected_components_tiles(spark, sf):
+    return cc.connected_components(vox(spark, sf).select("case_id", "z", "y", "x"), CASE, tile=SMALL_TILE)
+
+
 def component_stats(spark, sf):
     comp = cc.connected_components(decoded(vox(spark, sf)), CASE, masks("pred_lab"))
     return cc.component_stats(comp, ["case_id", "mask"])
@@ -138,21 +145,29 @@ def min_size_filter(spark, sf):
     return cc.min_size_filter(comp, CASE, 5)
 
 
-def lesion_match(spark, sf):
+def lesion_match(spark, sf, tile=cc.TILE):
     comp = cc.connected_components(decoded(vox(spark, sf)), CASE, {
         "pred": vx.region_mask("pred_lab", "et"), "ref": vx.region_mask("ref_lab", "et"),
-    })
+    }, tile)
     pred, ref = (comp.where(F.col("mask") == m).drop("mask") for m in ("pred", "ref"))
     return cc.lesion_match(pred, ref, CASE)
 
 
-def morphology(spark, sf):
+def lesion_match_tiles(spark, sf):
+    return lesion_match(spark, sf, SMALL_TILE)
+
+
+def morphology(spark, sf, tile=cc.TILE):
     df = decoded(stored_vox(spark, sf))
     named = masks("ref_lab") | {f"pred_{r}": m for r, m in masks("pred_lab").items()}
-    out = mo.morphology(df, CASE, named, shapes(df))
+    out = mo.morphology(df, CASE, named, shapes(df), tile=tile)
     return out.select("case_id", "mask", *[F.round(c, 12).alias(c) for c in (*mo.COUNTS, *mo.SHAPES)])
 
 
+def morphology_tiles(spark, sf):
+    return morphology(spark, sf, SMALL_TILE)
+
+
 # --- operating points -------------------------------------------------------------------------------
 
 def _grid(spark, sf):
@@ -172,6 +187,10 @@ def grid_per_case(spark, sf):
     return _grid(spark, sf)
 
 
+def grid_per_case_tiles(spark, sf):
+    return g.grid_per_case(stored_vox(spark, sf), FOLDED, tile=SMALL_TILE)
+
+
 SUMMARY = [f"mean_dsc_{r}" for r in REGIONS] + ["mean_region_dsc"]
 LESIONS = ["tp_et", "fp_et", "fn_et"]
 SCORES = ["lesion_precision_et", "lesion_recall_et", "lesion_f1_et", "lesion_f2_et"]
@@ -240,11 +259,11 @@ def paired_effects_q(spark, sf):
 
 # --- ensembles and intensities ----------------------------------------------------------------------
 
-WEIGHTS = {k: 0.2 for k in range(1, 6)}
+WEIGHTS = {k: 1.0 for k in range(1, 8)}
 
 
 def ensemble_mean(spark, sf):
-    df = fixture(spark, sf, "members").where("member <= 5")
+    df = fixture(spark, sf, "members")
     out = ensemble.ensemble_mean(df, CASE, "member", WEIGHTS)
     return out.select("case_id", "z", "y", "x", *[F.round(p, 6).alias(p) for p in ensemble.PROBABILITIES])
 
@@ -287,6 +306,8 @@ QUERIES = {
     "crossfit_select": crossfit_select, "apply_selection": apply_selection, "topk_grid": topk_grid,
     "fold_counts": fold_counts, "regression_gate": regression_gate, "crossfit_per_case": crossfit_per_case,
     "paired_effects": paired_effects_q, "ensemble_mean": ensemble_mean, "tta_mean": tta_mean,
+    "connected_components_tiles": connected_components_tiles, "lesion_match_tiles": lesion_match_tiles,
+    "morphology_tiles": morphology_tiles, "grid_per_case_tiles": grid_per_case_tiles,
     "masked_zscore": masked_zscore, "intensity_fingerprint": intensity_fingerprint, "median_geometry": median_geometry,
 }
 
@@ -525,8 +546,8 @@ ORACLES = {
                      count(case when r is null and l is not null then 1 end) as n_dropped_right from sides2 group by 1) x using (metric)
         left join (select metric, {interval('mean_d')} from rep group by 1) c using (metric)""",
     "ensemble_mean": with_(fx("members")) + "select case_id, z, y, x, " + ", ".join(
-        f"round(sum(cast({p} as double) * 0.2e0) / 1.0e0, 6) as {p}" for p in ensemble.PROBABILITIES)
-        + " from members where member <= 5 group by 1, 2, 3, 4",
+        f"round(sum(cast({p} as double) * 1.0e0) / 7.0e0, 6) as {p}" for p in ensemble.PROBABILITIES)
+        + " from members group by 1, 2, 3, 4",
     "tta_mean": with_(fx("members"), ("back", """select case_id, case when member in (4, 6, 7) then 19 - z else z end as z,
         case when member in (3, 5, 7) then 19 - y else y end as y, case when member in (2, 5, 6) then 19 - x else x end as x,
         p_wt, p_tc, p_et from members""")) + "select case_id, z, y, x, " + ", ".join(
@@ -543,3 +564,6 @@ ORACLES = {
         quantile_cont(cast(dy as double), 0.5) as median_dim_y, quantile_cont(cast(dx as double), 0.5) as median_dim_x,
         quantile_cont(s, 0.5) as median_spacing from b""",
 }
+
+# the same results whatever the tile
+ORACLES |= {f"{name}_tiles": ORACLES[name] for name in ("connected_components", "lesion_match", "morphology", "grid_per_case")}

@@ -55,14 +55,14 @@ FIXTURES = {
                max(cast(round(l_extendedprice * 100) as bigint)) / 100.0e0 as intensity,
                max(case when l_returnflag = 'N' then 1 else 0 end) as inside
         from {lineitem} group by 1, 2, 3, 4, 5""",
-    # five configurations of one score table
+    # seven configurations of one score table
     "scores": """
         select concat('c', cast(l_linenumber as string)) as config, l_partkey as case_id,
                case when max(cast(round(l_discount * 100) as bigint)) = 0 then null
                     else max(cast(round(l_discount * 100) as bigint)) / 10.0e0 end as dsc_et,
                max(cast(round(l_tax * 100) as bigint)) / 8.0e0 as dsc_tc,
                max(cast(l_quantity as bigint)) / 50.0e0 as dsc_wt
-        from {lineitem} where l_linenumber <= 5 group by l_linenumber, l_partkey""",
+        from {lineitem} group by l_linenumber, l_partkey""",
     # one row per case: orders play the voxels of a case, status the reference, priority the prediction
     "features": """
         select case_id, fold, domain, cast(wt_volume as bigint) as wt_volume, cast(tc_volume as bigint) as tc_volume,

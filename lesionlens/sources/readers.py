@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lesionlens.functions.fixed import METRIC_FAMILIES, REGIONS, SUMMARY_KEYS, VOLUME_SUFFIX
-from lesionlens.functions.scalars import case_id
+from lesionlens.functions.scalars import case_id, known
 from lesionlens.operators.guards import assert_empty, count_guard, shape_guard
 
 SCORE_SCHEMA = T.StructType(
@@ -27,10 +27,10 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     missing = [f.name for f in wanted if f.name not in header.columns]
     if missing:
         raise ValueError(f"{path}: columns {missing} are missing")
-    # an empty field is missing; anything else has to fit the declared type
-    return header.select(*[
+    # an empty field is missing, so are NaN and infinities; anything else has to fit the declared type
+    return known(header.select(*[
         F.when(F.trim(F.col(f"`{f.name}`")) != "", F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in wanted
-    ])
+    ]))
 
 
 def read_scores(
@@ -54,7 +54,7 @@ def keep_matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
 
 def read_features(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.schema(schema).parquet(path)
+        return known(spark.read.schema(schema).parquet(path))
     return scan_csv(spark, path, schema)
 
 
@@ -119,7 +119,7 @@ def read_voxels(
     """
     axes = ["case_id", "z", "y", "x"]
     zero, none = F.lit(0).cast("tinyint"), F.lit(0.0).cast("float")
-    p = spark.read.schema(PROBABILITY_SCHEMA).parquet(prob)
+    p = known(spark.read.schema(PROBABILITY_SCHEMA).parquet(prob))
     parts = p.select(*axes, "p_wt", "p_tc", "p_et", zero.alias("ref_lab"), zero.alias("export_lab"))
     empty = [none.alias(c) for c in ("p_wt", "p_tc", "p_et")]
     lab = spark.read.schema(LABEL_SCHEMA).parquet(label)
