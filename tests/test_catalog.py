@@ -8,7 +8,8 @@ import os
 import pytest
 
 import check_oracles
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from lesionlens.plans import catalog
 
 SF = os.environ.get("LESIONLENS_TEST_SF", "/root/testdata/sf0.001")
 FAMILIES = (
@@ -16,9 +17,10 @@ FAMILIES = (
     "morphology", "grid_per_case", "crossfit_select", "crossfit_per_case", "tta_mean", "masked_zscore", "paired_join",
     "bootstrap_paired", "source_target_gap", "domain_summary", "spearman", "partial_rho_table", "mann_whitney", "kruskal",
     "bh_fdr", "qcut_median", "standardize", "missing_modalities", "discover_cases", "table_digest", "manifest",
-    "json_flatten", "geometry_violations",
+    "json_flatten", "geometry_violations", "avg_rank_ranged", "quantiles_ranged", "suffix_min_ranged", "lookup_salted",
+    "lesion_match_tiles", "grid_per_case_tiles", "ensemble_mean", "count_guard",
 )
-CHECKED = sorted(oracle_sql()) if os.environ.get("LESIONLENS_ALL") else FAMILIES
+CHECKED = sorted(catalog.ORACLES) if os.environ.get("LESIONLENS_ALL") else FAMILIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -33,9 +35,9 @@ def test_query_equals_sql(spark, con, name):
     assert problem is None, problem
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert queries()[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
