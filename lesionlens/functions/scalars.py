@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lesionlens.functions.fixed import VOLUME_SUFFIX
+from lesionlens.functions.fixed import DOMAIN_NAMES, UNKNOWN_DOMAIN, UNKNOWN_GROUP, VOLUME_SUFFIX
 
 
 def col(c: str | Column) -> Column:
@@ -79,6 +79,12 @@ def recode(c: str | Column, mapping: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(pairs, col(c)), F.lit(default))
 
 
+def domain_of(code: str | Column) -> Column:
+    """Display name of a case's group code: a case without a code is in the unknown group, a code without a name in
+    the unknown domain."""
+    return recode(F.coalesce(col(code), F.lit(UNKNOWN_GROUP)), DOMAIN_NAMES, UNKNOWN_DOMAIN)
+
+
 def any_bit(bits: str | Column, k: int) -> Column:
     """Is bit ``k`` of a mask set?"""
     return col(bits).bitwiseAND(F.lit(1 << k)) != 0

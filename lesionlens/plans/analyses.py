@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lesionlens.functions.fixed import (
-    BASELINE_MIN_VOXELS, BASELINE_THRESHOLD, COMPARISONS, CONFIGURATIONS, FAILURE_PERCENTILES, GRID_MIN_VOXELS,
+    BASELINE_MIN_VOXELS, BASELINE_THRESHOLD, COMPARISONS, CONFIGURATIONS, ET_FAILURE_BELOW, FAILURE_PERCENTILES, GRID_MIN_VOXELS,
     GRID_THRESHOLDS, METRIC_FAMILIES, MORPHOLOGY_FEATURES, OUTCOMES, PARTIAL_HYPOTHESES, PRIMARY_FAMILIES, REGIONS,
-    REPLICATES, REPLICATES_SHORT, SEED,
+    REPLICATES, REPLICATES_SHORT, SEED, UNKNOWN_DOMAIN, UNKNOWN_GROUP, WT_FAILURE_BELOW,
 )
-from lesionlens.functions.scalars import row_mean
+from lesionlens.functions.scalars import below, domain_of, row_mean
 from lesionlens.operators import binning, embed, grid, guards, ranks, scores
 from lesionlens.operators.morphology import case_morphology
 from lesionlens.operators.voxels import decode_regions, reconstruct_match
@@ -76,11 +76,14 @@ def case_features(metrics: DataFrame, vox: DataFrame, shapes: DataFrame, groups:
     """One row per case: Dice outcomes of ``metrics``, shape features of both sides, group, outcome mean and flags.
 
     ``metrics``: (case_id, fold, wt_dice, tc_dice, et_dice, ...); ``vox``: (case_id, z, y, x, ref_lab, pred_lab);
-    ``groups``: (case_id, header_domain).
+    ``groups``: (case_id, header_domain), or (case_id, group_code) to be named by the fixed dictionary.
     """
     df = metrics.join(case_morphology(vox, ["case_id"], shapes), "case_id", "left")
-    if groups is not None:
-        df = df.join(groups, "case_id", "left").fillna("Unknown domain", ["header_domain"])
+    if groups is not None and "group_code" in groups.columns:
+        df = df.join(groups, "case_id", "left").withColumn("header_domain", domain_of("group_code"))
+        df = df.withColumn("group_code", F.coalesce("group_code", F.lit(UNKNOWN_GROUP)))
+    elif groups is not None:
+        df = df.join(groups, "case_id", "left").fillna(UNKNOWN_DOMAIN, ["header_domain"])
     return df.withColumn("mean_dice", row_mean(*[f"{r}_dice" for r in ("wt", "tc", "et")]))
 
 
@@ -90,7 +93,10 @@ def failure_atlas(
     replicates: int = REPLICATES_SHORT, salt: int = SEED,
 ) -> dict[str, DataFrame]:
     """Where segmentation fails: domains, associations, failure effects, sensitivity, bins, components."""
-    df = _write_all({"case_features": (binning.quantile_flags(features), ["case_id"])}, target)["case_features"]
+    flagged = binning.quantile_flags(features).withColumns(
+        {"failure_et_lt_05": below("et_dice", ET_FAILURE_BELOW), "failure_wt_lt_08": below("wt_dice", WT_FAILURE_BELOW)}
+    )
+    df = _write_all({"case_features": (flagged, ["case_id"])}, target)["case_features"]
     columns, outcomes, hypotheses = list(columns), list(outcomes), list(hypotheses)
     flags = {p: f"failure_bottom{p:02d}" for p in FAILURE_PERCENTILES}
     rho = materialize(ranks.spearman(df, columns, outcomes).withColumn("_test", F.concat_ws("/", "feature", "outcome")), "rho")
@@ -108,6 +114,14 @@ def failure_atlas(
         "kruskal": (ranks.kruskal(df, domain, outcomes), ["outcome"]),
         "pca_explained": (explained, ["component"]),
         "pca_scores": (points, ["case_id"]),
+        "failure_counts": (scores.failure_counts(df, WT_FAILURE_BELOW, ET_FAILURE_BELOW), ["cases"]),
+        "wt_volume_medians": (binning.binned_median(df, "log_wt_volume", "wt_dice"), ["bin"]),
+        "et_volume_medians": (binning.binned_median(df, "log_et_volume", "et_dice"), ["bin"]),
+        "volume_failure_rate": (binning.binned_rate(df.where("failure_eligible"), "log_wt_volume", "failure_bottom10"), ["bin"]),
+    }, target)
+    stored |= _write_all({
+        "strongest_spearman": (scores.top_by_magnitude(stored["spearman"], "rho", ["feature", "outcome"]), ["feature", "outcome"]),
+        "strongest_effects": (scores.top_by_magnitude(stored["failure_effects"], "rank_biserial", ["feature"]), ["feature"]),
     }, target)
     document = bootstrap_document(stored["partial_intervals"], "case_features", salt, replicates, "case-sampling uncertainty only")
     write_document(document, f"{target.rstrip('/')}/partial_intervals_document")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.functions.fixed import ET_FAILURE_BELOW, FAILURE_PERCENTILES, SEED, WT_FAILURE_BELOW
+from lesionlens.functions.fixed import DOMAIN_NAMES, ET_FAILURE_BELOW, FAILURE_PERCENTILES, SEED, UNKNOWN_GROUP, WT_FAILURE_BELOW
 from lesionlens.functions.scalars import (
-    below, log_millilitres, log_volume, norm_missing, recode, relative_bias, row_mean, safe_ratio,
+    below, domain_of, log_millilitres, log_volume, norm_missing, recode, relative_bias, row_mean, safe_ratio,
 )
 from lesionlens.operators import binning, embed, guards, ordered, ranks, resample, scores as sc
 from lesionlens.operators.lookup import lookup
@@ -152,6 +152,15 @@ def recode_default(spark, sf):
     return features(spark, sf).select("case_id", recode("domain", DOMAIN_CODES, "Unknown domain").alias("header_domain"))
 
 
+def recode_chain(spark, sf):
+    """Customers to group codes by their latest order's priority, some without, some with a code without a name."""
+    codes = F.create_map(*[F.lit(x) for kv in {"1-URGENT": "GLI", "2-HIGH": "SSA", "3-MEDIUM": "MEN", "5-LOW": "OTHER"}.items() for x in kv])
+    last = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("p"))
+    known = last.select("case_id", F.try_element_at(codes, F.col("p")).alias("code"))
+    cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id")).join(known, "case_id", "left")
+    return cases.select("case_id", F.coalesce("code", F.lit(UNKNOWN_GROUP)).alias("group_code"), domain_of("code").alias("header_domain"))
+
+
 def abs_flags(spark, sf):
     return features(spark, sf).select(
         "case_id", below("et_dice", ET_FAILURE_BELOW).alias("et_failure"), below("wt_dice", WT_FAILURE_BELOW).alias("wt_failure")
@@ -334,7 +343,7 @@ QUERIES = {
     "bootstrap_paired": bootstrap_paired, "bootstrap_independent": bootstrap_independent,
     "bootstrap_region_mean": bootstrap_region_mean, "paired_comparisons": paired_comparisons,
     "source_target_gap": source_target_gap, "scan_features": scan_features, "row_mean": row_mean_q,
-    "log_volume": log_volume_q, "safe_ratios": safe_ratios, "volume_bias": volume_bias, "recode_default": recode_default,
+    "log_volume": log_volume_q, "safe_ratios": safe_ratios, "volume_bias": volume_bias, "recode_default": recode_default, "recode_chain": recode_chain,
     "abs_flags": abs_flags, "quantile_flags": quantile_flags, "failure_counts": failure_counts,
     "domain_summary": domain_summary, "bootstrap_group": bootstrap_group, "avg_rank": avg_rank,
     "avg_rank_ranged": avg_rank_ranged, "suffix_min_ranged": suffix_min_ranged, "quantiles_ranged": quantiles_ranged,
@@ -510,6 +519,11 @@ ORACLES = {
         f"(pred_{r}_volume - {r}_volume) * 1.0e0 / nullif({r}_volume, 0) as {r}_volume_bias" for r in ("et", "tc", "wt")) + " from features",
     "recode_default": with_(X) + "select case_id, case domain " + " ".join(f"when '{k}' then '{v}'" for k, v in DOMAIN_CODES.items())
         + " else 'Unknown domain' end as header_domain from features",
+    "recode_chain": """with k as (select o_custkey as case_id, case arg_max(o_orderpriority, o_orderkey) when '1-URGENT' then 'GLI' when '2-HIGH' then 'SSA'
+          when '3-MEDIUM' then 'MEN' when '5-LOW' then 'OTHER' end as code from orders group by 1)
+        select c_custkey as case_id, coalesce(code, 'UNKNOWN') as group_code, case code """
+        + " ".join(f"when '{k}' then '{v}'" for k, v in DOMAIN_NAMES.items()) + """ else 'Unknown domain' end as header_domain
+        from customer left join k on case_id = c_custkey""",
     "abs_flags": with_(X) + "select case_id, coalesce(et_dice < 0.5e0, false) as et_failure, coalesce(wt_dice < 0.8e0, false) as wt_failure from features",
     "quantile_flags": with_(X, CUTS, FLAGGED) + f"select case_id, {', '.join(FLAGS)} from flagged",
     "failure_counts": with_(X, CUTS, FLAGGED) + """select count(case when failure_bottom10 then 1 end) as bottom10,

@@ -34,13 +34,18 @@ def test_failure_atlas(spark, vox, tmp_path):
     d = dice(vox, ["case_id"]).groupBy("case_id").pivot("region", ["wt", "tc", "et"]).agg(F.first("dice"))
     metrics = d.select("case_id", (F.col("case_id") % 3).cast("int").alias("fold"), *[F.col(r).alias(f"{r}_dice") for r in ("wt", "tc", "et")])
     shapes = d.select("case_id", *[F.lit(s).alias(f"dim_{a}") for a, s in zip("zyx", SHAPE)])
-    groups = d.where("case_id % 5 <> 0").select("case_id", F.concat(F.lit("D"), F.col("case_id") % 2).alias("header_domain"))
+    groups = d.where("case_id % 5 <> 0").select("case_id", F.when(F.col("case_id") % 2 == 0, "GLI").otherwise("odd").alias("group_code"))
     features = analyses.case_features(metrics, vox, shapes, groups)
     out = analyses.failure_atlas(features, str(tmp_path / "atlas"), replicates=20)
     assert out["spearman"].count() == 21 * 4 and out["failure_sensitivity"].count() == 21 * 3
     assert out["partial_intervals"].count() == 4 and out["pca_explained"].count() == 10
-    assert {r["header_domain"] for r in out["domain_summary"].collect()} == {"D0", "D1", "Unknown domain"}
+    assert {r["header_domain"] for r in out["domain_summary"].collect()} == {"Domain A (q1/s0)", "Unknown domain"}
     assert out["failure_effects"].where("p_fdr < p_value").isEmpty()
+    assert out["strongest_spearman"].count() == 12 and out["strongest_effects"].count() == 12
+    cases = out["case_features"].count()
+    assert out["failure_counts"].first()["cases"] == cases
+    assert out["volume_failure_rate"].agg(F.sum("count")).first()[0] == out["case_features"].where("failure_eligible").count()
+    assert {"failure_et_lt_05", "failure_wt_lt_08"} <= set(out["case_features"].columns)
     document = spark.read.json(str(tmp_path / "atlas" / "partial_intervals_document")).first()
     assert len(document["estimates"]) == 4 and document["bootstrap"]["replicates"] == 20
     assert spark.read.json(str(tmp_path / "atlas" / "settings")).first()["analysis"] == "failure_atlas"
