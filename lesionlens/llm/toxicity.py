@@ -1,11 +1,12 @@
 """Toxicity: misspelt lexicon terms in context.
 
-*Lexicon.* A short list of insults and the words that a bounded sample of labelled documents marks as
-toxic (log-likelihood ratio), at most ``MAX_TERMS`` terms. Words one slip away from a term that the sample's clean
-documents use (closer, crown) are exceptions: they match themselves exactly and so are no misspelling.
+*Lexicon.* A short list of insults, and words and stems (written ``stem*``) that a bounded sample of labelled documents
+marks as toxic: of the candidates with a large log-likelihood ratio those are taken that cover most toxic documents
+not yet covered ``COVER`` times, at most ``MAX_TERMS``. Words near a term that the sample's clean documents use
+(closer, crown) are no misspellings.
 
 *Automaton.* The Levenshtein automata of all terms (one edit from five letters on, two from eight, a swap of neighbours
-is one edit) are intersected with the lexicon's trie and made deterministic once, on the driver; the table is a
+is one edit; stems match exactly and accept any ending) are intersected with the lexicon's trie and made deterministic once, on the driver; the table is a
 function of the lexicon alone. Tasks run it over all words of a batch at once, one letter per step.
 
 *Context.* A hit counts as quoted when quotation marks stand on both sides of it within ``WINDOW`` bytes; other hits
@@ -29,10 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lesionlens.llm import kernels
+from lesionlens.session import materialize
 
 FIT_ROWS = 3_000
-MAX_TERMS = 200
+MAX_TERMS = 60
+MAX_CANDIDATES = 2_000
+MAX_ORDINARY = 1_000
 LEAST_SUPPORT, LEAST_RATIO, LEAST_G = 4, 5.0, 28.0
+STEM, LONGEST_STEM = 4, 10  # letters
+COVER, LEAST_GAIN = 3, 0.005  # terms for each toxic document; share of them that a term has to add to
 WINDOW = 60
 TERMS = "clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split()
 
@@ -49,34 +55,35 @@ class Automaton:
     step: np.ndarray  # states x letters -> state; 0 is the start, -1 rejects
     edits: np.ndarray  # edits of the best accepted term, -1 in other states
     term: np.ndarray
+    ends: np.ndarray  # states in which a stem is complete
     longest: int
     alphabet: np.ndarray  # byte -> letter number; 0 is any letter outside the lexicon
-    terms: int  # words from this number on are exceptions
 
 
 @dataclass(frozen=True)
 class Model:
     lexicon: list[str]
     automaton: Automaton
+    ordinary: np.ndarray  # hashes of words that are no misspellings
     weights: np.ndarray  # of the bias and the features
 
 
 def allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 8 else 2
 
 
-def build(terms: list[str], exceptions: list[str] = ()) -> Automaton:
+def build(terms: list[str]) -> Automaton:
     """The deterministic intersection of the terms' Levenshtein automata with their trie.
 
     A position is (trie node, edits, swap): ``swap`` is the node that completes a swap of two letters, or None.
     """
-    bound = [*map(allowed, terms), *[0 for _ in exceptions]]
-    words = [*terms, *exceptions]
+    bound = list(map(allowed, terms))
+    words = [t.removesuffix("*") for t in terms]
     alphabet = np.zeros(256, np.int32)
     letters = sorted({b for t in words for b in t.encode()})
     alphabet[letters] = np.arange(1, len(letters) + 1)
     children: list[dict[int, int]] = [{}]
-    most, ends = [0], {}  # most edits of the terms below a node; term of a final node
+    most, ends, stems = [0], {}, {}  # most edits of the terms below a node; term of a final node
     for k, term in enumerate(words):
         node = 0
         for b in term.encode():
@@ -87,7 +94,7 @@ def build(terms: list[str], exceptions: list[str] = ()) -> Automaton:
                 most.append(0)
             node = children[node][c]
         most[node] = max(most[node], bound[k])
-        ends[node] = k
+        (stems if terms[k].endswith("*") else ends)[node] = k
 
     def closed(positions: set) -> frozenset:
         """With letters of the term left out; of positions at one node those with the fewest edits."""
@@ -127,10 +134,12 @@ def build(terms: list[str], exceptions: list[str] = ()) -> Automaton:
                 order.append(to)
             row.append(number[to] if to else -1)
         step.append(row)
+    stem = [next((stems[n] for n, e, swap in s if swap is None and e == 0 and n in stems), -1) for s in order]
     best = [min(((e, ends[n]) for n, e, swap in s if swap is None and n in ends and e <= bound[ends[n]]), default=(-1, -1)) for s in order]
+    best = [b if k < 0 else (0, k) for b, k in zip(best, stem)]
     return Automaton(
         np.array(step, np.int32).reshape(len(order), -1), np.array([b[0] for b in best], np.int32), np.array([b[1] for b in best], np.int32),
-        max((len(t.encode()) + e for t, e in zip(words, bound)), default=0), alphabet, len(terms),
+        np.array(stem) >= 0, max((len(w.encode()) + e for w, e in zip(words, bound)), default=0), alphabet,
     )
 
 
@@ -139,7 +148,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kernels.words(np.where(LETTER[data], data, np.uint8(32)), offsets)
 
 
-def hits(column: pa.Array, a: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hits(column: pa.Array, a: Automaton, ordinary: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, token place in the text, edits, term, quoted, tokens of each text) of every lexicon hit."""
     data, offsets = kernels.utf8(column)
     starts, ends, first = tokens(data, offsets)
@@ -148,11 +157,11 @@ def hits(column: pa.Array, a: Automaton) -> tuple[np.ndarray, np.ndarray, np.nda
     index = np.concatenate([[0], np.cumsum(lead)])
     letter = a.alphabet[low[lead]]
     at, size = index[starts], index[ends] - index[starts]
-    alive = np.flatnonzero(size <= a.longest)
+    alive = np.arange(len(size))
     state, got, final = np.zeros(len(alive), np.int32), [], []
     for step in range(a.longest + 1):
-        done = size[alive] == step
-        good = done & (a.edits[state] >= 0) & (a.term[state] < a.terms)
+        done = (size[alive] == step) | a.ends[state]
+        good = done & (a.edits[state] >= 0)
         got.append(alive[good])
         final.append(state[good])
         alive, state = alive[~done], state[~done]
@@ -163,6 +172,9 @@ def hits(column: pa.Array, a: Automaton) -> tuple[np.ndarray, np.ndarray, np.nda
     got, final = np.concatenate(got), np.concatenate(final)
     order = np.argsort(got, kind="stable")
     got, final = got[order], final[order]
+    if len(ordinary):
+        meant = (a.edits[final] == 0) | ~np.isin(kernels.hashes(low, starts[got], ends[got]), ordinary)
+        got, final = got[meant], final[meant]
     text = np.searchsorted(first, got, "right") - 1
     # quotes: ASCII ones not inside a word, « », and the three-byte typographic ones (E2 80 98..9F)
     mark = np.zeros(len(data) + 1, np.int64)
@@ -180,8 +192,8 @@ def hits(column: pa.Array, a: Automaton) -> tuple[np.ndarray, np.ndarray, np.nda
     return text, got - first[text], a.edits[final], a.term[final], quoted, np.diff(first)
 
 
-def features(column: pa.Array, a: Automaton) -> np.ndarray:
-    text, place, edits, _, quoted, n = hits(column, a)
+def features(column: pa.Array, a: Automaton, ordinary: np.ndarray) -> np.ndarray:
+    text, place, edits, _, quoted, n = hits(column, a, ordinary)
     rows = len(n)
     count = lambda keep: np.bincount(text[keep], minlength=rows).astype(float)
     plain, out = ~quoted, np.zeros((rows, len(FEATURES)))
@@ -196,40 +208,68 @@ def features(column: pa.Array, a: Automaton) -> np.ndarray:
     return out
 
 
+def _candidates(sample: DataFrame) -> DataFrame:
+    """(place, label, c): the words of each document, written ``word``, and the stems of its words, ``stem*``."""
+    words = sample.select("place", "label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))
+    words = words.where(F.length("w").between(STEM, 30))
+    sizes = F.sequence(F.lit(STEM), F.least(F.length("w"), F.lit(LONGEST_STEM)))
+    stems = F.transform(sizes, lambda n: F.concat(F.substring("w", F.lit(1), n), F.lit("*")))
+    return words.select("place", "label", F.explode(F.concat(F.array("w"), stems)).alias("c")).distinct()
+
+
 def lexicon(sample: DataFrame, terms: list[str] = TERMS, most: int = MAX_TERMS) -> list[str]:
-    """The given terms and the sample's most toxic words; Spark counts, ``most`` words reach the driver."""
-    words = sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))
-    sizes = sample.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in sizes}
+    """The given terms and what the sample marks as toxic.
+
+    Spark counts; the driver gets MAX_CANDIDATES candidates and, for them, the toxic documents of the bounded sample.
+    """
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return sorted(set(terms))
-    t, c = F.col("t"), F.col("c")
-    counts = words.where(F.length("w").between(4, 30)).groupBy("w").agg(
-        F.sum(F.col("label").cast("double")).alias("t"), F.sum(F.lit(1.0) - F.col("label")).alias("c")
-    ).where(t >= LEAST_SUPPORT)
+    rows = materialize(_candidates(sample), "terms")
+    t, c = F.col("t"), F.col("f")
+    counts = rows.groupBy("c").agg(F.sum(F.col("label").cast("double")).alias("t"), F.sum(F.lit(1.0) - F.col("label")).alias("f")).where(t >= LEAST_SUPPORT)
     part = lambda k, share: F.when(k > 0, k * F.log(k / ((t + c) * share))).otherwise(0.0)
     g = 2 * (part(t, toxic / (toxic + clean)) + part(c, clean / (toxic + clean)))
     ratio = (t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))
-    found = counts.withColumn("g", g).where((F.col("g") >= LEAST_G) & (ratio >= LEAST_RATIO)).orderBy(F.col("g").desc(), "w").limit(most)
-    return sorted({*terms, *[r["w"] for r in found.select("w").collect()]})
+    strong = counts.withColumn("g", g).where((F.col("g") >= LEAST_G) & (ratio >= LEAST_RATIO)).orderBy(F.col("g").desc(), "c").limit(MAX_CANDIDATES)
+    where = rows.where("label = 1").join(F.broadcast(strong.select("c")), "c").select("c", "place").collect()
+    number = {p: i for i, p in enumerate(sorted({r["place"] for r in where}))}
+    docs: dict[str, list[int]] = {}
+    for r in where:
+        docs.setdefault(r["c"], []).append(number[r["place"]])
+    need, picked = np.full(len(number), COVER), []
+    open_ = {k: np.array(v) for k, v in sorted(docs.items())}
+    while open_ and len(picked) < most:
+        gain = {k: int((need[v] > 0).sum()) for k, v in open_.items()}
+        best = max(open_, key=lambda k: (gain[k], not k.endswith("*"), len(k), k))  # of equals whole words, then long stems
+        if gain[best] < max(2, LEAST_GAIN * toxic):
+            break
+        picked.append(best)
+        need[open_[best]] -= 1
+        stem = best.removesuffix("*")
+        open_ = {k: v for k, v in open_.items() if not k.startswith(stem) and not stem.startswith(k.removesuffix("*"))}
+    return sorted({*terms, *picked})
 
 
-def ordinary(sample: DataFrame, automaton: Automaton, most: int = MAX_TERMS) -> list[str]:
-    """Words of clean documents that the automaton takes for misspelt terms, the most frequent first."""
+def ordinary(sample: DataFrame, automaton: Automaton, most: int = MAX_ORDINARY) -> np.ndarray:
+    """Hashes of words of clean documents that the automaton takes for misspelt terms, the most frequent words."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.pieces(batches):
             data, offsets = kernels.utf8(batch.column("text"))
             starts, ends, first = tokens(data, offsets)
             text, place, edits, *_ = hits(batch.column("text"), automaton)
-            pairs = {(int(t), bytes(kernels.LOWER[data[starts[i] : ends[i]]]).decode()) for t, i in zip(text[edits > 0], (first[text] + place)[edits > 0])}
+            at = (first[text] + place)[edits > 0]
+            word = kernels.hashes(kernels.LOWER[data], starts[at], ends[at]).view(np.int64)
+            pairs = sorted(set(zip(text[edits > 0].tolist(), word.tolist())))
             labels = batch.column("label").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([labels[t] for t, _ in pairs], pa.int32()), pa.array([w for _, w in pairs], pa.string())], names=["label", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([labels[t] for t, _ in pairs], pa.int32()), pa.array([w for _, w in pairs], pa.int64())], names=["label", "w"])
 
     toxic, clean = F.sum("label"), F.sum(1 - F.col("label"))
-    found = sample.select("label", "text").mapInArrow(near, "label int, w string").groupBy("w").agg(toxic.alias("t"), clean.alias("c"))
-    return sorted(r["w"] for r in found.where("c >= 2 and t < c").orderBy(F.col("c").desc(), "w").limit(most).collect())
+    found = sample.select("label", "text").mapInArrow(near, "label int, w bigint").groupBy("w").agg(toxic.alias("t"), clean.alias("c"))
+    rows = found.where("c >= 2 and t < c").orderBy(F.col("c").desc(), "w").limit(most).collect()
+    return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -251,20 +291,21 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 def train(sample: DataFrame, terms: list[str] = TERMS) -> Model:
     """Fit on a bounded sample (label, place, text)."""
+    sample = materialize(sample, "sample")
     words = lexicon(sample, terms)
     automaton = build(words)
-    automaton = build(words, ordinary(sample, automaton))
+    known = ordinary(sample, automaton)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.pieces(batches):
-            x = features(batch.column("text"), automaton)
+            x = features(batch.column("text"), automaton, known)
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), *map(pa.array, x.T)], names=["place", "label", *[f"x{i}" for i in range(x.shape[1])]])
 
     schema = "place bigint, label int, " + ", ".join(f"x{i} double" for i in range(len(FEATURES)))
     rows = sample.select("place", "label", "text").mapInArrow(extract, schema).toArrow()
     rows = rows.take(pc.sort_indices(rows, [("place", "ascending")]))
     x = np.column_stack([rows.column(f"x{i}").to_numpy() for i in range(len(FEATURES))])
-    return Model(words, automaton, _fit(x, rows.column("label").to_numpy()))
+    return Model(words, automaton, known, _fit(x, rows.column("label").to_numpy()))
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +315,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in kernels.pieces(batches):
-            x = features(batch.column("text"), m.automaton)
+            x = features(batch.column("text"), m.automaton, m.ordinary)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-(x @ m.weights[1:] + m.weights[0]))))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -194,10 +194,14 @@ AUTOMATON = toxicity.build(toxicity.TERMS)
 
 
 def test_toxicity_quotes_and_exceptions():
-    automaton = toxicity.build(toxicity.TERMS, ["closer"])
-    text, place, edits, term, quoted, n = toxicity.hits(pa.array(['he said "you idiot" to me', None, "", "idiot", "closer now", "don't, idoit"]), automaton)
-    assert text.tolist() == [0, 3, 5] and quoted.tolist() == [True, False, False] and edits.tolist() == [0, 0, 1]
+    texts = pa.array(['he said "you idiot" to me', None, "", "idiot", "closer now", "don't, idoit", "Zorbling", "zorb", "zor"])
+    automaton = toxicity.build([*toxicity.TERMS, "zorb*"])
+    text, place, edits, term, quoted, n = toxicity.hits(texts, automaton)
+    assert text.tolist() == [0, 3, 4, 5, 6, 7] and quoted.tolist() == [True] + [False] * 5 and edits.tolist() == [0, 0, 1, 1, 0, 0]
     assert n.tolist()[1:4] == [0, 0, 1]
+    data, offsets = kernels.utf8(pa.array(["closer"]))
+    known = kernels.hashes(data, np.array([0]), np.array([6]))
+    assert toxicity.hits(texts, automaton, known)[0].tolist() == [0, 3, 5, 6, 7]
 
 
 def labelled(spark, rows):
@@ -215,7 +219,7 @@ def test_toxicity_held_out(spark):
                 words[rng.randrange(60)] = rng.choice(insults)
         rows.append((i, " ".join(words), int(toxic)))
     model = toxicity.train(labelled(spark, rows[:300]))
-    assert "zorbnik" in model.lexicon
+    assert any(t.startswith("zorb") for t in model.lexicon)
     docs = table(spark, [(i, t.replace("moron", "morron")) for i, t, _ in rows])
     got = {r.doc_id: r.score for r in toxicity.predict(docs, model).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows[300:])
