@@ -34,10 +34,11 @@ FORWARD = [
 
 
 def voxel_code(z: str | Column = "z", y: str | Column = "y", x: str | Column = "x") -> Column:
-    """Voxel position as one BIGINT that sorts by (z, y, x); axes up to 2**20 voxels."""
+    """Voxel position as one BIGINT that sorts by (z, y, x); a position outside 0 to 2**20 - 1 is an error."""
     z, y, x = (F.col(a).cast("bigint") if isinstance(a, str) else a.cast("bigint") for a in (z, y, x))
     size = F.lit(1 << AXIS_BITS)
-    return (z * size + y) * size + x
+    inside = (F.least(z, y, x) >= 0) & (F.greatest(z, y, x) < size)
+    return F.when(inside, (z * size + y) * size + x).otherwise(F.raise_error(F.lit("voxel position out of range")).cast("bigint"))
 
 
 def _min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,6 +94,8 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         step = np.zeros(table.num_rows, dtype=bool)
         for name in keys:
             c = table.column(name).combine_chunks()
+            if c.null_count:
+                raise ValueError(f"key column {name} holds NULL; components need named volumes")
             step[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
         return np.cumsum(step)
 

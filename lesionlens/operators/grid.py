@@ -99,7 +99,7 @@ def grid_per_case(
         totals = cases.select(*keys).join(totals, keys, "left")
     cells = totals.join(lesions, keys, "left").withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     wide = cells.join(pred, [*keys, "mask"], "left").join(best, [*keys, "mask"], "left")
-    wide = wide.fillna(0).withColumn(
+    wide = wide.fillna(0, [c for c in wide.columns if c not in keys]).withColumn(
         "threshold", F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("mask") + 1)
     )
     rows = []

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lesionlens.functions.fixed import METRIC_FAMILIES, REGIONS, SUMMARY_KEYS, VOLUME_SUFFIX
 from lesionlens.functions.scalars import case_id, known
-from lesionlens.operators.guards import assert_empty, count_guard, shape_guard
+from lesionlens.operators.guards import assert_empty, count_guard, fold_leaks, shape_guard
+from lesionlens.operators.lookup import lookup
 
 SCORE_SCHEMA = T.StructType(
     [T.StructField("subject_id", T.StringType())]
@@ -110,9 +111,14 @@ def read_geometry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_voxels(
-    spark: SparkSession, prob: str, label: str, export: str | None = None, shapes: DataFrame | None = None
+    spark: SparkSession, prob: str, label: str, export: str | None = None, shapes: DataFrame | None = None,
+    cases: DataFrame | None = None, folds: list[int] | None = None,
 ) -> DataFrame:
-    """Probability, reference and exported labels per voxel, absent background as 0.
+    """(case_id, fold, z, y, x, probabilities, reference and exported labels) per voxel, absent background as 0.
+
+    The fold of a case is that of its probabilities, or of ``cases`` (case_id, fold), which also covers cases without any
+    probability above background. A case in several folds is an error. ``folds`` keeps the cases of some folds; of a
+    table partitioned by fold only those partitions are read.
 
     The sources are sparse voxel tables, aligned by one union and aggregation. With ``shapes``
     (case_id, dim_z, dim_y, dim_x) any voxel outside its volume is an error.
@@ -120,6 +126,12 @@ def read_voxels(
     axes = ["case_id", "z", "y", "x"]
     zero, none = F.lit(0).cast("tinyint"), F.lit(0.0).cast("float")
     p = known(spark.read.schema(PROBABILITY_SCHEMA).parquet(prob))
+    if folds is not None:
+        p = p.where(F.col("fold").isin(folds))
+    named = (p if cases is None else cases).select("case_id", F.col("fold").cast("int").alias("fold")).distinct()
+    if folds is not None:
+        named = named.where(F.col("fold").isin(folds))
+    assert_empty(fold_leaks(named, "case_id", "fold"), "cases in several folds")
     parts = p.select(*axes, "p_wt", "p_tc", "p_et", zero.alias("ref_lab"), zero.alias("export_lab"))
     empty = [none.alias(c) for c in ("p_wt", "p_tc", "p_et")]
     lab = spark.read.schema(LABEL_SCHEMA).parquet(label)
@@ -129,4 +141,7 @@ def read_voxels(
         parts = parts.unionByName(exp.select(*axes, *empty, zero.alias("ref_lab"), F.col("lab").alias("export_lab")))
     if shapes is not None:
         assert_empty(shape_guard(parts, shapes, ["case_id"]), "voxels outside their volume")
-    return parts.groupBy(*axes).agg(*[F.max(c).alias(c) for c in ("p_wt", "p_tc", "p_et", "ref_lab", "export_lab")])
+    values = ("p_wt", "p_tc", "p_et", "ref_lab", "export_lab")
+    rows = parts.groupBy(*axes).agg(*[F.max(c).alias(c) for c in values])
+    rows = lookup(rows, named, ["case_id"], ["z", "y", "x"], "left" if folds is None else "inner")
+    return rows.select("case_id", "fold", "z", "y", "x", *values)

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lesionlens.operators import ensemble, guards, inventory, lookup as lk, ordered
+from lesionlens.functions.scalars import float_gt
+from lesionlens.operators import binning, components, ensemble, guards, inventory, lookup as lk, ordered
 from lesionlens.sources import readers, writers
 
 EYE = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
@@ -144,6 +145,30 @@ def test_voxel_scan_aligns_sources(spark, tmp_path):
     assert (got[1]["ref_lab"], got[1]["export_lab"], got[1]["p_et"]) == (2, 0, 0.0)
     with pytest.raises(guards.GuardError):
         readers.read_voxels(spark, *args, shapes.withColumn("dim_z", F.lit(1)))
+    folds = {r["fold"] for r in spark.read.parquet(args[0]).collect()}
+    assert {r["fold"] for r in got.values()} == folds
+    assert readers.read_voxels(spark, *args, folds=[max(folds) + 1]).count() == 0
+    several = spark.createDataFrame([("a", 0), ("a", 1)], "case_id string, fold int")
+    with pytest.raises(guards.GuardError, match="several folds"):
+        readers.read_voxels(spark, *args, cases=several)
+
+
+def test_quantiles_and_thresholds_ignore_nan(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((0.1, 0.2, 0.3, nan, inf, None))], "case_id int, v double")
+    for rows in (None, 1 << 60):
+        got = ordered.quantiles(df, [], "v", {"q": 0.5}, ["case_id"], "n", rows=rows).first()
+        assert (got["q"], got["n"]) == (0.2, 3)
+    flagged = binning.quantile_flags(df, "v").orderBy("case_id").collect()
+    assert [r["failure_eligible"] for r in flagged] == [True, True, True, False, False, False]
+    above = df.select(float_gt(F.col("v").cast("float"), 0.15).alias("a")).collect()
+    assert [r["a"] for r in above] == [False, True, True, False, True, None]
+
+
+def test_null_keys_are_refused_by_components(spark):
+    vox = spark.createDataFrame([(None, 0, 0, 0)], "case_id int, z int, y int, x int")
+    with pytest.raises(Exception, match="holds NULL"):
+        components.connected_components(vox, ["case_id"]).count()
 
 
 @pytest.mark.parametrize("limit", [10, 0])
