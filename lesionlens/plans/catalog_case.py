@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lesionlens.functions.fixed import DOMAIN_NAMES, ET_FAILURE_BELOW, FAILURE_PERCENTILES, SEED, UNKNOWN_GROUP, WT_FAILURE_BELOW
 from lesionlens.functions.scalars import (
@@ -10,7 +10,7 @@ from lesionlens.functions.scalars import (
 )
 from lesionlens.operators import binning, embed, guards, ordered, ranks, resample, scores as sc
 from lesionlens.operators.lookup import lookup
-from lesionlens.plans.check_sql import SALT2, bootstrap_ctes, draw, fx, interval, with_
+from lesionlens.plans.check_sql import GRID, SALT2, bootstrap_ctes, correlation_p, digits, draw, fx, interval, normal_p, with_
 from lesionlens.plans.fixtures import fixture, table
 from lesionlens.session import materialize
 from lesionlens.sources import readers
@@ -227,18 +227,26 @@ def lookup_salted(spark, sf):
     return lookup(df.select("case_id", "domain"), sizes, ["domain"], ["case_id"], limit=0)
 
 
+def _digits(p: str) -> Column:
+    return F.when(F.col(p) > 1e-290, F.round(F.log10(p), 6)).alias(f"log10_{p}")
+
+
+def _tested(df: DataFrame, keys, columns, digits: int = 9, p=("p_value",)) -> DataFrame:
+    return df.select(*keys, *[F.round(c, digits).alias(c) for c in columns], *map(_digits, p))
+
+
 def pearson(spark, sf):
-    return _round(ranks.pearson(features(spark, sf), "wt_volume", "mean_dice", ["domain"], p_value=False), ["domain", "n"], ["r"])
+    return _tested(ranks.pearson(features(spark, sf), "wt_volume", "mean_dice", ["domain"]), ["domain", "n"], ["r"])
 
 
 def spearman(spark, sf):
-    out = ranks.spearman(features(spark, sf), list(FEATURES), list(OUTCOMES), p_value=False)
-    return _round(out, ["feature", "outcome", "n"], ["rho"])
+    out = ranks.spearman(features(spark, sf), list(FEATURES), list(OUTCOMES))
+    return _tested(out, ["feature", "outcome", "n"], ["rho"])
 
 
 def partial_spearman(spark, sf):
-    out = ranks.partial_spearman(features(spark, sf), HYPOTHESES, p_value=False)
-    return _round(out, ["label", "feature", "outcome", "controls", "n"], ["partial_rho"])
+    out = ranks.partial_spearman(features(spark, sf), HYPOTHESES)
+    return _tested(out, ["label", "feature", "outcome", "controls", "n"], ["partial_rho"])
 
 
 def bootstrap_partial_rho(spark, sf):
@@ -254,17 +262,18 @@ def partial_rho_table(spark, sf):
 
 
 def mann_whitney(spark, sf):
-    out = ranks.mann_whitney(flagged(spark, sf), "failure_bottom10", list(FEATURES), "failure_eligible", p_value=False)
-    return _round(out, ["feature", "n_failure", "n_nonfailure"], ["u_statistic", "rank_biserial", "failure_median", "nonfailure_median"])
+    out = ranks.mann_whitney(flagged(spark, sf), "failure_bottom10", list(FEATURES), "failure_eligible")
+    return _tested(out, ["feature", "n_failure", "n_nonfailure"], ["u_statistic", "rank_biserial", "failure_median", "nonfailure_median"])
 
 
 def failure_sensitivity(spark, sf):
-    out = ranks.failure_sensitivity(flagged(spark, sf), list(FEATURES), p_value=False)
-    return _round(out, ["percentile", "feature", "n_failure", "n_nonfailure"], ["u_statistic", "rank_biserial"])
+    out = ranks.failure_sensitivity(flagged(spark, sf), list(FEATURES))
+    p = ("p_value", "p_fdr_within_percentile")
+    return _tested(out, ["percentile", "feature", "n_failure", "n_nonfailure"], ["u_statistic", "rank_biserial"], p=p)
 
 
 def kruskal(spark, sf):
-    return _round(ranks.kruskal(features(spark, sf), "domain", list(OUTCOMES), p_value=False), ["outcome", "n", "groups"], ["h_statistic"], 6)
+    return _tested(ranks.kruskal(features(spark, sf), "domain", list(OUTCOMES)), ["outcome", "n", "groups"], ["h_statistic"], 6)
 
 
 def association_tables(spark, sf):
@@ -481,11 +490,15 @@ GROUPS = ("grouped", " union all ".join(
 
 
 def _mwu(source: str, keys: str) -> str:
-    return f"""select {keys}, n1 as n_failure, n2 as n_nonfailure, round(r1 - n1 * (n1 + 1) / 2.0e0, 9) as u_statistic,
-        round(2 * (r1 - n1 * (n1 + 1) / 2.0e0) / (n1 * n2 * 1.0e0) - 1, 9) as rank_biserial
-      from (select {keys}, count(case when hit then 1 end) as n1, count(case when not hit then 1 end) as n2,
-              sum(case when hit then rk end) as r1
-            from (select {keys}, hit, {_rank(keys, 'v')} as rk from {source}) a group by {keys}) b"""
+    """Mann-Whitney with p; needs the CTE grid."""
+    return f"""select {keys}, n1 as n_failure, n2 as n_nonfailure, round(u, 9) as u_statistic,
+        round(2 * u / (n1 * n2 * 1.0e0) - 1, 9) as rank_biserial, least(1.0e0, {normal_p('z')}) as p
+      from (select *, greatest((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0e0 - 0.5e0)
+                / sqrt(n1 * n2 / 12.0e0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1.0e0)))), 0) as z
+        from (select *, r1 - n1 * (n1 + 1) / 2.0e0 as u
+          from (select {keys}, count(case when hit then 1 end) as n1, count(case when not hit then 1 end) as n2,
+                sum(case when hit then rk end) as r1, sum(t * t - 1.0e0) as tie
+              from (select {keys}, hit, {_rank(keys, 'v')} as rk, count(*) over (partition by {keys}, v) as t from {source}) a group by {keys}) b) c) d"""
 
 
 OUTLONG = ("outlong", " union all ".join(f"select '{o}' as outcome, domain, case_id, {o} as v from features where {o} is not null" for o in OUTCOMES))
@@ -546,24 +559,32 @@ ORACLES = {
     "quantiles_ranged": with_(X, UNNAMED) + """select domain, count(et_dice) as n, round(quantile_cont(et_dice, 0.25), 9) as q1, round(quantile_cont(et_dice, 0.5), 9) as q2,
         round(quantile_cont(et_dice, 0.9), 9) as q9 from unnamed where case_id % 7 <> 0 and et_dice is not null group by 1""",
     "lookup_salted": with_(X, UNNAMED) + "select case_id, domain, count(*) over (partition by domain) as n_domain from unnamed",
-    "pearson": with_(X) + """select domain, count(*) as n, round(corr(wt_volume, mean_dice), 9) as r from features
-        where wt_volume is not null and mean_dice is not null group by 1""",
-    "spearman": with_(*SPEARMAN) + "select feature, outcome, n, round(rho, 9) as rho from rho",
-    "partial_spearman": with_(X, NAMED, *PARTIAL) + "select label, feature, outcome, controls, n, round(rho, 9) as partial_rho from prho join named using (label)",
+    "pearson": with_(X, GRID, ("c", """select domain, count(*) as n, corr(wt_volume, mean_dice) as r from features
+        where wt_volume is not null and mean_dice is not null group by 1"""), ("t", f"select *, {correlation_p('r', 'n - 2')} as p from c"))
+        + f"select domain, n, round(r, 9) as r, {digits('p')} as log10_p_value from t",
+    "spearman": with_(*SPEARMAN, GRID, ("t", f"select *, {correlation_p('rho', 'n - 2')} as p from rho"))
+        + f"select feature, outcome, n, round(rho, 9) as rho, {digits('p')} as log10_p_value from t",
+    "partial_spearman": with_(X, NAMED, *PARTIAL, GRID, ("t", f"select *, {correlation_p('rho', 'n - 2')} as p from prho"))
+        + f"select label, feature, outcome, controls, n, round(rho, 9) as partial_rho, {digits('p')} as log10_p_value from t join named using (label)",
     "bootstrap_partial_rho": with_(X, *RESAMPLED, *PARTIAL_B) + f"select label, {interval('rho')} from s_prho group by 1",
     "partial_rho_table": with_(X, NAMED, *PARTIAL, *RESAMPLED, *PARTIAL_B) + f"""select label, feature, outcome, controls, n, round(rho, 9) as partial_rho,
         ci_low, ci_high from prho join named using (label) left join (select label, {interval('rho')} from s_prho group by 1) c using (label)""",
-    "mann_whitney": with_(X, CUTS, FLAGGED, GROUPS, ("rows1", "select feature, v, failure_bottom10 as hit from grouped"))
-        + f"""select m.*, failure_median, nonfailure_median from ({_mwu('rows1', 'feature')}) m
+    "mann_whitney": with_(X, CUTS, FLAGGED, GROUPS, GRID, ("rows1", "select feature, v, failure_bottom10 as hit from grouped"))
+        + f"""select m.* exclude (p), {digits('p')} as log10_p_value, failure_median, nonfailure_median from ({_mwu('rows1', 'feature')}) m
         left join (select feature, round(quantile_cont(case when hit then v end, 0.5), 9) as failure_median,
           round(quantile_cont(case when not hit then v end, 0.5), 9) as nonfailure_median from rows1 group by 1) q using (feature)""",
-    "failure_sensitivity": with_(X, CUTS, FLAGGED, GROUPS, ("rows3", " union all ".join(
-        f"select {p} as percentile, feature, v, failure_bottom{p:02d} as hit from grouped" for p in FAILURE_PERCENTILES)))
-        + _mwu("rows3", "percentile, feature"),
+    "failure_sensitivity": with_(X, CUTS, FLAGGED, GROUPS, GRID, ("rows3", " union all ".join(
+        f"select {p} as percentile, feature, v, failure_bottom{p:02d} as hit from grouped" for p in FAILURE_PERCENTILES)),
+        ("m", _mwu("rows3", "percentile, feature")), ("k", """select *, row_number() over (partition by percentile order by p, feature) as rk,
+        count(*) over (partition by percentile) as c from m"""), ("a", """select *, least(1.0e0, min(p * c / rk) over (partition by percentile
+        order by p desc, feature desc rows unbounded preceding)) as q from k"""))
+        + f"""select percentile, feature, n_failure, n_nonfailure, u_statistic, rank_biserial, {digits('p')} as log10_p_value,
+        {digits('q')} as log10_p_fdr_within_percentile from a""",
     "kruskal": with_(X, OUTLONG, ("r", f"select outcome, domain, {_rank('outcome', 'v')} as rk, count(*) over (partition by outcome, v) as t from outlong"),
         ("g", "select outcome, domain, count(*) as n, sum(rk) as s, sum(t * t - 1) as tie from r group by 1, 2"))
-        + """select outcome, cast(n as bigint) as n, groups, round((12.0e0 / (n * (n + 1.0e0)) * q - 3 * (n + 1)) / (1 - tie / (n * 1.0e0 * n * n - n)), 6) as h_statistic
-        from (select outcome, sum(n) as n, count(*) as groups, sum(s * s / n) as q, sum(tie) as tie from g group by 1) a""",
+        + f"""select outcome, n, groups, round(h, 6) as h_statistic, {digits('exp(-h / 2) * (1 + h / 2)')} as log10_p_value from (
+        select outcome, cast(n as bigint) as n, groups, ((12.0e0 / (n * (n + 1.0e0)) * q - 3 * (n + 1)) / (1 - tie / (n * 1.0e0 * n * n - n))) as h
+        from (select outcome, sum(n) as n, count(*) as groups, sum(s * s / n) as q, sum(tie) as tie from g group by 1) a) b""",
     "bh_fdr": with_(fx("pvalues"), ("k", """select *, row_number() over (partition by family order by p_value, test_id) as rk,
         count(*) over (partition by family) as m from pvalues where p_value is not null""")) + """select family, test_id, p_value,
         round(least(1.0e0, min(p_value * m / rk) over (partition by family order by p_value desc, test_id desc rows unbounded preceding)), 12) as p_fdr from k
