@@ -290,7 +290,8 @@ def association_tables(spark, sf):
     kw = ranks.kruskal(df, "domain", list(OUTCOMES)).select(
         F.lit("kruskal").alias("test"), F.col("outcome").alias("name"), F.col("h_statistic").alias("effect"), "p_value")
     every = rho.unionByName(mw).unionByName(sens).unionByName(part).unionByName(kw)
-    return ranks.bh_fdr(every, "p_value", ["test"], "name")
+    out = ranks.bh_fdr(every, "p_value", ["test"], "name")
+    return _tested(out, ["test", "name"], ["effect"], 6, p=("p_value", "p_fdr"))
 
 
 def bh_fdr(spark, sf):
@@ -585,6 +586,21 @@ ORACLES = {
         + f"""select outcome, n, groups, round(h, 6) as h_statistic, {digits('exp(-h / 2) * (1 + h / 2)')} as log10_p_value from (
         select outcome, cast(n as bigint) as n, groups, ((12.0e0 / (n * (n + 1.0e0)) * q - 3 * (n + 1)) / (1 - tie / (n * 1.0e0 * n * n - n))) as h
         from (select outcome, sum(n) as n, count(*) as groups, sum(s * s / n) as q, sum(tie) as tie from g group by 1) a) b""",
+    "association_tables": with_(*SPEARMAN, NAMED, *PARTIAL, CUTS, FLAGGED, GROUPS, OUTLONG, GRID,
+        ("rows1", "select feature, v, failure_bottom10 as hit from grouped"),
+        ("rows3", " union all ".join(f"select {p} as percentile, feature, v, failure_bottom{p:02d} as hit from grouped" for p in FAILURE_PERCENTILES)),
+        ("kr", f"select outcome, domain, {_rank('outcome', 'v')} as rk, count(*) over (partition by outcome, v) as t from outlong"),
+        ("kg", "select outcome, domain, count(*) as n, sum(rk) as s, sum(t * t - 1) as tie from kr group by 1, 2"),
+        ("kh", """select outcome, ((12.0e0 / (n * (n + 1.0e0)) * q - 3 * (n + 1)) / (1 - tie / (n * 1.0e0 * n * n - n))) as h
+          from (select outcome, sum(n) as n, count(*) as groups, sum(s * s / n) as q, sum(tie) as tie from kg group by 1) a"""),
+        ("tests", f"""select 'spearman' as test, concat(feature, '/', outcome) as name, rho as effect, {correlation_p('rho', 'n - 2')} as p from rho
+          union all select 'mann_whitney', feature, rank_biserial, p from ({_mwu('rows1', 'feature')}) m
+          union all select concat('sensitivity_', percentile), feature, rank_biserial, p from ({_mwu('rows3', 'percentile, feature')}) m
+          union all select 'partial', label, rho, {correlation_p('rho', 'n - 2')} from prho
+          union all select 'kruskal', outcome, h, exp(-h / 2) * (1 + h / 2) from kh"""),
+        ("k", """select *, row_number() over (partition by test order by p, name) as rk, count(*) over (partition by test) as c from tests"""),
+        ("a", """select *, least(1.0e0, min(p * c / rk) over (partition by test order by p desc, name desc rows unbounded preceding)) as q from k"""))
+        + f"select test, name, round(effect, 6) as effect, {digits('p')} as log10_p_value, {digits('q')} as log10_p_fdr from a",
     "bh_fdr": with_(fx("pvalues"), ("k", """select *, row_number() over (partition by family order by p_value, test_id) as rk,
         count(*) over (partition by family) as m from pvalues where p_value is not null""")) + """select family, test_id, p_value,
         round(least(1.0e0, min(p_value * m / rk) over (partition by family order by p_value desc, test_id desc rows unbounded preceding)), 12) as p_fdr from k
