@@ -117,7 +117,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFram
                 names=["node", "shingles"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).join(ids, "node", "left_semi")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).join(ids.hint("merge"), "node", "left_semi")
     return rows.mapInArrow(shingles, "node bigint, shingles array<bigint>")
 
 
@@ -125,7 +125,7 @@ def _tables(reps: DataFrame) -> DataFrame:
     """(key, node, n, leader): members of every bucket that has at least two, with the bucket's leader."""
     halves = reps.select("node", "n", F.posexplode("keys").alias("half", "hk"))
     shared = halves.groupBy("hk").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    alive = halves.join(shared, "hk").groupBy("node", "n").agg(
+    alive = halves.join(shared.hint("merge"), "hk").groupBy("node", "n").agg(
         F.collect_set(F.when(F.col("half") < HALVES, F.col("hk"))).alias("a"),
         F.collect_set(F.when(F.col("half") >= HALVES, F.col("hk"))).alias("b"), F.sum("c").alias("shares"),
     )
@@ -135,7 +135,7 @@ def _tables(reps: DataFrame) -> DataFrame:
     leads = members.groupBy("key").agg(
         F.max(F.struct("shares", (-F.col("node")).alias("minus"))).alias("lead"), F.count(F.lit(1)).alias("c")
     ).where("c > 1").select("key", (-F.col("lead.minus")).alias("leader"))
-    return members.join(leads, "key").select("key", "node", "n", "leader")
+    return members.join(leads.hint("merge"), "key").select("key", "node", "n", "leader")
 
 
 def _with_sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -144,7 +144,7 @@ def _with_sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> Dat
     sets = materialize(sets_of(docs, ids, doc_id, text), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").withColumn("both", F.size(F.array_intersect("x", "y")))
 
 
 def _linked(both: Column, sizes: Column) -> Column:
@@ -168,18 +168,22 @@ def _overlapping(tried: DataFrame) -> DataFrame:
         F.min("slack").alias("any"), F.min(F.when(~F.col("linked"), F.col("slack"))).alias("open"), F.count(F.lit(1)).alias("c")
     ).where("c > 1 and open is not null")
     overlap = F.ceil((F.col("slack") + F.when(F.col("linked"), F.col("open")).otherwise(F.col("any"))) / 2 - F.lit(1e-6))
-    rows = tried.join(least, "a").withColumn("prefix", F.size("differs") - F.greatest(overlap, F.lit(1)) + 1).where("prefix > 0")
+    rows = tried.join(least.hint("merge"), "a").withColumn("prefix", F.size("differs") - F.greatest(overlap, F.lit(1)) + 1).where("prefix > 0")
     items = materialize(rows.select("a", "b", "linked", "n", "slack", "prefix", F.explode("differs").alias("e")), "differences")
     counts = items.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("closed")).where("df > 1 and not closed")
     singles = items.groupBy("a", "b").agg(F.count(F.lit(1)).alias("all"))
-    common = items.join(counts, ["a", "e"]).join(singles, ["a", "b"])
+    common = items.join(counts.hint("merge"), ["a", "e"]).join(singles.hint("merge"), ["a", "b"])
     rarest = Window.partitionBy("a", "b").orderBy("df", "e")
     many = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
     # the shingles that no partner shares come first in the order of rarity
     place = F.row_number().over(rarest) + F.col("all") - many
-    heads = materialize(common.withColumn("place", place).where("place <= prefix").select("a", "b", "linked", "n", "slack", "e"), "heads")
-    z, x = (heads.select("a", "e", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "linked", "n", "slack")]) for s in "zx")
-    got = z.where("not linked_z").join(x, ["a", "e"]).where("b_z <> b_x and (linked_x or b_z < b_x)")
+    columns = ("b", "linked", "n", "slack", "all", "place")
+    heads = materialize(common.withColumn("place", place).where("place <= prefix").select("a", "e", *columns), "heads")
+    z, x = (heads.select("a", "e", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "zx")
+    # the pair's own overlap has to fit behind the shared shingle on both sides
+    need = F.greatest(F.ceil((F.col("slack_z") + F.col("slack_x")) / 2 - F.lit(1e-6)), F.lit(1))
+    fits = (F.col("all_z") - F.col("place_z") + 1 >= need) & (F.col("all_x") - F.col("place_x") + 1 >= need)
+    got = z.where("not linked_z").join(x.hint("merge"), ["a", "e"]).where("b_z <> b_x and (linked_x or b_z < b_x)").where(fits)
     got = got.where(F.lit(100) * F.least("n_z", "n_x") >= F.lit(PERCENT) * F.greatest("n_z", "n_x"))
     return got.select(F.least("b_z", "b_x").alias("a"), F.greatest("b_z", "b_x").alias("b")).distinct()
 
@@ -205,11 +209,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     whole = ["n_shingles", "d1", "d2"]
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(named.groupBy(*whole).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes, [F.col("doc_id") == F.col("rep"), *[named[c] == classes[c] for c in whole]], "left_semi")
+    reps = named.join(classes.hint("merge"), [F.col("doc_id") == F.col("rep"), *[named[c] == classes[c] for c in whole]], "left_semi")
     reps = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["node", "n"])
     stars = star_contraction(links(docs, reps, doc_id, text), [])
-    roots = classes.join(stars.withColumnRenamed("u", "rep"), "rep", "left").select(*whole, F.coalesce("v", "rep").alias("root"))
-    out = signed.drop("keys").join(materialize(roots, "roots"), whole, "left")
+    roots = classes.join(stars.withColumnRenamed("u", "rep").hint("merge"), "rep", "left").select(*whole, F.coalesce("v", "rep").alias("root"))
+    out = signed.drop("keys").join(materialize(roots, "roots").hint("merge"), whole, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -220,4 +224,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One document of each component, with the columns of ``docs``. Repeated rows all stay or all go."""
     gone = components(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("bigint").alias("_id"))
-    return unpacked(rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti"), "row", docs.columns)
+    return unpacked(rows.join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti"), "row", docs.columns)
