@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lesionlens.operators.lookup import lookup
-from lesionlens.session import materialize
+from lesionlens.session import discard, materialize
 
 AXES = ("z", "y", "x")
 TILE = 64
@@ -230,7 +230,7 @@ def star_contraction(edges: DataFrame, keys: list[str], max_rounds: int = 50, sa
     shared storage; the loop ends when a round changes nothing and raises after ``max_rounds``.
     """
     node = [*keys, "u"]
-    seen = None
+    seen = last = None
     for _ in range(max_rounds):
         both = edges.select(*keys, "u", "v").union(
             edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
@@ -251,9 +251,10 @@ def star_contraction(edges: DataFrame, keys: list[str], max_rounds: int = 50, sa
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64(*node, "v").cast("decimal(38,0)"))
         ).first()
+        discard(last)  # of the rounds so far only the newest is read again
         if seen == tuple(state):
             return edges
-        seen = tuple(state)
+        seen, last = tuple(state), edges
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 

@@ -52,7 +52,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     Used where a plan must not be evaluated twice (range partition ids, iteration state) and where
     a later choice needs the real size of an intermediate result. Unlike cached blocks the files
     outlive executors, and unlike an RDD checkpoint they keep column pruning and size statistics.
-    The folder is dropped when the application ends.
+    The folder is dropped when the application ends, or earlier by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -60,4 +60,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a table from :func:`materialize` that nothing will read again; other tables are left alone."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
