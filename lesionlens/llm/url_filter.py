@@ -76,7 +76,7 @@ def ratio_model(runs: DataFrame, order: int = ORDER, seen: int = SEEN) -> DataFr
             level = level.withColumn("p_accepted", F.lit(1 / 256)).withColumn("p_rejected", F.lit(1 / 256))
         else:
             shorter = below.withColumnRenamed("run", "shorter")
-            level = level.withColumn("shorter", F.substring("run", 2, size)).join(shorter, "shorter")
+            level = level.withColumn("shorter", F.substring("run", 2, size)).join(shorter.hint("merge"), "shorter")
         mixed = {
             f"p_{c}": F.when(F.col(f"{c}_all") >= (seen if size else 1), (F.col(c) + F.col(f"{c}_kinds") * F.col(f"p_{c}")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds")))
             .otherwise(F.col(f"p_{c}")) for c in ("accepted", "rejected")
@@ -116,9 +116,9 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     ).fillna(0, ["accepted", "rejected"]), "sites")
     runs = _runs(sites, order)
     model = materialize(ratio_model(runs, order, seen), "ratios")
-    scores = runs.select("site", "run").join(model, "run").groupBy("site").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    scores = runs.select("site", "run").join(model.hint("merge"), "run").groupBy("site").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
     scores = materialize(scores, "scores")
     unseen = sites.where("decided is not null and not learn").select("site", F.col("decided").alias("verdict"))
-    line = threshold(unseen.join(scores, "site")).scalar()
+    line = threshold(unseen.join(scores.hint("merge"), "site")).scalar()
     verdict = F.coalesce("decided", F.when(F.col("score") >= line, "allow").otherwise("block"))
-    return rows.join(scores, "site").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return rows.join(scores.hint("merge"), "site").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
