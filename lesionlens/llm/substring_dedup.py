@@ -283,19 +283,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     anchors = materialize(anchors, "anchors")
     bound = max(HOT, (anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // HOT_MOST)
     hot = np.sort(np.array([r[0] for r in anchors.where(F.col("n") > bound).select("anchor").collect()], np.int64))
-    shared = _segments(rows, hot).join(anchors, "anchor", "left_semi")
+    shared = _segments(rows, hot).join(anchors.hint("merge"), "anchor", "left_semi")
     key = F.when(F.col("key") == 0, F.col("anchor")).otherwise(F.col("key")).alias("key")
     members = materialize(shared.select(key, "digest", "ident", "at"), "members")
     groups = members.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("ident", "at")).alias("first"))
     wanted = groups.select(F.col("first.ident").alias("ident"), F.struct(F.col("first.at").alias("at"), "key", "digest", "weight").alias("w"))
     wanted = materialize(wanted.groupBy("ident").agg(F.collect_list("w").alias("wanted")), "wanted")
-    contents = rows.join(wanted, "ident").select("text", "wanted").mapInArrow(_contents, "key bigint, digest bigint, weight bigint, words array<bigint>")
+    contents = rows.join(wanted.hint("merge"), "ident").select("text", "wanted").mapInArrow(_contents, "key bigint, digest bigint, weight bigint, words array<bigint>")
     contents = materialize(contents, "contents")
     total = contents.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     masks = contents.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(_search, "key bigint, digest bigint, mask bigint")
     masks = materialize(masks.where("mask <> 0"), "masks")
-    found = members.join(masks, ["key", "digest"]).select("ident", F.struct("at", "mask").alias("f")).distinct()
+    found = members.join(masks.hint("merge"), ["key", "digest"]).select("ident", F.struct("at", "mask").alias("f")).distinct()
     return found.groupBy("ident").agg(F.collect_list("f").alias("found"))
 
 
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = materialize(repeats(docs, doc_id, text), "found")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _identity(doc_id, text).alias("ident"))
     nothing = F.array().cast("array<struct<at:bigint,mask:bigint>>")
-    rows = rows.join(found, "ident", "left").select("doc_id", "text", F.coalesce("found", nothing).alias("found"))
+    rows = rows.join(found.hint("merge"), "ident", "left").select("doc_id", "text", F.coalesce("found", nothing).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.pieces(batches):
