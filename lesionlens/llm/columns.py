@@ -27,6 +27,12 @@ def held_out(doc_id: str, folds: int = 5) -> Column:
     return F.crc32(key) % folds == 0
 
 
+def sized(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of keys, marked for the join it is the right side of: counted, and broadcast up to ``rows`` rows of
+    a few bytes, so that a large left side is not shuffled; beyond that sort-merge. Only the plan differs."""
+    return F.broadcast(keys) if keys.count() <= rows else keys.hint("merge")
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns in one struct, so that columns added next to it cannot clash with theirs."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -23,14 +23,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lesionlens.llm.columns import text_of, unpacked, whole_row
+from lesionlens.llm.columns import sized, text_of, unpacked, whole_row
 from lesionlens.session import materialize
 
 WINDOW = 8
 STRIDE = 4
 LITERALS = 4
 LEAST = 11
-BROADCAST_ROWS = 1_000_000  # distinct window hashes, 8 bytes each
+BROADCAST_ROWS = 1_000_000  # window hashes or ids, 8 bytes each
 
 NUMBER_WORDS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
@@ -95,9 +95,7 @@ def candidates(docs: DataFrame, indexed: DataFrame, doc_id: str, text: str) -> D
     hashes = F.transform(_positions("bare", STRIDE), lambda i: F.xxhash64(F.slice("bare", i + 1, WINDOW)))
     rows = words.select("doc_id", F.explode(hashes).alias("hash"))
     wanted = materialize(indexed.select("hash").distinct(), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "hash", "left_semi").select("doc_id").distinct()
+    return rows.join(sized(wanted, BROADCAST_ROWS), "hash", "left_semi").select("doc_id").distinct()
 
 
 def matches(
@@ -111,7 +109,7 @@ def matches(
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     indexed = materialize(windows(items, "item_id", "text", "item"), "items")
     hit = materialize(candidates(docs, indexed, doc_id, text), "hit")
-    near = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(hit, "doc_id", "left_semi")
+    near = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(sized(hit, BROADCAST_ROWS), "doc_id", "left_semi")
     pairs = windows(near, "doc_id", "text", "doc").join(indexed, "hash")
     pairs = pairs.select("doc_id", "item_id", "item_words", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"),
                          F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")).alias("slots"))
@@ -140,4 +138,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """The documents that no item contaminates, with the columns of ``docs``."""
     leaks = materialize(matches(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("_id"))
-    return unpacked(rows.join(leaks, F.col("_id") == F.col("_leak"), "left_anti"), "row", docs.columns)
+    return unpacked(rows.join(sized(leaks, BROADCAST_ROWS), F.col("_id") == F.col("_leak"), "left_anti"), "row", docs.columns)
