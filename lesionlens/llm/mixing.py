@@ -45,7 +45,7 @@ def queues(
     parts = rows.groupBy("skey", "part").agg(F.sum("size").alias("total"))
     parts = parts.select("skey", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("skey", "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(parts, ["skey", "part"])
+    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(parts.hint("merge"), ["skey", "part"])
     start = (F.col("base") + F.col("upto") - F.col("size")).alias("start")
     return placed.select("doc_id", "source", "skey", "size", "place", start)
 
@@ -113,7 +113,7 @@ def taken(queued: DataFrame, line: DataFrame) -> DataFrame:
     """Every queued document with ``taken``, the words that the mix takes of it, repeats counted."""
     key = ["skey", "start", "size"]  # documents with words have a start of their own
     sums = line.groupBy(*key).agg(F.sum("words").alias("taken"))
-    return queued.join(sums, key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return queued.join(sums.hint("merge"), key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
 def mixed(
@@ -122,7 +122,7 @@ def mixed(
     """The documents that the mix takes, once each, with the columns of ``docs`` and ``taken``: the words of
     it that the mix holds, up to ``passes`` times its size. ``docs`` has one row per id."""
     sums = taken(*mix(docs, doc_id, text, source, **how)).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken")
-    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("_id")).join(sums, "_id")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("_id")).join(sums.hint("merge"), "_id")
     names = docs.columns
     extra = "taken" if "taken" not in names else "taken_by_mix"
     return rows.select(*[F.col("row")[c].alias(c) for c in names], F.col("taken").alias(extra))
