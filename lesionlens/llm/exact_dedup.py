@@ -82,7 +82,7 @@ def verdicts(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text:
     index.append(groups.join(index.table().hint("merge"), "digest", "left_anti"))
     keepers = groups.drop("keep_id").join(index.table().hint("merge"), "digest")
     return (
-        rows.join(materialize(keepers, "keepers"), "digest")
+        rows.join(materialize(keepers, "keepers").hint("merge"), "digest")
         .select("doc_id", "digest", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"))
     )
 
@@ -95,10 +95,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     )
     rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("_id"), digest_of(text).alias("_digest"))
     mine = (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("doc_id"))
-    stay = rows.join(kept.where("copies = 1"), mine, "left_semi").select("row")
+    stay = rows.join(kept.where("copies = 1").hint("merge"), mine, "left_semi").select("row")
     again = kept.where("copies > 1")
     if not again.isEmpty():  # the same row more than once: one of them, whatever order they are read in
-        one = rows.join(again, mine, "left_semi").groupBy("_digest", "_id").agg(
+        one = rows.join(again.hint("merge"), mine, "left_semi").groupBy("_digest", "_id").agg(
             F.min_by("row", F.xxhash64("row")).alias("row")
         )
         stay = stay.unionByName(one.select("row"))
