@@ -43,21 +43,20 @@ UNITS = (
 ).split()
 
 
-def template(text: Column, valued: bool = False) -> Column:
-    """The template of a text, words separated by single spaces; with ``valued`` a placeholder carries '=value'."""
-    value = "=$0" if valued else ""
-    out = F.regexp_replace(F.translate(text, "#=$", "   "), r"(?<=[\p{Ll},;:)] )\p{Lu}[\p{Ll}'’]+", f"#Name{value}")
+def template(text: Column) -> Column:
+    """The template of a text, words separated by single spaces; a placeholder carries '=value'."""
+    out = F.regexp_replace(F.translate(text, "#=$", "   "), r"(?<=[\p{Ll},;:)] )\p{Lu}[\p{Ll}'’]+", "#Name=$0")
     out = F.lower(out)
-    out = F.regexp_replace(out, r"(?<![\p{L}#=])\d[\d.,:/]*", f"#num{value}")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}#=])(?:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\d])", f"#num{value}")
-    unit = "=$2" if valued else ""
-    out = F.regexp_replace(out, rf"(#num\S*) ?(?<![\p{{L}}=])({'|'.join(UNITS)})(?![\p{{L}}\d])", f"$1 #unit{unit}")
+    out = F.regexp_replace(out, r"(?<![\p{L}#=])\d[\d.,:/]*", "#num=$0")
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}#=])(?:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\d])", "#num=$0")
+    out = F.regexp_replace(out, rf"(#num\S*) ?(?<![\p{{L}}=])({'|'.join(UNITS)})(?![\p{{L}}\d])", "$1 #unit=$2")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}#=\s]+", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def _words(text: str, valued: bool = False) -> Column:
-    return F.split(template(text_of(text), valued), " ")
+def _bare(valued: Column) -> Column:
+    """The words of a template without values: what attached units, endings and hyphens leave is part of the value."""
+    return F.split(F.regexp_replace(valued, r"=\S*", ""), " ")
 
 
 def _positions(words: str, step: int) -> Column:
@@ -65,18 +64,14 @@ def _positions(words: str, step: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
 
 
-def _bare(word: Column) -> Column:
-    return F.substring_index(word, "=", 1)
-
-
 def _evidence(run: Column) -> Column:
     return F.size(F.filter(run, lambda w: ~w.startswith("#"))) >= LITERALS
 
 
 def windows(rows: DataFrame, key: str, text: str, named: str) -> DataFrame:
     """(key, hash, named_at, named_slots, named_words): every window of each row with its placeholders' values."""
-    words = rows.select(F.col(key), _words(text, True).alias("valued"))
-    words = words.withColumn("bare", F.transform("valued", _bare))
+    words = rows.select(F.col(key), template(text_of(text)).alias("template"))
+    words = words.select(key, F.split("template", " ").alias("valued"), _bare(F.col("template")).alias("bare"))
 
     def window(i: Column) -> Column:  # a long text's words are not repeated for each of its windows
         run = F.slice("bare", i + 1, WINDOW)
@@ -91,7 +86,7 @@ def windows(rows: DataFrame, key: str, text: str, named: str) -> DataFrame:
 
 def candidates(docs: DataFrame, indexed: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id) of the documents with a window of the index at a stride."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), _words(text).alias("bare"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), _bare(template(text_of(text))).alias("bare"))
     hashes = F.transform(_positions("bare", STRIDE), lambda i: F.xxhash64(F.slice("bare", i + 1, WINDOW)))
     rows = words.select("doc_id", F.explode(hashes).alias("hash"))
     wanted = materialize(indexed.select("hash").distinct(), "wanted")

@@ -374,6 +374,15 @@ def test_leaks_in_prose(spark):
     assert set(got) == brute.leaks(enumerate(texts), items, 11)
 
 
+def test_attached_units_ordinals_hyphens_and_compound_names_are_found(spark):
+    around = "we saw that {} had been left beside the gate"
+    words = ["5kg of rice", "twenty-five of them", "pages 10-20 of it", "the 2nd and 12th of them", "a 3x and 3D thing", "songs of the 1980s", "a 5-year-old child", "old McDonald and Mary-Jane"]
+    items = [(i, around.format(w)) for i, w in enumerate(words)]
+    got = flagged(spark, [around.format(w) for w in words], items)
+    assert {(i, i) for i in range(len(words))} <= set(got) and all(not got[i, i].changed and got[i, i].covered == got[i, i].item_words for i in range(len(words)))
+    assert set(flagged(spark, [around.format("7kg of rice")], items[:1])) == {(0, 0)}
+
+
 def test_clean_keeps_columns_and_odd_rows(spark):
     docs = table(spark, [*odd_rows(), (90, ITEMS[0][1], "en", "s")])
     out = decontaminate.clean(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
