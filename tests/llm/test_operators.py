@@ -383,6 +383,26 @@ def test_attached_units_ordinals_hyphens_and_compound_names_are_found(spark):
     assert set(flagged(spark, [around.format("7kg of rice")], items[:1])) == {(0, 0)}
 
 
+def test_runs_are_found_at_every_position(spark):
+    items = [(0, "green boats sail past seven small quiet islands"), (1, "mix 1 2 3 4 red green blue 5 then stir")]
+    texts = [" ".join(["pad"] * k + [t, "end"]) for _, t in items for k in range(4)]
+    # of the longer item's windows some have too few ordinary words
+    longer = [(2, "1 2 3 4 5 6 red green blue white black pink gold slate brown tan"), (3, "stop mix 1 2 3 4 5 red green blue 6 then stir well or leave")]
+    partial = ["so 4 5 6 red green blue white black pink gold slate end", "pad mix 1 2 3 4 5 red green blue 6 then end"]
+    assert set(flagged(spark, texts, items)) == {(i, i // 4) for i in range(8)}
+    got = flagged(spark, partial, longer)
+    assert set(got) == {(0, 2), (1, 3)} and {got[0, 2].covered, got[1, 3].covered} == {11}
+
+
+def test_items_that_windows_cannot_find_are_found_whole(spark):
+    items = [(0, "What is the capital of France?"), (1, "法国的首都是哪里"), (2, "1 2 3 plus 4 5 6 makes 21 and 7"), (3, "Tom walks past the old gate every day"), (4, "?!"), (5, "ไทยคือที่ไหน")]
+    texts = ["Quiz: what is the capital of france, they said", "请问法国的首都是哪里？谢谢", "so 1 2 3 plus 4 5 6 makes 21, and 7", "now Tom walks past the old gate every day",
+             "what is the capital of Frances", "法国的首都在哪里", "1 2 3 plus 4 5 6 makes 21 and 8", "?!", "ถามว่าไทยคือที่ไหนครับ", None, ""]
+    got = flagged(spark, [*texts, texts[0]], items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (8, 5), (11, 0)}
+    assert all(r.covered == r.item_words and not r.changed for r in got.values())
+
+
 def test_clean_keeps_columns_and_odd_rows(spark):
     docs = table(spark, [*odd_rows(), (90, ITEMS[0][1], "en", "s")])
     out = decontaminate.clean(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
