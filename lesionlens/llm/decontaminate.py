@@ -10,8 +10,8 @@ window has found they count. Documents with a hit are aligned with the values th
 words) are also looked for as a whole: all their words in a row, lower-cased, without punctuation, nothing replaced.
 In scripts without spaces every character is a word there.
 
-*Slots.* Along one alignment (difference of positions) the values must map one to one: the same value of the item is always
-the same value of the document and the other way round. A consistent alignment counts whether or not
+*Slots.* Along one alignment (difference of positions) the same value of the item is always the same value of the
+document; different values of the item may coincide in the document. A consistent alignment counts whether or not
 values were changed, so re-parameterised questions are caught; in an inconsistent one only windows with
 unchanged values count.
 
@@ -86,10 +86,7 @@ def _evidence(run: Column) -> Column:
 
 
 def _consistent(slots: str) -> Column:
-    values = F.size(slots)
-    return (F.size(F.array_distinct(F.transform(slots, lambda s: s["i"]))) == values) & (
-        F.size(F.array_distinct(F.transform(slots, lambda s: s["d"]))) == values
-    )
+    return F.size(F.array_distinct(F.transform(slots, lambda s: s["i"]))) == F.size(slots)
 
 
 def windows(rows: DataFrame, key: str, text: str, named: str) -> DataFrame:

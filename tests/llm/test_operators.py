@@ -403,6 +403,12 @@ def test_items_that_windows_cannot_find_are_found_whole(spark):
     assert all(r.covered == r.item_words and not r.changed for r in got.values())
 
 
+def test_new_values_may_coincide(spark):
+    pears = "Then Anna bought {} apples and {} pears at the market and carried all {} of them home in {} bags"
+    got = flagged(spark, [pears.format(4, 4, 8, 4), pears.format(7, 9, 16, 3)], [(0, pears.format(3, 5, 8, 2))])
+    assert set(got) == {(0, 0), (1, 0)} and all(r.changed and r.covered == r.item_words for r in got.values())
+
+
 def test_clean_keeps_columns_and_odd_rows(spark):
     docs = table(spark, [*odd_rows(), (90, ITEMS[0][1], "en", "s")])
     out = decontaminate.clean(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
