@@ -5,6 +5,9 @@ marks as toxic: of the candidates with a large log-likelihood ratio those are ta
 not yet covered ``COVER`` times, at most ``MAX_TERMS``. Words near a term that the sample's clean documents use
 (closer, crown) are no misspellings.
 
+*Letters.* Texts and terms are read by code points; a word is a run of letters, marks and numbers of any script, so quotes and
+dashes of any kind part words.
+
 *Automaton.* The Levenshtein automata of all terms (one edit from five letters on, two from eight, a swap of neighbours
 is one edit; stems match exactly and accept any ending) are intersected with the lexicon's trie and made deterministic once, on the driver; the table is a
 function of the lexicon alone. Tasks run it over all words of a batch at once, one letter per step.
@@ -21,8 +24,10 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +47,6 @@ COVER, LEAST_GAIN = 3, 0.005  # terms for each toxic document; share of them tha
 WINDOW = 60
 TERMS = "clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split()
 
-LETTER = np.zeros(256, bool)
-LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = True
-LETTER[128:] = True
 QUOTE = np.zeros(256, bool)
 QUOTE[[34, 39, 96]] = True  # and the bytes of typographic quotes, below
 FEATURES = ("any", "exact", "misspelt", "quoted", "density", "heaviest", "any quoted only")
@@ -57,7 +59,7 @@ class Automaton:
     term: np.ndarray
     ends: np.ndarray  # states in which a stem is complete
     longest: int
-    alphabet: np.ndarray  # byte -> letter number; 0 is any letter outside the lexicon
+    alphabet: np.ndarray  # code point, either case -> letter number; 0 is any letter outside the lexicon, as are those beyond the end
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,34 @@ class Model:
     weights: np.ndarray  # of the bias and the features
 
 
+@cache
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """(is it part of a word, its small letter) of every code point."""
+    known = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    small = np.arange(0x110000, dtype=np.int32)
+    for c, kind in enumerate(known):
+        if kind in ("Lu", "Lt", "Nl", "So") and len(low := chr(c).lower()) == 1:
+            small[c] = ord(low)
+    small[ord("ς")], small[ord("İ")] = ord("σ"), ord("i")
+    return np.array([kind[0] in "LMN" for kind in known]), small
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, characters begun before each byte, whether each byte is part of a word) of UTF-8 text."""
+    lead = (data & 0xC0) != 0x80
+    index = np.concatenate([[0], np.cumsum(lead)])
+    code = data[lead].astype(np.int32)
+    wide = np.flatnonzero(code >= 0x80)
+    if len(wide):
+        at = np.flatnonzero(lead)[wide]
+        tail = np.append(data, np.zeros(3, np.uint8)).astype(np.int32) & 0x3F
+        b, one, two, three = code[wide], tail[at + 1], tail[at + 2], tail[at + 3]
+        long = (b & 0x07) << 18 | one << 12 | two << 6 | three
+        code[wide] = np.where(b < 0xE0, (b & 0x1F) << 6 | one, np.where(b < 0xF0, (b & 0x0F) << 12 | one << 6 | two, np.minimum(long, 0x10FFFF)))
+    inside = classes()[0][code]
+    return code, index, inside[np.maximum(index[1:] - 1, 0)] if len(code) else np.zeros(len(data), bool)
+
+
 def allowed(term: str) -> int:
     return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 8 else 2
 
@@ -78,15 +108,17 @@ def build(terms: list[str]) -> Automaton:
     A position is (trie node, edits, swap): ``swap`` is the node that completes a swap of two letters, or None.
     """
     bound = list(map(allowed, terms))
-    words = [t.removesuffix("*") for t in terms]
-    alphabet = np.zeros(256, np.int32)
-    letters = sorted({b for t in words for b in t.encode()})
-    alphabet[letters] = np.arange(1, len(letters) + 1)
+    small = classes()[1]
+    words = [[int(small[ord(x)]) for x in t.removesuffix("*")] for t in terms]
+    letters = sorted({c for t in words for c in t})
+    spelt = np.flatnonzero(np.isin(small, letters))
+    alphabet = np.zeros(spelt.max(initial=0) + 2, np.int32)
+    alphabet[spelt] = np.searchsorted(letters, small[spelt]) + 1
     children: list[dict[int, int]] = [{}]
     most, ends, stems = [0], {}, {}  # most edits of the terms below a node; term of a final node
     for k, term in enumerate(words):
         node = 0
-        for b in term.encode():
+        for b in term:
             most[node] = max(most[node], bound[k])
             if (c := int(alphabet[b])) not in children[node]:
                 children[node][c] = len(children)
@@ -139,23 +171,26 @@ def build(terms: list[str]) -> Automaton:
     best = [b if k < 0 else (0, k) for b, k in zip(best, stem)]
     return Automaton(
         np.array(step, np.int32).reshape(len(order), -1), np.array([b[0] for b in best], np.int32), np.array([b[1] for b in best], np.int32),
-        np.array(stem) >= 0, max((len(w.encode()) + e for w, e in zip(words, bound)), default=0), alphabet,
+        np.array(stem) >= 0, max((len(w) + e for w, e in zip(words, bound)), default=0), alphabet,
     )
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first) of runs of letters and digits."""
-    return kernels.words(np.where(LETTER[data], data, np.uint8(32)), offsets)
+    return _runs(offsets, characters(data)[2])
+
+
+def _runs(offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return kernels.words(np.where(inside, np.uint8(120), np.uint8(32)), offsets)
 
 
 def hits(column: pa.Array, a: Automaton, ordinary: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, token place in the text, edits, term, quoted, tokens of each text) of every lexicon hit."""
     data, offsets = kernels.utf8(column)
-    starts, ends, first = tokens(data, offsets)
+    code, index, inside = characters(data)
+    starts, ends, first = _runs(offsets, inside)
     low = kernels.LOWER[data]
-    lead = (data & 0xC0) != 0x80  # a character of several bytes is one letter
-    index = np.concatenate([[0], np.cumsum(lead)])
-    letter = a.alphabet[low[lead]]
+    letter = a.alphabet[np.minimum(code, len(a.alphabet) - 1)]
     at, size = index[starts], index[ends] - index[starts]
     alive = np.arange(len(size))
     state, got, final = np.zeros(len(alive), np.int32), [], []
@@ -176,16 +211,17 @@ def hits(column: pa.Array, a: Automaton, ordinary: np.ndarray = np.zeros(0, np.u
         meant = (a.edits[final] == 0) | ~np.isin(kernels.hashes(low, starts[got], ends[got]), ordinary)
         got, final = got[meant], final[meant]
     text = np.searchsorted(first, got, "right") - 1
-    # quotes: ASCII ones not inside a word, « », and the three-byte typographic ones (E2 80 98..9F)
+    # quotes not inside a word: ASCII ones, the three-byte typographic ones (E2 80 98..9F); and « »
     mark = np.zeros(len(data) + 1, np.int64)
     if len(data):
         ascii_ = QUOTE[data]
-        outer = np.ones(len(data), bool)
-        outer[1:-1] = ~(LETTER[data[:-2]] & LETTER[data[2:]])
+        before = np.append(False, inside[:-1])
+        before[offsets[:-1][offsets[:-1] < len(data)]] = False  # the text before is no neighbour
+        after = lambda n: np.append(inside[n:], np.zeros(min(n, len(inside)), bool)) & (np.repeat(offsets[1:], np.diff(offsets)) > np.arange(len(data)) + n)
         pair, triple = np.zeros(len(data), bool), np.zeros(len(data), bool)
         pair[:-1] = (data[:-1] == 0xC2) & ((data[1:] == 0xAB) | (data[1:] == 0xBB))
         triple[:-2] = (data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] >= 0x98) & (data[2:] <= 0x9F)
-        mark[1:] = np.cumsum((ascii_ & outer) | pair | triple)
+        mark[1:] = np.cumsum((ascii_ & ~(before & after(1))) | pair | (triple & ~(before & after(3))))
     left = np.maximum(starts[got] - WINDOW, offsets[text])
     right = np.minimum(ends[got] + WINDOW, offsets[text + 1])
     quoted = (mark[starts[got]] > mark[left]) & (mark[right] > mark[ends[got]])
@@ -210,7 +246,7 @@ def features(column: pa.Array, a: Automaton, ordinary: np.ndarray) -> np.ndarray
 
 def _candidates(sample: DataFrame) -> DataFrame:
     """(place, label, c): the words of each document, written ``word``, and the stems of its words, ``stem*``."""
-    words = sample.select("place", "label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))
+    words = sample.select("place", "label", F.explode(F.array_distinct(F.split(F.lower(F.translate("text", "İ", "i")), r"[^\p{L}\p{M}\p{N}]+"))).alias("w"))
     words = words.where(F.length("w").between(STEM, 30))
     sizes = F.sequence(F.lit(STEM), F.least(F.length("w"), F.lit(LONGEST_STEM)))
     stems = F.transform(sizes, lambda n: F.concat(F.substring("w", F.lit(1), n), F.lit("*")))

@@ -204,6 +204,28 @@ def test_toxicity_quotes_and_exceptions():
     assert toxicity.hits(texts, automaton, known)[0].tolist() == [0, 3, 5, 6, 7]
 
 
+def test_toxicity_reads_code_points():
+    automaton = toxicity.build([*toxicity.TERMS, "дурак", "βλάκας", "sétû", "笨蛋", "größ*", "idiota"])
+    texts = ["Ты ДУРАК, да", "дурка", "ΒΛΆΚΑΣ", "SÉTÛ", "笨蛋", "Größenwahn", "“idiot” — «loser»", "scum…", "dumb—ass", "don’t", "дом", "笨", "idióta"]
+    text, _, edits, _, quoted, n = toxicity.hits(pa.array(texts), automaton)
+    assert text.tolist() == [0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 12] and edits.tolist() == [0, 1] + [0] * 8 + [1]
+    assert quoted.tolist()[6:8] == [True, True] and n.tolist() == [3, 1, 1, 1, 1, 1, 2, 1, 2, 2, 1, 1, 1]
+
+
+def test_toxicity_learns_other_alphabets(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words, toxic = prose(i, 60).split(" "), i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(60)] = rng.choice(["дурак", "«мразь»", "ΒΛΆΚΑΣ"])
+        rows.append((i, " ".join(words), int(toxic)))
+    model = toxicity.train(labelled(spark, rows[:300]))
+    got = {r.doc_id: r.score for r in toxicity.predict(table(spark, [(i, t) for i, t, _ in rows]), model).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows[300:])
+
+
 def labelled(spark, rows):
     return spark.createDataFrame([(i, y, i * 7919 % 1009, t) for i, t, y in rows], "doc_id bigint, label int, place bigint, text string")
 
