@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import decontaminate, exact_dedup, language_id, mixing, near_dup, quality, substring_dedup, token_counts, toxicity, url_filter
+from lesionlens.llm import decontaminate, exact_dedup, language_id, lexical_search, mixing, near_dup, quality, substring_dedup, token_counts, toxicity, url_filter
 from lesionlens.llm.columns import held_out
 from lesionlens.llm.sampling import labelled_sample
 from lesionlens.session import checkpoint_root
@@ -72,7 +72,12 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return with_fold(quality.predict(docs, model), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality)}
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality, op13_lexical_search)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
@@ -118,4 +123,25 @@ select doc_id, size, source_size, target,
 from q join t on q.source is not distinct from t.source
 """
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+s as (select count_if(len(w) > 0)::bigint as nn, sum(len(w))::bigint as ll from d),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+o as (select k, doc_id, len(w)::bigint as n, unnest(w) as term from d),
+t as (select k, doc_id, n, term, count(*)::bigint as tf from o where term in (select term from i) group by all),
+f as (select term, count(*)::bigint as df from t group by term),
+p as (
+  select item_id, k, doc_id,
+         sum(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)))::bigint
+             * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score
+  from i join t using (term) join f using (term), s group by item_id, k, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from p where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 50
+"""
+
+ORACLES = {"op13_lexical_search": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
