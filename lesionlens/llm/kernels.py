@@ -112,3 +112,25 @@ def runs(words_: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
     limit = np.repeat(first[1:], np.diff(first))[:n]
     where = np.flatnonzero(np.arange(n) + k <= limit)
     return mix(total[where]), where
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] times, for all i."""
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begin): an order that brings equal keys together, and where each group begins in it."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as strings, which they must be in UTF-8."""
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[spread(starts, ends - starts)])).cast(pa.string())

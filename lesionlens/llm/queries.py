@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import decontaminate, exact_dedup, language_id, lexical_search, mixing, near_dup, quality, substring_dedup, token_counts, toxicity, url_filter
+from lesionlens.llm import decontaminate, exact_dedup, language_id, lexical_search, mixing, near_dup, phrases, quality, substring_dedup, token_counts, toxicity, url_filter
 from lesionlens.llm.columns import held_out
 from lesionlens.llm.sampling import labelled_sample
 from lesionlens.session import checkpoint_root
@@ -72,12 +72,16 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return with_fold(quality.predict(docs, model), 0.3)
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     found = lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality, op11_collocations, op13_lexical_search)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
@@ -123,6 +127,32 @@ select doc_id, size, source_size, target,
 from q join t on q.source is not distinct from t.source
 """
 
+OP11_SQL = r"""
+with d as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from d),
+p as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+o as (select lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) as s from p),
+g as (select lang, w[i:i + s - 1] as g, count(*)::hugeint as f from o group by all),
+n as (select lang, sum(f)::bigint as n from g where len(g) = 1 group by lang),
+c as (select lang, g, f from g where len(g) > 1 and f >= 30),
+k as (select lang, g, f as a, unnest(range(1, len(g))) as k from c),
+x as (
+  select k.lang, k.g, a, k, l.f as l, r.f as r, (2000000 * a) // (l.f + r.f) as score
+  from k join g l on l.lang = k.lang and l.g = k.g[1:k] join g r on r.lang = k.lang and r.g = k.g[k + 1:len(k.g)]),
+s as (select *, row_number() over (partition by lang, g order by score, k) as turn from x),
+m as (select lang, g, f, unnest(range(2, len(g))) as s from c where len(g) > 2),
+j as (select lang, g, f, s, unnest(range(1, len(g) - s + 2)) as i from m),
+b as (select lang, g[i:i + s - 1] as g, max(f) as longer from j group by all),
+z as (select s.* from s left join b on b.lang = s.lang and b.g = s.g where turn = 1 and not coalesce(100 * longer >= 80 * a, false)),
+q as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank,
+         array_to_string(g, ' ') as phrase, a::bigint as a, l::bigint as l, r::bigint as r, score::bigint as score from z)
+select lang, rank, phrase, a, l, r, n, score from q join n using (lang) where rank <= 2000
+"""
+
 OP13_SQL = r"""
 with d as (
   select row_number() over () as k, doc_id,
@@ -144,4 +174,4 @@ r as (select *, row_number() over (partition by item_id order by score desc, doc
 select item_id, rank::int as rank, doc_id, score from r where rank <= 50
 """
 
-ORACLES = {"op13_lexical_search": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op11_collocations": OP11_SQL, "op13_lexical_search": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
