@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lesionlens.llm import decontaminate, exact_dedup, language_id, lexical_search, mixing, near_dup, phrases, quality, substring_dedup, token_counts, toxicity, url_filter
+from lesionlens.llm import decontaminate, exact_dedup, language_id, lexical_search, mixing, near_dup, phrases, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from lesionlens.llm.columns import held_out
 from lesionlens.llm.sampling import labelled_sample
 from lesionlens.session import checkpoint_root
@@ -76,12 +76,16 @@ def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     found = lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality, op11_collocations, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dup, op3_language_id, op4_toxicity, op5_substring_dedup, op6_token_counts, op7_url_filter, op8_decontamination, op9_mixing, op10_quality, op11_collocations, op12_suffix_dedup, op13_lexical_search)}
 
 OP1_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
@@ -153,6 +157,25 @@ q as (
 select lang, rank, phrase, a, l, r, n, score from q join n using (lang) where rank <= 2000
 """
 
+OP12_SQL = """
+with d as (select row_number() over () as k, doc_id, encode(coalesce(text, '')) as x from documents),
+p as (select k, x, unnest(range(0, octet_length(x) - 199)) as i from d),
+h as (select k, i, md5(array_slice(x, i + 1, i + 200)) as h from p),
+r as (select h from h group by h having count(*) > 1),
+w as (select k, i, case when i - lag(i) over (partition by k order by i) <= 200 then 0 else 1 end as new from h join r using (h)),
+s as (select k, i, sum(new) over (partition by k order by i) as run from w),
+g as (select k, run, min(i) as a, max(i) + 200 as b from s group by k, run),
+e as (select k, a, b, coalesce(lag(b) over (partition by k order by a), 0) as before from g),
+j as (
+  select k, count(*) as n_spans, sum(b - a) as n_removed, max(b) as b,
+         string_agg(case when a > before then hex(array_slice(x, before + 1, a)) else '' end, '' order by a) as kept
+  from e join d using (k) group by k)
+select doc_id, octet_length(x)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(case when n_spans is null then x
+                   else unhex(kept || case when b < octet_length(x) then hex(array_slice(x, b + 1, octet_length(x))) else '' end) end) as kept_sha256
+from d left join j using (k)
+"""
+
 OP13_SQL = r"""
 with d as (
   select row_number() over () as k, doc_id,
@@ -174,4 +197,4 @@ r as (select *, row_number() over (partition by item_id order by score desc, doc
 select item_id, rank::int as rank, doc_id, score from r where rank <= 50
 """
 
-ORACLES = {"op11_collocations": OP11_SQL, "op13_lexical_search": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op11_collocations": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL}

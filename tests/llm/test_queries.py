@@ -24,7 +24,7 @@ def rows(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in [*range(1, 12), 13]} == {q.partition("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.partition("_")[0] for q in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
