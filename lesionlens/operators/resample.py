@@ -1,17 +1,21 @@
-"""Deterministic bootstrap resampling that does not depend on partitioning.
+"""Deterministic bootstrap resampling that does not depend on partitioning, by one definition for groups of any size.
 
-Rows of a group are numbered 1..n in the order of a unique column and cut into chunks of ``CHUNK`` rows.
-A chunk is one task group, however large the group is. A replicate first splits its n draws over the
-chunks (multinomial, from a counter-based generator keyed by replicate, so all chunks of a group agree
-without exchanging anything), then every chunk draws among its own rows by integer arithmetic:
+Rows of a group are numbered from 0 in the order of a unique column and cut into chunks of ``CHUNK`` rows. A
+replicate b of a group of n rows sends each of its n draws i to the chunk of row
+
+    r = (h(b, i, salt + ROUTE[0]) * 2147483647 + h(b, i, salt + ROUTE[1])) mod n
+
+and the j-th draw that a chunk receives takes, of its m rows, row
+
+    h(b, j, salt + chunk * STEP) mod m
 
     h1 = (b*7919 + i*104729 + salt) mod 2147483647
     h2 = (h1*h1 + 12345) mod 2147483647
-    h3 = (h2*48271 + b) mod 2147483647
-    draw = 1 + h3 mod n          (b: replicate from 1, i: draw from 1)
+    h  = (h2*48271 + b) mod 2147483647               (b: replicate from 1, i and j: draws from 1)
 
-A group of at most one chunk is therefore resampled by this formula alone, which SQL can repeat.
-Only sums per (chunk, replicate) leave the tasks.
+All of a group of one chunk is routed to it, so only its second step is computed. Routing depends on n alone: it is a stage of its own, a task for
+some replicates of one size, and gives the draws of each chunk; then a chunk is one task group, however large its group is.
+The work of both stages is the number of draws. Only sums per (chunk, replicate) leave the tasks.
 """
 
 from __future__ import annotations
@@ -29,63 +33,137 @@ from lesionlens.operators.ordered import quantiles, row_position, stored
 
 CHUNK = 8192
 MODULUS = 2_147_483_647
+STEP = 32_452_843
+ROUTE = (49_979_687, 67_867_967)
 SECOND_SALT = 15_485_863  # prime, not a multiple of the draw step 104729
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 17  # draws made at a time
+TASK_DRAWS = 1 << 27  # draws routed by a task, for groups below that size
+TASKS, TASKS_OF_CHUNK = 64, 20  # tasks that small inputs are dealt to, and of them those of one chunk
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x mod MODULUS, a Mersenne prime, for 0 <= x < 2**62."""
+    x = (x & MODULUS) + (x >> 31)
+    x = (x & MODULUS) + (x >> 31)
+    return np.where(x >= MODULUS, x - MODULUS, x)
+
+
+def _hash(b: np.ndarray, i: np.ndarray, salt: int) -> np.ndarray:
+    b, i = b.astype(np.int64)[:, None], i.astype(np.int64)[None, :]
+    h1 = _fold(b * 7919 + i * 104729 + salt)
+    return _fold(_fold(h1 * h1 + 12345) * 48271 + b)
 
 
 def draws(b: np.ndarray, i: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """0-based draws for replicates ``b`` (column) and draw numbers ``i`` (row)."""
-    h1 = (b.astype(np.int64)[:, None] * 7919 + i.astype(np.int64)[None, :] * 104729 + salt) % MODULUS
-    h2 = (h1 * h1 + 12345) % MODULUS
-    h3 = (h2 * 48271 + b.astype(np.int64)[:, None]) % MODULUS
-    return h3 % n
+    """0-based draws from n rows for replicates ``b`` (column) and draw numbers ``i`` (row)."""
+    h = _hash(b, i, salt)
+    return h - n * np.floor(h / n).astype(np.int64)  # both below 2**31, so the quotient is exact
+
+
+def routed(b: np.ndarray, n: int, salt: int, size: int = CHUNK) -> np.ndarray:
+    """(replicates, chunks): how many of its n draws each replicate sends to each chunk of ``size`` rows."""
+    chunks = -(-n // size)
+    if chunks == 1:
+        return np.full((len(b), 1), n)
+    out = np.zeros((len(b), chunks), np.int64)
+    for k in range(len(b)):
+        for start in range(1, n + 1, BLOCK_CELLS):
+            i = np.arange(start, min(start + BLOCK_CELLS, n + 1))
+            high, low = (_hash(b[k : k + 1], i, salt + s)[0] for s in ROUTE)
+            out[k] += np.bincount((high * MODULUS + low) % n // size, minlength=chunks)
+    return out
+
+
+def _blocks(taken: np.ndarray) -> Iterator[slice]:
+    step = max(1, BLOCK_CELLS // max(int(taken.max(initial=1)), 1))
+    yield from (slice(at, at + step) for at in range(0, len(taken), step))
+
+
+def chunk_draws(b: np.ndarray, taken: np.ndarray, rows: int, chunk: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(draws, valid): the rows of a chunk that replicates take, and which of a replicate's columns are draws."""
+    i = np.arange(1, int(taken.max(initial=0)) + 1)
+    return draws(b, i, rows, salt + chunk * STEP), i[None, :] <= taken[:, None]
 
 
 def chunk_multiplicities(
-    n: int, chunk: int, replicates: int, salt: int, size: int = CHUNK, only: np.ndarray | None = None
+    n: int, chunk: int, replicates: int, salt: int, size: int = CHUNK, only: np.ndarray | None = None,
+    taken: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (replicate numbers, how often each row of the chunk is drawn in each of them).
 
-    ``only`` restricts the replicates 1..``replicates`` to some of them.
+    ``only`` restricts the replicates 1..``replicates`` to some of them; ``taken`` are their draws in this chunk, if known.
     """
     numbers = np.arange(1, replicates + 1) if only is None else only
-    chunks = -(-n // size)
-    rows = np.full(chunks, size, dtype=np.int64)
-    rows[-1] = n - size * (chunks - 1)
-    mine = int(rows[chunk])
-    step = max(1, BLOCK_CELLS // max(mine, 1))
-    for start in range(0, len(numbers), step):
-        b = numbers[start : start + step]
-        if chunks == 1:
-            taken = np.full(len(b), n)
-        else:
-            taken = np.array([
-                np.random.Generator(np.random.Philox(key=np.array([salt, k], dtype=np.uint64)))
-                .multinomial(n, rows / n)[chunk]
-                for k in b
-            ])
-        i = np.arange(1, int(taken.max(initial=0)) + 1)
-        picked = draws(b, i, mine, salt + chunk * 32_452_843)
-        flat = picked + (np.arange(len(b)) * mine)[:, None]
-        used = flat[i[None, :] <= taken[:, None]]
-        yield b, np.bincount(used, minlength=len(b) * mine).reshape(len(b), mine)
-
-
-def _chunked(df: DataFrame, by: list[str], order: str, rows: int | None) -> tuple[DataFrame, list[str]]:
+    taken = routed(numbers, n, salt, size)[:, chunk] if taken is None else taken
+    mine = min(size, n - chunk * size)
+    for part in _blocks(taken):
+        picked, valid = chunk_draws(numbers[part], taken[part], mine, chunk, salt)
+        flat = (picked + (np.arange(len(picked)) * mine)[:, None])[valid]
+        yield numbers[part], np.bincount(flat, minlength=len(picked) * mine).reshape(len(picked), mine)
+
+
+def _chunked(df: DataFrame, by: list[str], order: str, rows: int | None, size: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows with their chunk, group sizes, group columns)."""
     group = list(by) or ["_one"]
     if not by:
         df = df.withColumn("_one", F.lit(0))
     placed = row_position(df, group, order, "_ordinal", rows)
-    return placed.withColumn("_chunk", F.floor((F.col("_ordinal") - 1) / F.lit(CHUNK)).cast("int")), group
+    sizes = df.groupBy(*[F.col(g).alias(g) for g in group]).agg(F.count(F.lit(1)).alias("n"))
+    return placed.withColumn("_chunk", F.floor((F.col("_ordinal") - 1) / F.lit(size)).cast("int")), sizes, group
+
+
+def _routes(sizes: DataFrame, replicates: int, salt: int, size: int) -> DataFrame:
+    """(n, _chunk, replicate, taken) of every group size above one chunk: the routing stage."""
+    block = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.lit(TASK_DRAWS) / F.col("n")))).cast("int")
+    units = sizes.where(F.col("n") > size).select("n", block.alias("block")).distinct()
+    units = units.select("n", "block", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.col("block"))).alias("first"))
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for n, width, first in zip(pdf["n"].tolist(), pdf["block"].tolist(), pdf["first"].tolist()):
+                b = np.arange(first, min(first + width, replicates + 1))
+                taken = routed(b, n, salt, size)
+                chunks = taken.shape[1]
+                yield pd.DataFrame({"n": n, "_chunk": np.tile(np.arange(chunks, dtype="int32"), len(b)), "replicate": np.repeat(b, chunks).astype("int32"), "taken": taken.ravel()})
+
+    return units.repartition("n", "first").mapInPandas(kernel, "n bigint, _chunk int, replicate int, taken bigint")
+
+
+def _by_chunk(placed: DataFrame, sizes: DataFrame, group: list[str], kernel, schema: T.StructType, replicates: int, salt: int, size: int, rows: int | None) -> DataFrame:
+    """``kernel(rows of a chunk in order, replicates, draws it takes in each)`` over all chunks of all groups.
+
+    Few rows make few chunks but as many draws for each; their replicates are dealt to several tasks then. Partitions are of a fixed
+    number, because what a task costs does not show in the size of its rows.
+    """
+    tasks = max(1, min(TASKS_OF_CHUNK, replicates, TASKS * size // max(rows, 1))) if rows is not None else 1
+    width = -(-replicates // tasks)
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [*group, "_chunk", "_task"]
+    routes = sizes.where(F.col("n") > size).join(_routes(sizes, replicates, salt, size).withColumnRenamed("n", "_n"), F.col("n") == F.col("_n"))
+    routes = routes.withColumn("_task", F.floor((F.col("replicate") - 1) / F.lit(width)).cast("int"))
+    placed = placed.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // width) - 1))))
+
+    def both(pdf: pd.DataFrame, route: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=schema.names)
+        first = 1 + width * int(pdf["_task"].iloc[0])
+        b = np.arange(first, min(first + width, replicates + 1))
+        taken = np.full(len(b), int(pdf["n"].iloc[0]))
+        if len(route):
+            taken = np.zeros(len(b), np.int64)
+            taken[route["replicate"].to_numpy() - first] = route["taken"].to_numpy()
+        return kernel(pdf.sort_values("_ordinal").reset_index(drop=True), b, taken)
+
+    return placed.repartition(parts, *key).groupBy(*key).cogroup(routes.groupBy(*key)).applyInPandas(both, schema)
 
 
 def bootstrap_sums(
     df: DataFrame, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED,
-    rows: int | None = None,
+    rows: int | None = None, size: int = CHUNK,
 ) -> DataFrame:
     """(by, replicate, sum_<v>, n_<v>): sums over each resample; missing values add to neither."""
     wanted = df.select(*by, order, *[F.col(v).cast("double").alias(v) for v in values])
-    placed, group = _chunked(wanted, by, order, rows)
+    placed, sizes, group = _chunked(wanted, by, order, rows, size)
     schema = T.StructType(
         [placed.schema[g] for g in group]
         + [T.StructField("replicate", T.IntegerType())]
@@ -93,50 +171,51 @@ def bootstrap_sums(
         + [T.StructField(f"n_{v}", T.LongType()) for v in values]
     )
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ordinal")
+    def kernel(pdf: pd.DataFrame, b: np.ndarray, taken: np.ndarray) -> pd.DataFrame:
         x = pdf[values].to_numpy(float)
         known = ~np.isnan(x)
+        every = known.all(axis=0)
         x = np.where(known, x, 0.0)
-        parts = []
-        for b, times in chunk_multiplicities(int(pdf["n"].iloc[0]), int(pdf["_chunk"].iloc[0]), replicates, salt):
-            part = {"replicate": b.astype("int32")}
-            sums, counts = times @ x, times @ known.astype(np.int64)
-            for j, v in enumerate(values):
-                part[f"sum_{v}"], part[f"n_{v}"] = sums[:, j], counts[:, j]
-            parts.append(pd.DataFrame(part))
-        out = pd.concat(parts, ignore_index=True)
+        sums, counts = np.zeros((len(b), len(values))), np.repeat(taken[:, None], len(values), axis=1)
+        for part in _blocks(taken):
+            picked, valid = chunk_draws(b[part], taken[part], len(x), int(pdf["_chunk"].iloc[0]), salt)
+            for j in range(len(values)):
+                sums[part, j] = (x[:, j][picked] * valid).sum(axis=1)
+                if not every[j]:
+                    counts[part, j] = (known[:, j][picked] & valid).sum(axis=1)
+        out = pd.DataFrame({"replicate": b.astype("int32")})
+        for j, v in enumerate(values):
+            out[f"sum_{v}"], out[f"n_{v}"] = sums[:, j], counts[:, j]
         for g in group:
             out[g] = pdf[g].iloc[0]
         return out[schema.names]
 
-    sums = placed.groupBy(*group, "_chunk").applyInPandas(kernel, schema)
+    sums = _by_chunk(placed, sizes, group, kernel, schema, replicates, salt, size, rows)
     return sums.groupBy(*by, "replicate").agg(
         *[F.sum(f"sum_{v}").alias(f"sum_{v}") for v in values], *[F.sum(f"n_{v}").alias(f"n_{v}") for v in values]
     )
 
 
 def bootstrap_weights(
-    df: DataFrame, by: list[str], order: str, replicates: int, salt: int = SEED, first: int = 1
+    df: DataFrame, by: list[str], order: str, replicates: int, salt: int = SEED, size: int = CHUNK
 ) -> DataFrame:
     """Rows of ``df`` once per replicate that draws them, with ``replicate`` and the multiplicity ``w``.
 
     ``by`` are the strata: every stratum is resampled to its own size.
     """
-    placed, group = _chunked(df, by, order, None)
+    placed, sizes, group = _chunked(df, by, order, None, size)
     extra = [T.StructField("replicate", T.IntegerType()), T.StructField("w", T.LongType())]
     schema = T.StructType([f for f in df.schema.fields] + extra)
     columns = df.columns
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ordinal").reset_index(drop=True)
+    def kernel(pdf: pd.DataFrame, numbers: np.ndarray, taken: np.ndarray) -> pd.DataFrame:
         parts = []
-        for b, times in chunk_multiplicities(int(pdf["n"].iloc[0]), int(pdf["_chunk"].iloc[0]), replicates, salt):
+        for b, times in chunk_multiplicities(int(pdf["n"].iloc[0]), int(pdf["_chunk"].iloc[0]), replicates, salt, size, numbers, taken):
             r, c = np.nonzero(times)
             parts.append(pdf[columns].iloc[c].assign(replicate=b[r].astype("int32"), w=times[r, c]))
         return pd.concat(parts, ignore_index=True)[schema.names]
 
-    return placed.groupBy(*group, "_chunk").applyInPandas(kernel, schema)
+    return _by_chunk(placed, sizes, group, kernel, schema, replicates, salt, size, None)
 
 
 def percentile_interval(
@@ -171,7 +250,8 @@ def bootstrap_mean(
 
 
 def bootstrap_paired(
-    df: DataFrame, left: str, right: str, by: list[str], order: str, replicates: int = REPLICATES, salt: int = SEED
+    df: DataFrame, left: str, right: str, by: list[str], order: str, replicates: int = REPLICATES, salt: int = SEED,
+    size: int = CHUNK,
 ) -> DataFrame:
     """Mean and median of left - right over pairs with both sides finite, with a percentile interval.
 
@@ -194,7 +274,7 @@ def bootstrap_paired(
         F.count_if(lost_r).alias("n_dropped_right"),
     )
     middle = quantiles(pairs, by, "_d", {"median_difference": 0.5}, [order], rows=n)
-    ci = percentile_interval(bootstrap_sums(pairs, by, ["_d"], order, replicates, salt, n), by, _mean("_d"))
+    ci = percentile_interval(bootstrap_sums(pairs, by, ["_d"], order, replicates, salt, n, size), by, _mean("_d"))
     return _join(_join(point, middle, by), ci, by)
 
 

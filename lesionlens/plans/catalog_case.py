@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lesionlens.functions.fixed import DOMAIN_NAMES, ET_FAILURE_BELOW, FAILURE_PERCENTILES, SEED, UNKNOWN_GROUP, WT_FAILURE_BELOW
+from lesionlens.functions.fixed import DOMAIN_NAMES, ET_FAILURE_BELOW, FAILURE_PERCENTILES, REPLICATES, REPLICATES_SHORT, SEED, UNKNOWN_GROUP, WT_FAILURE_BELOW
 from lesionlens.functions.scalars import (
     below, domain_of, log_millilitres, log_volume, norm_missing, recode, relative_bias, row_mean, safe_ratio,
 )
 from lesionlens.operators import binning, embed, guards, ordered, ranks, resample, scores as sc
 from lesionlens.operators.lookup import lookup
-from lesionlens.plans.check_sql import GRID, SALT2, bootstrap_ctes, correlation_p, digits, draw, fx, interval, normal_p, with_
+from lesionlens.plans.check_sql import GRID, SALT2, bootstrap_ctes, correlation_p, digits, drawn_ctes, fx, interval, normal_p, with_
 from lesionlens.plans.fixtures import fixture, table
 from lesionlens.session import materialize
 from lesionlens.sources import readers
 
-REPLICATES = 200
 PARTIAL_REPLICATES = 20
 METRICS = ("dsc_et", "dsc_tc", "dsc_wt")
 CONTRASTS = {"c2_minus_c1": ("c2", "c1"), "c4_minus_c3": ("c4", "c3"), "c3_minus_c1": ("c3", "c1"), "c5_minus_c4": ("c5", "c4"), "c6_minus_c5": ("c6", "c5")}
@@ -83,12 +82,19 @@ def aggregate_scores(spark, sf):
 PAIRED = ("mean_difference", "median_difference", "ci_low", "ci_high")
 
 
-def bootstrap_paired(spark, sf):
+def bootstrap_paired(spark, sf, size=resample.CHUNK):
     pairs = sc.paired_join(scores(spark, sf), "config", "case_id", list(METRICS), {"x": ("c2", "c1")})
-    out = resample.bootstrap_paired(pairs, "left", "right", ["metric"], "case_id", REPLICATES)
+    out = resample.bootstrap_paired(pairs, "left", "right", ["metric"], "case_id", REPLICATES, size=size)
     return _round(out, ["metric", "n", "n_dropped_left", "n_dropped_right"], PAIRED)
 
 
+SMALL_CHUNK = 300  # so that every group is routed over several chunks at any scale
+
+
+def bootstrap_paired_chunks(spark, sf):
+    return bootstrap_paired(spark, sf, SMALL_CHUNK)
+
+
 def _split(spark, sf):
     df = scores(spark, sf)
     return df.where("config = 'c2'"), df.where("config = 'c1'")
@@ -182,13 +188,13 @@ SUMMARY_OUTCOMES = (*OUTCOMES, "failure_bottom10")
 
 
 def domain_summary(spark, sf):
-    out = sc.domain_summary(flagged(spark, sf), "domain", replicates=REPLICATES)
+    out = sc.domain_summary(flagged(spark, sf), "domain", replicates=REPLICATES_SHORT)
     cols = [f"{o}_{c}" for o in SUMMARY_OUTCOMES for c in ("mean", "ci_low", "ci_high")]
     return _round(out, ["domain", "n", *[f"{o}_n" for o in SUMMARY_OUTCOMES]], cols)
 
 
 def bootstrap_group(spark, sf):
-    out = resample.bootstrap_mean(features(spark, sf), "et_dice", ["domain"], "case_id", REPLICATES)
+    out = resample.bootstrap_mean(features(spark, sf), "et_dice", ["domain"], "case_id", REPLICATES_SHORT)
     return _round(out, ["domain", "n"], ["mean", "ci_low", "ci_high"])
 
 
@@ -350,7 +356,7 @@ def pca_scores(spark, sf):
 QUERIES = {
     "scan_filter_regex": scan_filter_regex, "unpivot_scores": unpivot_scores, "norm_missing": norm_missing_q,
     "align_guard": align_guard, "paired_join": paired_join, "aggregate_scores": aggregate_scores,
-    "bootstrap_paired": bootstrap_paired, "bootstrap_independent": bootstrap_independent,
+    "bootstrap_paired": bootstrap_paired, "bootstrap_paired_chunks": bootstrap_paired_chunks, "bootstrap_independent": bootstrap_independent,
     "bootstrap_region_mean": bootstrap_region_mean, "paired_comparisons": paired_comparisons,
     "source_target_gap": source_target_gap, "scan_features": scan_features, "row_mean": row_mean_q,
     "log_volume": log_volume_q, "safe_ratios": safe_ratios, "volume_bias": volume_bias, "recode_default": recode_default, "recode_chain": recode_chain,
@@ -379,13 +385,13 @@ def _pairs(contrasts: dict) -> tuple[str, str]:
         for n, (a, b) in contrasts.items()))
 
 
-def _paired_sql(contrasts: dict, keys: list[str], drops: bool) -> str:
+def _paired_sql(contrasts: dict, keys: list[str], drops: bool, size: int = resample.CHUNK) -> str:
     k = ", ".join(keys)
     using = f"using ({k})"
     extra = """, count(case when l is null and r is not null then 1 end) as n_dropped_left,
         count(case when r is null and l is not null then 1 end) as n_dropped_right""" if drops else ""
     return with_(S, LONG, _pairs(contrasts), ("diffs", "select *, l - r as d from pairs where l - r is not null"),
-                 *bootstrap_ctes("diffs", keys, ["d"], "case_id", REPLICATES)) + f"""select * from (
+                 *bootstrap_ctes("diffs", keys, ["d"], "case_id", REPLICATES, size=size)) + f"""select * from (
         select {k}, count(l - r) as n, round(avg(l - r), 9) as mean_difference,
           round(quantile_cont(l - r, 0.5), 9) as median_difference{extra} from pairs group by {k}) a
         join (select {k}, {interval('mean_d')} from rep group by {k}) b {using}"""
@@ -468,9 +474,8 @@ def _partial_ctes(rows: str, replicate: bool) -> list[tuple[str, str]]:
 
 NAMED = ("named", "select * from (values " + ", ".join(f"('{h[0]}', '{h[1]}', '{h[2]}', '{','.join(h[3])}')" for h in HYPOTHESES) + ") t(label, feature, outcome, controls)")
 RESAMPLED = [
-    ("ordf", "select *, row_number() over (partition by fold order by case_id) as i, count(*) over (partition by fold) as nf from features"),
-    ("drawnf", f"select fold, b, {draw('nf', SEED)} as d from ordf cross join (select unnest(range(1, {PARTIAL_REPLICATES + 1})) as b) r"),
-    ("sampled", "select d.b, o.* from drawnf d join ordf o on o.fold = d.fold and o.i = d.d"),
+    *drawn_ctes("features", ["fold"], "case_id", PARTIAL_REPLICATES, SEED, "f_"),
+    ("sampled", "select d.b, o.* from f_drawn d join f_ord o on o.n = d.n and o.i = d.d"),
 ]
 
 
@@ -519,6 +524,7 @@ ORACLES = {
     "paired_join": with_(S, LONG, _pairs(CONTRASTS)) + 'select comparison, metric, case_id, l as "left", r as "right" from pairs where l is not null and r is not null',
     "aggregate_scores": with_(S, LONG) + "select config, metric, count(value) as n, round(avg(value), 9) as mean, round(stddev_samp(value), 9) as sd from long group by 1, 2",
     "bootstrap_paired": _paired_sql({"x": ("c2", "c1")}, ["metric"], True),
+    "bootstrap_paired_chunks": _paired_sql({"x": ("c2", "c1")}, ["metric"], True, SMALL_CHUNK),
     "bootstrap_independent": with_(*INDEPENDENT) + _gap_sql("metric"),
     "bootstrap_region_mean": with_(S, *JOINT) + REGION_MEAN.format(region=""),
     "paired_comparisons": _paired_sql(CONTRASTS, ["comparison", "metric"], False),
@@ -543,7 +549,7 @@ ORACLES = {
     "failure_counts": with_(X, CUTS, FLAGGED) + """select count(case when failure_bottom10 then 1 end) as bottom10,
         count(case when failure_eligible then 1 end) as complete, count(case when et_dice < 0.5e0 then 1 end) as et_failures,
         count(et_dice) as et_evaluable, count(case when wt_dice < 0.8e0 then 1 end) as wt_failures, count(*) as cases from flagged""",
-    "domain_summary": with_(X, CUTS, FLAGGED, DOM, *bootstrap_ctes("dom", ["domain", "o"], ["v"], "case_id", REPLICATES),
+    "domain_summary": with_(X, CUTS, FLAGGED, DOM, *bootstrap_ctes("dom", ["domain", "o"], ["v"], "case_id", REPLICATES_SHORT),
         ("ci", f"select domain, o, {interval('mean_v')} from rep group by 1, 2"),
         ("pt", "select domain, o, count(*) as n, round(avg(v), 9) as m from dom group by 1, 2"))
         + "select f.domain, f.n, " + ", ".join(
@@ -551,7 +557,7 @@ ORACLES = {
             f"max(case when o = '{o}' then ci_low end) as {o}_ci_low, max(case when o = '{o}' then ci_high end) as {o}_ci_high" for o in SUMMARY_OUTCOMES)
         + " from (select domain, count(*) as n from features group by 1) f left join pt p using (domain) left join ci using (domain, o) group by 1, 2",
     "bootstrap_group": with_(X, ("v", "select domain, case_id, et_dice from features where et_dice is not null"),
-        *bootstrap_ctes("v", ["domain"], ["et_dice"], "case_id", REPLICATES))
+        *bootstrap_ctes("v", ["domain"], ["et_dice"], "case_id", REPLICATES_SHORT))
         + f"""select * from (select domain, count(et_dice) as n, round(avg(et_dice), 9) as mean from features group by 1) a
         join (select domain, {interval('mean_et_dice')} from rep group by 1) b using (domain)""",
     "avg_rank": with_(X) + f"select domain, case_id, et_dice, {_rank('domain', 'et_dice')} as avg_rank from features where et_dice is not null",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lesionlens.functions.fixed import (
-    BASELINE_MIN_VOXELS, BASELINE_THRESHOLD, GRID_MIN_VOXELS, GRID_THRESHOLDS, REGION_LABELS, REGIONS,
+    BASELINE_MIN_VOXELS, BASELINE_THRESHOLD, GRID_MIN_VOXELS, GRID_THRESHOLDS, REGIONS, REGION_LABELS, REPLICATES,
 )
 from lesionlens.functions.scalars import float_gt
 from lesionlens.operators import components as cc, ensemble, grid as g, guards, morphology as mo, surface, voxels as vx
@@ -15,7 +15,6 @@ from lesionlens.plans.check_sql import bootstrap_ctes, code, component_ctes, fx,
 from lesionlens.plans.fixtures import SIDE, fixture
 from lesionlens.session import materialize
 
-CHECK_REPLICATES = 200
 CASE = ["case_id"]
 FOLDED = ["case_id", "fold"]
 
@@ -252,7 +251,7 @@ def crossfit_per_case(spark, sf):
 
 
 def paired_effects_q(spark, sf):
-    out = paired_effects(_evaluated(spark, sf), replicates=CHECK_REPLICATES)
+    out = paired_effects(_evaluated(spark, sf), replicates=REPLICATES)
     values = ("baseline_mean", "crossfit_mean", "mean_difference", "ci_low", "ci_high")
     return out.select("metric", "n", *[F.round(c, 9).alias(c) for c in values], "n_dropped_left", "n_dropped_right")
 
@@ -537,7 +536,7 @@ ORACLES = {
             f"select '{c}' as metric, case_id, max(case when configuration = 'crossfit' then {c} end) as l, "
             f"max(case when configuration = 'baseline' then {c} end) as r from evaluated group by case_id" for c in METRICS)),
         ("diffs", "select metric, case_id, l - r as d from sides2 where l - r is not null"),
-        *bootstrap_ctes("diffs", ["metric"], ["d"], "case_id", CHECK_REPLICATES), recursive=True)
+        *bootstrap_ctes("diffs", ["metric"], ["d"], "case_id", REPLICATES), recursive=True)
         + f"""select s.*, c.ci_low, c.ci_high, n_dropped_left, n_dropped_right from (
           select metric, count(l - r) as n, round(avg(case when l - r is not null then r end), 9) as baseline_mean,
             round(avg(case when l - r is not null then l end), 9) as crossfit_mean, round(avg(l - r), 9) as mean_difference

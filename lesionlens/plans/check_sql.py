@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lesionlens.functions.fixed import SEED
-from lesionlens.operators.resample import MODULUS, SECOND_SALT
+from lesionlens.operators.resample import CHUNK, MODULUS, ROUTE, SECOND_SALT, STEP
 from lesionlens.plans.fixtures import ansi
 
 CODE = "(cast({z} as bigint) * 1099511627776 + cast({y} as bigint) * 1048576 + {x})"
@@ -72,28 +72,35 @@ def component_ctes(mask: str, prefix: str = "") -> list[tuple[str, str]]:
     ]
 
 
-def draw(n: str, salt: int) -> str:
-    """1-based draw number of replicate b, draw i."""
-    h1 = f"((b * 7919 + i * 104729 + {salt}) % {MODULUS})"
+def hashed(salt: str | int, i: str = "i") -> str:
+    h1 = f"((b * 7919 + {i} * 104729 + {salt}) % {MODULUS})"
     h2 = f"(({h1} * {h1} + 12345) % {MODULUS})"
-    h3 = f"(({h2} * 48271 + b) % {MODULUS})"
-    return f"1 + {h3} % {n}"
+    return f"(({h2} * 48271 + b) % {MODULUS})"
+
+
+def drawn_ctes(rows: str, by: list[str], order: str, replicates: int, salt: int = SEED, prefix: str = "", size: int = CHUNK) -> list[tuple[str, str]]:
+    """CTEs giving {prefix}ord(rows with i from 1 and n) and {prefix}drawn(n, b, d): the rows d that replicate b of a group of n draws."""
+    p, part = prefix, f"partition by {', '.join(by)}" if by else ""
+    route = f"({hashed(salt + ROUTE[0])} * {MODULUS} + {hashed(salt + ROUTE[1])}) % n // {size}"
+    sizes = f"(select distinct n from {p}ord) q, (select unnest(range(1, {replicates + 1})) as b) r"
+    return [
+        (f"{p}ord", f"select *, row_number() over ({part} order by {order}) as i, count(*) over ({part}) as n from {rows}"),
+        (f"{p}route", f"""select n, b, 0 as c, n as m from {sizes} where n <= {size}
+          union all select n, b, {route} as c, count(*) as m from (select n, b, unnest(range(1, n + 1)) as i from {sizes} where n > {size}) x group by all"""),
+        (f"{p}sent", f"select n, b, c, unnest(range(1, m + 1)) as j from {p}route"),
+        (f"{p}drawn", f"select n, b, c * {size} + 1 + {hashed(f'{salt} + c * {STEP}', 'j')} % least({size}, n - c * {size}) as d from {p}sent"),
+    ]
 
 
 def bootstrap_ctes(
-    rows: str, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED, prefix: str = ""
+    rows: str, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED, prefix: str = "", size: int = CHUNK
 ) -> list[tuple[str, str]]:
     """CTEs giving {prefix}rep(by, b, mean_<v>) from a CTE ``rows``."""
-    p, part = prefix, f"partition by {', '.join(by)}" if by else ""
-    keys = "".join(f"{c}, " for c in by)
-    on = " and ".join([f"o.{c} = d.{c}" for c in by] + ["o.i = d.d"])
+    p, keys = prefix, "".join(f"{c}, " for c in by)
+    means = ", ".join(f"avg(o.{v}) as mean_{v}" for v in values)
     return [
-        (f"{p}ord", f"select *, row_number() over ({part} order by {order}) as i, count(*) over ({part}) as n from {rows}"),
-        (f"{p}drawn", f"select {keys} b, i, {draw('n', salt)} as d from {p}ord cross join "
-                      f"(select unnest(range(1, {replicates + 1})) as b) r"),
-        (f"{p}rep", f"select {''.join(f'd.{c}, ' for c in by)} d.b, "
-                    + ", ".join(f"avg(o.{v}) as mean_{v}" for v in values)
-                    + f" from {p}drawn d join {p}ord o on {on} group by {''.join(f'd.{c}, ' for c in by)} d.b"),
+        *drawn_ctes(rows, by, order, replicates, salt, prefix, size),
+        (f"{p}rep", f"select {keys} b, {means} from {p}drawn d join {p}ord o on o.n = d.n and o.i = d.d group by {keys} b"),
     ]
 
 

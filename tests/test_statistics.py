@@ -169,6 +169,51 @@ def test_draw_formula_and_totals():
     assert 0.6 < (whole > 0).mean() < 0.66
 
 
+def plain_draws(n, b, salt, size):
+    """The rows that replicate b of a group of n rows takes, by the definition alone."""
+    def h(i, s):
+        h1 = (b * 7919 + i * 104729 + s) % MODULUS
+        return ((h1 * h1 + 12345) % MODULUS * 48271 + b) % MODULUS
+
+    chunks = -(-n // size)
+    sent = [0] * chunks
+    for i in range(1, n + 1):
+        sent[(h(i, salt + resample.ROUTE[0]) * MODULUS + h(i, salt + resample.ROUTE[1])) % n // size if chunks > 1 else 0] += 1
+    return [c * size + h(j, salt + c * resample.STEP) % min(size, n - c * size) for c, m in enumerate(sent) for j in range(1, m + 1)]
+
+
+@pytest.mark.parametrize("size", [7, 50, 300])
+def test_one_definition_at_every_size(spark, size):
+    rows = [(g, k, float(k * k % 17) if k % 5 else None) for g, n in (("a", 50), ("b", 51), (None, 7), ("c", 120), ("d", 51)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, id int, v double").repartition(5)
+    got = {(r.g, r.replicate): (r.sum_v, r.n_v) for r in resample.bootstrap_sums(df, ["g"], ["v"], "id", 30, size=size, rows=len(rows)).collect()}
+    drawn = {(r.g, r.replicate): (r.s, r.w) for r in resample.bootstrap_weights(df, ["g"], "id", 30, size=size)
+             .groupBy("g", "replicate").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w")).collect()}
+    for g in ("a", "b", "c", "d", None):
+        v = [x for k, _, x in sorted((r for r in rows if r[0] == g), key=lambda r: r[1])]
+        for b in range(1, 31):
+            sample = [v[d] for d in plain_draws(len(v), b, SEED, size)]
+            known = [x for x in sample if x is not None]
+            assert got[g, b] == (pytest.approx(sum(known)), len(known)) and drawn[g, b] == (pytest.approx(sum(known)), len(v))
+
+
+def test_a_row_beyond_the_chunk_leaves_its_stream():
+    for n in (resample.CHUNK, resample.CHUNK + 1):
+        b = np.arange(1, 4)
+        taken = resample.routed(b, n, SEED)
+        picked, valid = resample.chunk_draws(b, taken[:, 0], resample.CHUNK, 0, SEED)
+        whole = resample.draws(b, np.arange(1, picked.shape[1] + 1), resample.CHUNK, SEED)
+        assert (picked == whole).all() and (valid.sum(axis=1) == taken[:, 0]).all() and (taken.sum(axis=1) == n).all()
+    assert (resample.CHUNK - taken[:, 0] < 8).all()
+
+
+def test_routing_is_even():
+    taken = resample.routed(np.arange(1, 201), 40_000, 7, size=1_000)
+    assert (taken.sum(axis=1) == 40_000).all()
+    chi2 = ((taken - 1_000) ** 2 / 1_000).sum(axis=1)  # 39 degrees of freedom
+    assert 36 < chi2.mean() < 42 and 60 < chi2.var() < 100
+
+
 def test_bootstrap_mean_over_several_chunks(spark):
     n = 20_000
     pdf = pd.DataFrame({"id": np.arange(n), "v": np.random.default_rng(1).normal(5, 2, n)})
