@@ -250,9 +250,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = _rows(docs, doc_id, text)
     kind = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), rows.schema["ident"], T.StructField("at", T.LongType())])
     segments = materialize(rows.where(F.octet_length("text") >= WINDOW).mapInArrow(_segments, kind), "segments")
-    anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    anchors = materialize(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
     members = materialize(segments.join(anchors.hint("merge"), "anchor"), "members")
     discard(segments)
+    discard(anchors)
     groups = members.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"), F.min(F.struct("ident", "at")).alias("one"))
     groups = materialize(groups, "groups")
 
