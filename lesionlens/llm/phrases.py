@@ -43,8 +43,8 @@ CONTAINED = (100, 80)  # a phrase is dropped if 100 * f(longer) >= 80 * f(phrase
 UNKNOWN = "und"
 
 WORDS, PAIRS = 4_000_000, 8_000_000  # entries that are broadcast, 8 bytes each
-FULL = 1_500_000  # paths of a transducer that is emitted
-PIECE = 4_000_000
+FULL = 1_000_000  # paths of a transducer that is emitted
+PIECE = 2_000_000
 RANGES = 4  # prefix ranges for each shuffle partition
 SPREAD = 64
 
