@@ -1,10 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a queue of its shuffled documents, served twice over at most. A document's virtual finish time
-is the source's cumulative size up to its end, divided by the source's target: a queue that is served at its
-weight finishes the document at that time, and every queue reaches its target at virtual time 1, when the
-budget is spent. Documents are sorted globally by that time; a document in service when the budget is spent
-gives the part served so far, so a source gets its target to the word.
+Each source is a queue of its shuffled documents, twice over at most. A packet's virtual finish time is the words of its
+queue up to its end, divided by the source's target. All packets are sorted globally by that time and the mix is what
+comes before the running total reaches the budget, which is the only thing that ends a queue; the packet at which the budget is
+spent is split. A document is one packet, but for the one that its queue serves at virtual time 1, when a fair
+server spends the budget: that one is cut into packets of ``QUANTUM`` words, so that a long document does not make its source miss its
+target by its length.
 
 The shuffle is the order of md5(seed:doc_id). Cumulative sizes need no task that sees a whole source: rows are
 grouped by the first digits of that digest, sums of groups give each group's start, and a window inside a
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lesionlens.llm.columns import text_of, unpacked, whole_row, word_count
+from lesionlens.llm.columns import text_of, whole_row, word_count
 from lesionlens.session import materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
+QUANTUM = 1  # words
 
 
 def queues(
@@ -76,36 +78,41 @@ def targets(queued: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     )
 
 
+def packets(queued: DataFrame, passes: int = PASSES, quantum: int = QUANTUM) -> DataFrame:
+    """(skey, start, from, doc_id, size, turn, words, finish) of every packet of the queues, served ``passes`` times over."""
+    served = queued.where("size > 0").withColumn("turn", F.explode(F.array(*[F.lit(p) for p in range(passes)])))
+    served = served.withColumn("first", F.col("start") + F.col("turn") * F.col("source_size"))
+    in_service = (F.col("first") < F.col("target")) & (F.col("first") + F.col("size") > F.col("target"))
+    step = F.when(in_service, F.lit(quantum)).otherwise(F.col("size")).cast("bigint").alias("step")
+    cut = served.select("*", step).withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.col("step"))))
+    cut = cut.withColumn("words", F.least("step", F.col("size") - F.col("at"))).withColumn("from", F.col("first") + F.col("at"))
+    cut = cut.withColumn("finish", (F.col("from") + F.col("words")) / F.col("target"))
+    return cut.select("skey", "start", "from", "doc_id", "size", "turn", "words", "finish")
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """(queued documents with source_size and target, the mix).
 
-    The mix has a row for each service of a document: (skey, start, doc_id, size, turn, words, finish,
-    position), in the order of ``finish``, the virtual finish time; ``position`` is the running total of
-    words up to its end, and the mix ends where it reaches the budget.
+    The mix has a row for each packet taken: (skey, start, doc_id, size, turn, words, finish, position), in the order of ``finish``,
+    the virtual finish time; ``position`` is the running total of words up to its end, the last one's being the budget.
     """
     queued = queues(docs, doc_id, text, source, seed)
     queued = materialize(queued.join(targets(queued, weights, share, passes), "skey"), "queues")
-    served = queued.where("size > 0").withColumn("turn", F.explode(F.array(*[F.lit(p) for p in range(passes)])))
-    served = served.withColumn("from", F.col("start") + F.col("turn") * F.col("source_size"))
-    words = F.least(F.col("size"), F.floor("target") - F.col("from"))
-    served = served.withColumn("words", words).where("words > 0").withColumn(
-        "finish", (F.col("from") + F.col("words")) / F.col("target")
-    )
     order = ["finish", "skey", "from"]
     ranged = materialize(
-        served.select("skey", "start", "from", "doc_id", "size", "turn", "words", "finish")
-        .repartitionByRange(*order).sortWithinPartitions(*order).withColumn("piece", F.spark_partition_id()), "ranged",
+        packets(queued, passes).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("piece", F.spark_partition_id()), "ranged",
     )
     pieces = ranged.groupBy("piece").agg(F.sum("words").alias("total"))
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("piece", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    budget = queued.agg((F.sum("size") * F.lit(share)).alias("b")).select("b").scalar()
-    position = F.col("base") + F.sum("words").over(inside)
-    line = ranged.join(pieces, "piece").withColumn("position", position).where(F.col("position") <= budget)
+    budget = queued.agg(F.floor(F.sum("size") * F.lit(share)).alias("b")).select("b").scalar()
+    line = ranged.join(pieces, "piece").withColumn("before", F.col("base") + F.sum("words").over(inside) - F.col("words"))
+    line = line.withColumn("words", F.least("words", budget - F.col("before"))).where("words > 0")
+    line = line.withColumn("position", F.col("before") + F.col("words"))
     return queued, line.select("skey", "start", "doc_id", "size", "turn", "words", "finish", "position")
 
 
@@ -120,9 +127,18 @@ def mixed(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how
 ) -> DataFrame:
     """The documents that the mix takes, once each, with the columns of ``docs`` and ``taken``: the words of
-    it that the mix holds, up to ``passes`` times its size. ``docs`` has one row per id."""
-    sums = taken(*mix(docs, doc_id, text, source, **how)).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken")
-    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("_id")).join(sums.hint("merge"), "_id")
+    it that the mix holds, up to ``passes`` times its size. Of rows with equal id, source and size each takes one's share."""
+    sums = taken(*mix(docs, doc_id, text, source, **how)).where("taken > 0")
+    key = ["_id", "_source", "_size"]
+    sums = sums.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("skey").alias("_source"), F.col("size").alias("_size"), "taken")
+    shares = sums.groupBy(*key).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_shares"))
+    name = F.col(source).cast("string")
+    rows = docs.select(
+        whole_row(docs).alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
+        F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("_source"), word_count(text_of(text)).alias("_size"),
+    ).join(shares.hint("merge"), key)
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.col(f"row.`{text}`"))))
+    rows = rows.withColumn("_taken", F.get("_shares", turn - 1)).where(F.col("_taken").isNotNull())
     names = docs.columns
     extra = "taken" if "taken" not in names else "taken_by_mix"
-    return rows.select(*[F.col("row")[c].alias(c) for c in names], F.col("taken").alias(extra))
+    return rows.select(*[F.col("row")[c].alias(c) for c in names], F.col("_taken").alias(extra))

@@ -124,11 +124,20 @@ f as (select *, lim::double / weight <= level as reached from l),
 t as (
   select source, source_size,
          case when reached then lim::double else weight * max(case when not reached then level end) over () end as target
-  from f)
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::bigint - start))
-        + greatest(0, least(size, floor(target)::bigint - source_size - start)))::bigint as taken
+  from f),
+v as (select *, start + unnest([0, source_size]) as first_word from q join t on q.source is not distinct from t.source),
+y as (select *, case when first_word < target and first_word + size > target then 1 else size end as step from v where size > 0),
+c as (select *, unnest(range(0, size, step)) as cut from y),
+x as (select *, least(step, size - cut) as words, first_word + cut as begins from c),
+r as (
+  select *, coalesce(sum(words) over (order by (begins + words) / target, '=' || source nulls first, begins rows between unbounded preceding and 1 preceding), 0) as before
+  from (select doc_id, source, start, words, begins, target from x) x),
+u as (
+  select doc_id, source, start, sum(greatest(0, least(words, (select floor(sum(size) * 1.5::double)::bigint from d) - before)))::bigint as taken
+  from r group by all)
+select q.doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
 from q join t on q.source is not distinct from t.source
+left join u on u.doc_id is not distinct from q.doc_id and u.source is not distinct from q.source and u.start = q.start and q.size > 0
 """
 
 OP11_SQL = r"""
