@@ -47,8 +47,19 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of ``documents`` as they stand after a history: labelled documents come as drafts of half their text and are revised, and
+    a copy of each comes under another id and is deleted; that batch is applied twice and the ledger compacted."""
     ledger = token_counts.TokenLedger(spark, f"{checkpoint_root(spark).rstrip('/')}/token-ledger-{uuid4().hex}")
-    ledger.apply("documents", table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    drafts = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    first = docs.join(drafts.select("doc_id", F.lit(True).alias("draft")), "doc_id", "left").withColumn("text", F.when(F.col("draft"), half).otherwise(F.col("text")))
+    passing = drafts.withColumn("doc_id", -1 - F.col("doc_id"))
+    ledger.apply("first texts, and passing documents", first.drop("draft").unionByName(passing))
+    changes = drafts.withColumn("gone", F.lit(False)).unionByName(passing.withColumns({"gone": F.lit(True), "text": F.lit(None).cast("string")}))
+    for _ in range(2):  # the second time is a replay
+        ledger.apply("whole texts, and deletions", changes, delete=F.col("gone"))
+    ledger.compact()
     return ledger.rollup()
 
 

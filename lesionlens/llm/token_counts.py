@@ -2,12 +2,17 @@
 
 A ledger is a folder that driver and executors share. Each batch adds two tables to it: signed document rows
 (+1 a document that is there now, -1 one that was) and the batch's totals by group. Totals of all batches add up
-to the rollup, so a batch costs what it changes; a revised or deleted document is taken back with the counts it
-was entered with, which the document rows hold.
+to the rollup; a revised or deleted document is taken back with the counts it was entered with, which the document
+rows hold. To find those a batch reads the ledger's document rows (ids and counts, no texts); :meth:`TokenLedger.compact`
+keeps them at one row for each document and version, however many batches there were.
+
+*Versions.* A document is counted under each tokenizer version that it was entered with. A revision replaces the counts of its own
+version; a deletion takes the document out of all.
 
 *Commits.* A batch has an id. Its totals are written last, and Spark's success mark in their folder is the
 commit. A committed batch that is applied again changes nothing; one that was interrupted is not read by anyone and is
-overwritten when it is applied again.
+overwritten when it is applied again. A compaction commits in the same way, with the list of the batches it stands for, and
+removes their folders afterwards; one that was interrupted is ignored.
 
 Tokens are counted where the text is read; only ids and counts are shuffled. A tokenizer's version is its name and a
 digest of its vocabulary file, so counts of two vocabularies never mix.
@@ -25,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -82,19 +88,57 @@ class TokenLedger:
     def _folder(self, part: str, batch: str) -> str:
         return f"{self.path}/{part}/batch-{hashlib.md5(batch.encode()).hexdigest()}"
 
-    def _committed(self, batch: str = "*") -> list[str]:
-        """Folder names of the committed batches."""
-        jvm = self.spark.sparkContext._jvm
-        name = "batch-*" if batch == "*" else self._folder("", batch).rpartition("/")[2]
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/totals/{name}/_SUCCESS")
-        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getParent().getName() for s in fs.globStatus(pattern) or [])
+    def _files(self, pattern: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs, [s.getPath() for s in fs.globStatus(path) or []]
 
-    def _read(self, part: str, schema: str, without: str = "") -> DataFrame:
-        names = [n for n in self._committed() if n != without]
+    def _snapshot(self) -> tuple[str, set[str]]:
+        """(name, folder names of the batches it stands for) of the last committed compaction; empty if there is none."""
+        names = [p.getParent().getParent().getName() for p in self._files("snapshots/*/batches/_SUCCESS")[1]]
         if not names:
+            return "", set()
+        last = max(names)
+        return last, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{last}/batches").collect()}
+
+    def _committed(self) -> list[str]:
+        """Folder names of the committed batches, compacted ones included."""
+        found = {p.getParent().getName() for p in self._files("totals/batch-*/_SUCCESS")[1]}
+        return sorted(found | self._snapshot()[1])
+
+    def _is_committed(self, batch: str) -> bool:
+        return self._folder("", batch).rpartition("/")[2] in self._committed()
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        snapshot, inside = self._snapshot()
+        folders = [f"{self.path}/{part}/{n}" for n in self._committed() if n not in inside]
+        folders += [f"{self.path}/snapshots/{snapshot}/{part}"] if snapshot else []
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{part}/{n}" for n in names])
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def compact(self) -> None:
+        """Replace all committed batches by one table of the documents that count now, and their totals.
+
+        No batch may be applied meanwhile.
+        """
+        names, (old, _) = self._committed(), self._snapshot()
+        if not names:
+            return
+        new = f"{len(names):012d}-{uuid4().hex}"
+        folder = f"{self.path}/snapshots/{new}"
+        self.documents().select("doc_id", "source", "lang", "tokenizer", "tokens", F.col("sign").cast("int")).write.parquet(f"{folder}/rows")
+        self.rollup().write.parquet(f"{folder}/totals")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{folder}/batches")
+        for part in ("rows", "totals"):
+            for name in names:
+                for fs, paths in [self._files(f"{part}/{name}")]:
+                    for path in paths:
+                        fs.delete(path, True)
+        if old and old != new:
+            fs, paths = self._files(f"snapshots/{old}")
+            for path in paths:
+                fs.delete(path, True)
 
     def documents(self) -> DataFrame:
         """The documents that count now, one row each."""
@@ -107,7 +151,7 @@ class TokenLedger:
 
         Returns False, and does nothing, if the batch is committed already.
         """
-        if self._committed(batch):
+        if self._is_committed(batch):
             return False
         nothing = F.lit(None)
         rows = changes.select(
@@ -122,7 +166,8 @@ class TokenLedger:
         loose = rows.where("doc_id is null and not gone")
         entered = last.where("not gone").select("doc_id", *value).unionByName(loose.select("doc_id", *value)).withColumn("sign", F.lit(1))
         if self._committed():
-            before = self.documents().join(rows.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("tokenizer") == self.tokenizer.version)
+            changed = last.select("doc_id", "gone")
+            before = self.documents().join(changed, "doc_id").where(F.col("gone") | (F.col("tokenizer") == self.tokenizer.version))
             entered = entered.unionByName(before.select("doc_id", *value, (-F.col("sign")).cast("int").alias("sign")))
         folder = self._folder("rows", batch)
         entered.write.mode("overwrite").parquet(folder)

@@ -336,6 +336,44 @@ def test_ledger(spark, tmp_path):
     assert put("c", [(1, None, None, None, True)]) and ("u", "en") not in total()
 
 
+def test_a_deletion_takes_a_document_out_of_every_version(spark, tmp_path):
+    one = token_counts.TokenLedger(spark, str(tmp_path))
+    two = token_counts.TokenLedger(spark, str(tmp_path))
+    schema = "doc_id bigint, text string, source string, lang string, gone boolean"
+
+    class Second(token_counts.Tokenizer):
+        version = "second"
+
+    two.tokenizer = Second()
+    put = lambda ledger, name, rows: ledger.apply(name, spark.createDataFrame(rows, schema), F.col("gone"))
+    docs = lambda: {(r.tokenizer == "second", r.docs) for r in one.rollup().collect()}
+    put(one, "a", [(1, "x y", "s", "en", False), (2, "z", "s", "en", False)])
+    put(two, "b", [(1, "x y", "s", "en", False), (2, "z", "s", "en", False)])
+    assert docs() == {(False, 2), (True, 2)}
+    put(two, "c", [(1, None, None, None, True), (2, "z z z", "s", "en", False)])  # the revision is one of its own version
+    assert docs() == {(False, 1), (True, 1)}
+
+
+def test_a_compacted_ledger_goes_on(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path))
+    put = lambda name, rows: ledger.apply(name, table(spark, rows), F.col("row") == "gone")
+    total = lambda: sorted((r.source or "", r.lang or "", r.docs, r.tokens) for r in ledger.rollup().collect())
+    ledger.compact()
+    assert total() == []
+    put("a", [*odd_rows(), (50, "a" * 300_000, "en", "s")])
+    first = total()
+    for _ in range(2):
+        ledger.compact()
+        assert total() == first and not put("a", [(99, "again", "en", "s")]) and total() == first
+    assert put("b", [(50, "short", "en", "t"), (4, None, "en", "s")])
+    rows = ledger.documents().where("doc_id in (4, 50)").collect()
+    assert {(r.doc_id, r.source, r.tokens, r.sign) for r in rows} == {(50, "t", 1, 1), (4, "s", 0, 1)}
+    after = total()
+    ledger.compact()
+    assert total() == after and ledger._read("rows", token_counts.ROWS).where("sign < 0").count() == 0
+    assert len(list((tmp_path / "snapshots").iterdir())) == 1 and not list((tmp_path / "rows").glob("batch-*"))
+
+
 # URLs
 
 
