@@ -69,6 +69,11 @@ def content_digest(df: DataFrame, content: str, out: str = "sha256") -> DataFram
     return df.withColumn(out, F.sha2(F.col(content).cast("binary"), 256))
 
 
+def row_digests(df: DataFrame, out: str = "sha256") -> DataFrame:
+    """One digest for each row, of all its columns by name."""
+    return df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias(out))
+
+
 def table_digest(df: DataFrame, digest: str = "sha256") -> DataFrame:
     """One row (n_rows, digest) of a whole table from its row digests, independent of row order.
 

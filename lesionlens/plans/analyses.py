@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lesionlens.functions.fixed import (
     BASELINE_MIN_VOXELS, BASELINE_THRESHOLD, COMPARISONS, CONFIGURATIONS, ET_FAILURE_BELOW, FAILURE_PERCENTILES, GRID_MIN_VOXELS,
     GRID_THRESHOLDS, METRIC_FAMILIES, MORPHOLOGY_FEATURES, OUTCOMES, PARTIAL_HYPOTHESES, PRIMARY_FAMILIES, REGIONS,
-    REPLICATES, REPLICATES_SHORT, SEED, UNKNOWN_DOMAIN, UNKNOWN_GROUP, WT_FAILURE_BELOW,
+    REPLICATES, REPLICATES_SHORT, SEED, UNKNOWN_DOMAIN, UNKNOWN_GROUP, VOLUME_SUFFIX, WT_FAILURE_BELOW,
 )
-from lesionlens.functions.scalars import below, domain_of, row_mean
+from lesionlens.functions.scalars import below, case_id, domain_of, row_mean
 from lesionlens.operators import binning, embed, grid, guards, ranks, scores
+from lesionlens.operators.lookup import with_scalars
 from lesionlens.operators.morphology import case_morphology
 from lesionlens.operators.voxels import decode_regions, reconstruct_match
 from lesionlens.session import materialize
-from lesionlens.sources.writers import bootstrap_document, write_document, write_table
+from lesionlens.sources import readers
+from lesionlens.sources.writers import bootstrap_document, snapshot, write_document, write_table
 
 VOXEL_KEYS = ["case_id", "fold"]
 
@@ -29,6 +33,33 @@ def _write_all(tables: dict[str, tuple[DataFrame, list[str]]], target: str) -> d
     return stored
 
 
+def take_inputs(target: str, **inputs: DataFrame) -> dict[str, DataFrame]:
+    """Snapshots of an analysis' inputs below its target, with a table of their digests; the analysis reads the stored copies."""
+    root = f"{target.rstrip('/')}/inputs"
+    taken = {name: snapshot(df, f"{root}/{name}") for name, df in inputs.items()}
+    digests = [guards.table_digest(guards.row_digests(df)).select(F.lit(name).alias("input"), "n_rows", "digest") for name, df in taken.items()]
+    write_table(reduce(DataFrame.unionByName, digests), f"{root}/digests", ["input"], single=True)
+    return taken
+
+
+def package_cases(labels: DataFrame, root: str, target: str, case: str = "case_id", lab: str = "lab", folder: str | None = None, glob: str = f"*{VOLUME_SUFFIX}") -> DataFrame:
+    """The manifest of the files below ``root``, one for each case of ``labels`` (case, label), written to ``target``.
+
+    The case of a file is its name without suffix, or the value of the folder ``<folder>=<value>`` it is in. Missing, extra and repeated
+    files and labels outside the domain are errors, named before anything is written.
+    """
+    files = readers.read_contents(labels.sparkSession, root, glob)
+    name = F.regexp_extract("path", rf"/{folder}=([^/]*)/", 1) if folder else case_id("path")
+    files = materialize(files.select(name.alias(case), F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256"), "contents")
+    domain = materialize(guards.label_domain(labels.withColumn(case, F.col(case).cast("string")), [case], lab), "domain")
+    guards.assert_empty(guards.reconcile(domain, files, [case]).where("status <> 'ok'"), "missing or extra files")
+    guards.assert_empty(guards.repeated_keys(files, [case]), "several files of a case")
+    guards.assert_empty(domain.where("not valid"), "labels outside the domain")
+    out = domain.join(files, case).select(case, "file", "length", "sha256", "labels")
+    write_table(with_scalars(out, out.agg(F.count(F.lit(1)).alias("n_cases"))), target, [case])
+    return labels.sparkSession.read.parquet(target)
+
+
 def threshold_sweep(
     vox: DataFrame, target: str, cases: DataFrame | None = None, expected: dict[str, float] | None = None,
     thresholds: tuple[float, ...] = GRID_THRESHOLDS, min_voxels: tuple[int, ...] = GRID_MIN_VOXELS,
@@ -42,6 +73,7 @@ def threshold_sweep(
     """
     if BASELINE_THRESHOLD not in thresholds or BASELINE_MIN_VOXELS not in min_voxels:
         raise ValueError("the grid must contain the baseline operating point")
+    vox = take_inputs(target, voxels=vox)["voxels"]
     axes = ["case_id", "z", "y", "x"]
     guards.assert_empty(guards.fold_leaks(vox, "case_id", "fold"), "a case occurs in more than one fold")
     rebuilt = vox.select(*axes, decode_regions().alias("lab"))
@@ -93,6 +125,7 @@ def failure_atlas(
     replicates: int = REPLICATES_SHORT, salt: int = SEED,
 ) -> dict[str, DataFrame]:
     """Where segmentation fails: domains, associations, failure effects, sensitivity, bins, components."""
+    features = take_inputs(target, features=features)["features"]
     flagged = binning.quantile_flags(features).withColumns(
         {"failure_et_lt_05": below("et_dice", ET_FAILURE_BELOW), "failure_wt_lt_08": below("wt_dice", WT_FAILURE_BELOW)}
     )
@@ -139,7 +172,8 @@ def validation_scores(
 
     ``table``: one row per configuration and case; ``source``: (case, {region}_dice).
     """
-    table = table.where(F.col(config).isin(*configurations))
+    taken = take_inputs(target, scores=table.where(F.col(config).isin(*configurations)), source=source)
+    table, source = taken["scores"], taken["source"]
     guards.assert_empty(guards.align_guard(table, config, case, len(configurations)), "cases do not align")
     guards.assert_empty(guards.repeated_keys(table, [config, case]), "repeated case")
     metrics = [f"{f}_{r}" for f in METRIC_FAMILIES for r in REGIONS]

@@ -91,8 +91,9 @@ def table_digest(spark, sf):
 
 def label_manifest(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.explode(F.array("quality", "toxic")).alias("lab"))
-    files = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".nii.gz")).alias("name"))
-    files = files.where("doc_id % 17 <> 3")  # some cases have no file, and some files no labels
+    # some files are named for no case: their cases lack a file, and they have no labels
+    case = F.when(F.col("doc_id") % 17 == 3, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    files = table(spark, sf, "documents").select(case.alias("doc_id"), "text", F.concat(case.cast("string"), F.lit(".nii.gz")).alias("name"))
     out = guards.manifest(labels, files, "doc_id", "lab", "text", "name")
     return out.withColumn("labels", F.concat_ws(",", F.col("labels").cast("array<string>")))
 
@@ -138,7 +139,8 @@ def _geometries(spark, sf):
     size = F.transform("shape", lambda v, i: v + F.when((kind == 4) & (i == 2), 1).otherwise(0))
     short = F.when(F.col("vec_id") % 50 == 0, F.slice(moved, 1, 12)).otherwise(moved)
     out = ref.select("vec_id", short.alias("affine"), size.alias("shape"))
-    return ref.where("vec_id % 31 <> 4"), out.where("vec_id % 29 <> 3")  # each side lacks some cases
+    renamed = lambda k, r, far: F.when(F.col("vec_id") % k == r, far - F.col("vec_id")).otherwise(F.col("vec_id"))
+    return ref.withColumn("vec_id", renamed(31, 4, -1)), out.withColumn("vec_id", renamed(29, 3, -1_000_000_000))  # each side has cases that the other lacks
 
 
 def geometry_guard(spark, sf):
@@ -173,9 +175,12 @@ NAMED = ("named", """select path, case_id, modality, case modality when 't1n' th
   from parsed where modality is not null""")
 FOLDS = ("found", """select cast(c_nationkey % 5 as int) as fold, c_name as case_id, c_mktsegment as seg, false as again from customer
     union all select cast((c_nationkey + 1) % 5 as int), c_name, c_mktsegment, true from customer where c_acctbal < 0""")
-KIND = ("g", """select vec_id, vec_id % 5 as kind, vec_id % 50 = 0 as short, 100 + vec_id % 7 as a, 100 + (2 * vec_id) % 7 as b, 100 + (3 * vec_id) % 7 as c,
-    cast(embedding[1] as double) as e0, vec_id % 31 <> 4 as in_ref, vec_id % 29 <> 3 as in_out from embeddings
-    where vec_id % 31 <> 4 or vec_id % 29 <> 3""")
+KIND = ("g", """with e as (select vec_id as v, vec_id % 5 as kind, vec_id % 50 = 0 as short, 100 + vec_id % 7 as a, 100 + (2 * vec_id) % 7 as b,
+      100 + (3 * vec_id) % 7 as c, cast(embedding[1] as double) as e0 from embeddings),
+    r as (select case when v % 31 = 4 then -1 - v else v end as vec_id, * from e), o as (select case when v % 29 = 3 then -1000000000 - v else v end as vec_id, * from e)
+    select coalesce(r.vec_id, o.vec_id) as vec_id, coalesce(r.kind, o.kind) as kind, coalesce(r.short, o.short) as short, coalesce(r.a, o.a) as a,
+      coalesce(r.b, o.b) as b, coalesce(r.c, o.c) as c, coalesce(r.e0, o.e0) as e0, r.v is not null as in_ref, o.v is not null as in_out
+    from r full join o on r.vec_id = o.vec_id""")
 GEOM_EXACT = "in_ref and in_out and not short and kind <> 4 and e0 + (case kind when 1 then 1e-9 when 2 then 1e-7 when 3 then 1e-3 else 0.0e0 end) = e0"
 GEOM_NEAR = "in_ref and in_out and not short and kind not in (3, 4)"
 
@@ -207,7 +212,8 @@ ORACLES = {
             f"sum(cast(concat('0x', substr(s, {1 + 16 * k}, 16)) as ubigint)) as {n}" for k, n in enumerate("abcd")) + " from h) t",
     "manifest": """with p as (select distinct doc_id, lab from (select doc_id, quality as lab from labels union all select doc_id, toxic from labels) t),
         q as (select doc_id, string_agg(cast(lab as varchar), ',' order by lab) as labels, bool_and(lab in (0, 1, 2, 3)) as valid from p group by 1),
-        f as (select doc_id, concat(doc_id, '.nii.gz') as file, sha256(text) as sha256 from documents where doc_id % 17 <> 3),
+        f as (select doc_id, concat(doc_id, '.nii.gz') as file, sha256 from (
+          select case when doc_id % 17 = 3 then -1 - doc_id else doc_id end as doc_id, sha256(text) as sha256 from documents) x),
         j as (select doc_id, file, coalesce(labels, '') as labels, valid, sha256,
               case when f.sha256 is null then 'missing' when q.labels is null then 'extra' else 'ok' end as status from q full join f using (doc_id))
         select *, (select count(distinct doc_id) from j where status = 'ok') as n_cases from j""",

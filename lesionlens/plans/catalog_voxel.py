@@ -42,16 +42,6 @@ def masks(lab: str) -> dict:
 
 # --- scans, decoding, agreement ---------------------------------------------------------------------
 
-def voxel_scan(spark, sf):
-    df = vox(spark, sf)
-    outside = guards.shape_guard(df, shapes(df), CASE).agg(F.count(F.lit(1)).alias("n_outside"))
-    per_fold = df.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_voxels"), F.countDistinct("case_id").alias("n_cases"),
-        *[F.max(a).alias(f"max_{a}") for a in "zyx"],
-    )
-    return with_scalars(per_fold, outside)
-
-
 def region_masks(spark, sf):
     df = vx.with_region_masks(vox(spark, sf), "ref_lab")
     return df.groupBy("case_id").agg(*[F.count_if(f"is_{r}").alias(f"n_{r}") for r in REGIONS])
@@ -296,7 +286,7 @@ def median_geometry(spark, sf):
 
 
 QUERIES = {
-    "voxel_scan": voxel_scan, "region_masks": region_masks, "region_decode": region_decode,
+    "region_masks": region_masks, "region_decode": region_decode,
     "reconstruct_match": reconstruct_match, "voxel_confusion": voxel_confusion, "dice": dice, "label_domain": label_domain,
     "bbox_extent": bbox_extent, "centroid": centroid, "surface_voxels": surface_voxels, "compactness": compactness,
     "surface_dice": surface_dice, "connected_components": connected_components, "component_stats": component_stats,
@@ -442,8 +432,6 @@ MORPH_LONG = ("named", " union all ".join(
     for p, lab in (("", "ref_lab"), ("pred_", "pred_lab")) for r in REGIONS))
 
 ORACLES = {
-    "voxel_scan": with_(V) + """select fold, count(*) as n_voxels, count(distinct case_id) as n_cases, max(z) as max_z,
-        max(y) as max_y, max(x) as max_x, cast(0 as bigint) as n_outside from voxels group by fold""",
     "region_masks": with_(V) + "select case_id, " + ", ".join(
         f"count(case when {_in('ref_lab', r)} then 1 end) as n_{r}" for r in REGIONS) + " from voxels group by case_id",
     "region_decode": with_(V, DEC) + "select case_id, pred_lab as lab, count(*) as n from dec group by 1, 2",

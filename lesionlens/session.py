@@ -46,6 +46,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) in the JVM, whatever store the path is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below :func:`checkpoint_root` that is dropped when the application ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, target = hadoop_path(spark, path)
+    fs.deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table below :func:`checkpoint_root` and read it back.
 
@@ -55,11 +69,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     The folder is dropped when the application ends, or earlier by :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -69,6 +80,5 @@ def discard(df: DataFrame | None) -> None:
     """Delete the files of a table from :func:`materialize` that nothing will read again; other tables are left alone."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = hadoop_path(df.sparkSession, path)
+        fs.delete(target, True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lesionlens.functions.fixed import METRIC_FAMILIES, REGIONS, SUMMARY_KEYS, VOLUME_SUFFIX
 from lesionlens.functions.scalars import case_id, known
-from lesionlens.operators.guards import assert_empty, count_guard, fold_leaks, shape_guard
+from lesionlens.operators.guards import assert_empty, content_digest, count_guard, fold_leaks, shape_guard
 from lesionlens.operators.lookup import lookup
 
 SCORE_SCHEMA = T.StructType(
@@ -106,10 +106,22 @@ def list_files(spark: SparkSession, root: str, glob: str = f"*{VOLUME_SUFFIX}")
     )
 
 
+def read_contents(spark: SparkSession, root: str, glob: str = f"*{VOLUME_SUFFIX}") -> DataFrame:
+    """(path, length, sha256) of matching files at any depth. A task holds one file at a time; only digests leave it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return content_digest(files, "content").select("path", "length", "sha256")
+
+
 def read_geometry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GEOMETRY_SCHEMA).parquet(path)
 
 
+def _labels(spark: SparkSession, path: str, folds: list[int] | None) -> DataFrame:
+    """A label table; of one partitioned by fold, those folds only."""
+    lab = spark.read.schema(LABEL_SCHEMA).parquet(path)
+    return lab.where(F.col("fold").isin(folds)) if folds is not None and "fold" in lab.columns else lab
+
+
 def read_voxels(
     spark: SparkSession, prob: str, label: str, export: str | None = None, shapes: DataFrame | None = None,
     cases: DataFrame | None = None, folds: list[int] | None = None,
@@ -117,8 +129,8 @@ def read_voxels(
     """(case_id, fold, z, y, x, probabilities, reference and exported labels) per voxel, absent background as 0.
 
     The fold of a case is that of its probabilities, or of ``cases`` (case_id, fold), which also covers cases without any
-    probability above background. A case in several folds is an error. ``folds`` keeps the cases of some folds; of a
-    table partitioned by fold only those partitions are read.
+    probability above background. A case in several folds is an error. ``folds`` keeps the cases of some folds, by default those of
+    ``cases``; of tables partitioned by fold, labels and exports included, only those partitions are read.
 
     The sources are sparse voxel tables, aligned by one union and aggregation. With ``shapes``
     (case_id, dim_z, dim_y, dim_x) any voxel outside its volume is an error.
@@ -126,6 +138,8 @@ def read_voxels(
     axes = ["case_id", "z", "y", "x"]
     zero, none = F.lit(0).cast("tinyint"), F.lit(0.0).cast("float")
     p = known(spark.read.schema(PROBABILITY_SCHEMA).parquet(prob))
+    if folds is None and cases is not None:
+        folds = [r.fold for r in cases.select(F.col("fold").cast("int").alias("fold")).distinct().collect()]  # a handful
     if folds is not None:
         p = p.where(F.col("fold").isin(folds))
     named = (p if cases is None else cases).select("case_id", F.col("fold").cast("int").alias("fold")).distinct()
@@ -134,10 +148,10 @@ def read_voxels(
     assert_empty(fold_leaks(named, "case_id", "fold"), "cases in several folds")
     parts = p.select(*axes, "p_wt", "p_tc", "p_et", zero.alias("ref_lab"), zero.alias("export_lab"))
     empty = [none.alias(c) for c in ("p_wt", "p_tc", "p_et")]
-    lab = spark.read.schema(LABEL_SCHEMA).parquet(label)
+    lab = _labels(spark, label, folds)
     parts = parts.unionByName(lab.select(*axes, *empty, F.col("lab").alias("ref_lab"), zero.alias("export_lab")))
     if export is not None:
-        exp = spark.read.schema(LABEL_SCHEMA).parquet(export)
+        exp = _labels(spark, export, folds)
         parts = parts.unionByName(exp.select(*axes, *empty, zero.alias("ref_lab"), F.col("lab").alias("export_lab")))
     if shapes is not None:
         assert_empty(shape_guard(parts, shapes, ["case_id"]), "voxels outside their volume")

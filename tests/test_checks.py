@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lesionlens.functions.scalars import float_gt
 from lesionlens.operators import binning, components, ensemble, guards, inventory, lookup as lk, ordered
+from lesionlens.plans import analyses
 from lesionlens.sources import readers, writers
 
 EYE = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
@@ -192,3 +194,63 @@ def test_ensembles(spark):
     img = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, 9.0), (2, 0, 4.0)], "c int, x int, v double")
     z = {(r["c"], r["x"]): r["z_score"] for r in ensemble.masked_zscore(img, ["c"], "v", F.col("x") < 2, ["x"]).collect()}
     assert z == {(1, 0): -1.0, (1, 1): 1.0, (1, 2): 0.0, (2, 0): 0.0}
+
+
+def test_an_interrupted_write_is_not_in_the_way(spark, tmp_path):
+    rows = spark.range(3).withColumn("bad", F.expr("if(id = 2, raise_error('stop'), 1)"))
+    target = str(tmp_path / "t")
+    with pytest.raises(Exception, match="stop"):
+        writers.write_table(rows, target)
+    assert not (tmp_path / "t").exists()
+    writers.write_table(rows.drop("bad"), target)
+    assert spark.read.parquet(target).count() == 3 and (tmp_path / "t" / "_SUCCESS").exists()
+    for write in (writers.write_table, writers.write_document, writers.snapshot):
+        with pytest.raises(FileExistsError, match="already exists"):
+            write(rows.drop("bad").limit(1), target)
+    assert spark.read.parquet(target).count() == 3
+
+
+def test_package_cases_names_what_is_wrong(spark, tmp_path):
+    files = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "case string, n int, v string")
+    writers.write_cases(files, str(tmp_path / "files"), "case", ["n"])
+    labels = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "case_id string, lab int")
+    pack = lambda lab, name: analyses.package_cases(lab, str(tmp_path / "files"), str(tmp_path / name), folder="case", glob="*.csv")
+    got = {r.case_id: r for r in pack(labels, "ok").collect()}
+    raw = {c: next((tmp_path / "files" / f"case={c}").glob("*.csv")).read_bytes() for c in "ab"}
+    assert {c: (r.length, r.sha256, list(r.labels), r.n_cases) for c, r in got.items()} == {
+        c: (len(raw[c]), hashlib.sha256(raw[c]).hexdigest(), lab, 2) for c, lab in (("a", [1, 3]), ("b", [2]))}
+    assert raw["a"] == b"n,v\n1,x\n2,y\n"
+    with pytest.raises(guards.GuardError, match="missing or extra.*'c'.*missing"):
+        pack(labels.union(spark.createDataFrame([("c", 1)], labels.schema)), "one")
+    with pytest.raises(guards.GuardError, match="missing or extra.*'b'.*extra"):
+        pack(labels.where("case_id = 'a'"), "two")
+    with pytest.raises(guards.GuardError, match="domain"):
+        pack(labels.withColumn("lab", F.lit(9)), "three")
+    spark.createDataFrame([("x",)], "v string").coalesce(1).write.csv(str(tmp_path / "files" / "case=b" / "more"))
+    with pytest.raises(guards.GuardError, match="several files"):
+        pack(labels, "four")
+    assert not any((tmp_path / n).exists() for n in ("one", "two", "three", "four"))
+
+
+def test_inputs_are_kept_with_their_digests(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "b")], "id int, v string")
+    taken = analyses.take_inputs(str(tmp_path / "a"), rows=df, none=df.where("false"))
+    assert taken["rows"].count() == 2 and taken["none"].count() == 0
+    one = {r.input: (r.n_rows, r.digest) for r in spark.read.parquet(str(tmp_path / "a" / "inputs" / "digests")).collect()}
+    analyses.take_inputs(str(tmp_path / "b"), rows=df.orderBy(F.desc("id")).select("v", "id"), none=df.where("id = 1"))
+    two = {r.input: (r.n_rows, r.digest) for r in spark.read.parquet(str(tmp_path / "b" / "inputs" / "digests")).collect()}
+    assert one["rows"] == two["rows"] and one["none"] != two["none"]
+    with pytest.raises(FileExistsError):
+        analyses.take_inputs(str(tmp_path / "a"), rows=df)
+
+
+def test_voxel_tables_by_fold_are_pruned_by_the_cases(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{k}", k % 3, 0, 0, k) for k in range(6)], "case_id string, fold int, z int, y int, x int")
+    paths = [str(tmp_path / n) for n in ("prob", "label")]
+    rows.selectExpr("*", "0.5f p_wt", "0.5f p_tc", "0.5f p_et").write.partitionBy("fold").parquet(paths[0])
+    rows.selectExpr("*", "cast(1 as tinyint) lab").write.partitionBy("fold").parquet(paths[1])
+    cases = rows.where("fold = 1").select("case_id", "fold")
+    got = readers.read_voxels(spark, *paths, cases=cases)
+    assert {(r.case_id, r.fold, r.ref_lab) for r in got.collect()} == {("c1", 1, 1), ("c4", 1, 1)}
+    text = got._jdf.queryExecution().toString()
+    assert text.count("PartitionFilters: [isnotnull(fold") + text.count("PartitionFilters: [(fold") + text.count("PartitionFilters: [fold") >= 2
