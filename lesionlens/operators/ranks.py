@@ -15,7 +15,8 @@ from lesionlens.operators.ordered import quantiles, ranked, stored, suffix_min
 from lesionlens.operators.resample import CHUNK, bootstrap_weights, chunk_multiplicities, percentile_interval
 
 SINGULAR = 1e-12
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 500_000  # cases that a task may hold: about 100 bytes each, and BLOCK_CELLS weights
+BLOCK_CELLS, BLOCK_TASKS = 1 << 21, 64
 
 
 def _long(df: DataFrame, keep: list, columns: list[str], name: str, value: str = "_v") -> DataFrame:
@@ -148,17 +149,18 @@ def partial_spearman(
 
 def bootstrap_partial_spearman(
     df: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], strata: list[str],
-    case: str = "case_id", replicates: int = REPLICATES_SHORT, salt: int = SEED,
+    case: str = "case_id", replicates: int = REPLICATES_SHORT, salt: int = SEED, block_rows: int | None = None,
 ) -> DataFrame:
     """(label, ci_low, ci_high): rows resampled within strata, missing dropped after, ranks anew each time.
 
-    Up to ``BLOCK_ROWS`` cases a task takes all of them and some replicates. Beyond that the replicate
-    is part of the ranking key and no task sees all cases. Both ways draw the same rows.
+    Up to ``block_rows`` cases, by default ``BLOCK_ROWS``, a task takes all of them and as many replicates as keep its weights within
+    ``BLOCK_CELLS``: what moves is the table once for each task, not a rank for each case, variable and replicate. Beyond that the replicate
+    is part of the ranking key and no task sees all cases. Both ways draw the same rows and rank them alike.
     """
     used = list(dict.fromkeys(c for h in hypotheses for c in (h[1], h[2], *h[3])))
     keep, n = stored(df.select(case, *strata, *[norm_missing(c).alias(c) for c in used if c not in strata]))
-    if n <= BLOCK_ROWS:
-        samples = _replicate_blocks(keep, hypotheses, strata, case, replicates, salt)
+    if n <= (BLOCK_ROWS if block_rows is None else block_rows):
+        samples = _replicate_blocks(keep, hypotheses, strata, case, replicates, salt, n)
     else:
         drawn = bootstrap_weights(keep, strata, case, replicates, salt)
         samples = _partial_rho(drawn, hypotheses, case, ["replicate"], "w")
@@ -167,11 +169,13 @@ def bootstrap_partial_spearman(
 
 def _replicate_blocks(
     keep: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], strata: list[str],
-    case: str, replicates: int, salt: int,
+    case: str, replicates: int, salt: int, n: int,
 ) -> DataFrame:
     """(label, replicate, partial_rho) with the replicates spread over tasks, for a checked number of cases."""
-    tasks = max(1, min(replicates, 64))  # every task gets the whole, bounded table
+    tasks = max(1, min(replicates, max(BLOCK_TASKS, replicates * n // BLOCK_CELLS)))
     copies = keep.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    # a fixed number of partitions: what a task costs does not show in the size of its rows
+    copies = copies.repartition(max(min(tasks, int(keep.sparkSession.conf.get("spark.sql.shuffle.partitions"))), tasks // 64), "_task")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*strata, case]).reset_index(drop=True)

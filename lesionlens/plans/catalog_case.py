@@ -15,7 +15,6 @@ from lesionlens.plans.fixtures import fixture, table
 from lesionlens.session import materialize
 from lesionlens.sources import readers
 
-PARTIAL_REPLICATES = 20
 METRICS = ("dsc_et", "dsc_tc", "dsc_wt")
 CONTRASTS = {"c2_minus_c1": ("c2", "c1"), "c4_minus_c3": ("c4", "c3"), "c3_minus_c1": ("c3", "c1"), "c5_minus_c4": ("c5", "c4"), "c6_minus_c5": ("c6", "c5")}
 FEATURES = ("wt_volume", "et_volume", "et_wt_ratio", "largest_fraction", "n_large")
@@ -257,13 +256,22 @@ def partial_spearman(spark, sf):
 
 def bootstrap_partial_rho(spark, sf):
     df = materialize(features(spark, sf), "features")
-    out = ranks.bootstrap_partial_spearman(df, HYPOTHESES, ["fold"], replicates=PARTIAL_REPLICATES)
+    out = ranks.bootstrap_partial_spearman(df, HYPOTHESES, ["fold"], replicates=REPLICATES_SHORT)
+    return _round(out, ["label"], ["ci_low", "ci_high"])
+
+
+KEYED_REPLICATES = 100
+
+
+def bootstrap_partial_rho_keyed(spark, sf):
+    """The way of tables beyond any task: a rank for each case and replicate."""
+    out = ranks.bootstrap_partial_spearman(materialize(features(spark, sf), "features"), HYPOTHESES, ["fold"], replicates=KEYED_REPLICATES, block_rows=0)
     return _round(out, ["label"], ["ci_low", "ci_high"])
 
 
 def partial_rho_table(spark, sf):
     df = materialize(features(spark, sf), "features")
-    out = ranks.partial_rho_table(df, HYPOTHESES, ["fold"], replicates=PARTIAL_REPLICATES)
+    out = ranks.partial_rho_table(df, HYPOTHESES, ["fold"], replicates=REPLICATES_SHORT)
     return _round(out, ["label", "feature", "outcome", "controls", "n"], ["partial_rho", "ci_low", "ci_high"])
 
 
@@ -365,6 +373,7 @@ QUERIES = {
     "avg_rank_ranged": avg_rank_ranged, "suffix_min_ranged": suffix_min_ranged, "quantiles_ranged": quantiles_ranged,
     "lookup_salted": lookup_salted, "pearson": pearson,
     "spearman": spearman, "partial_spearman": partial_spearman, "bootstrap_partial_rho": bootstrap_partial_rho,
+    "bootstrap_partial_rho_keyed": bootstrap_partial_rho_keyed,
     "partial_rho_table": partial_rho_table, "mann_whitney": mann_whitney, "failure_sensitivity": failure_sensitivity,
     "kruskal": kruskal, "association_tables": association_tables, "bh_fdr": bh_fdr, "qcut_median": qcut_median,
     "quintile_rate": quintile_rate, "topk_abs": topk_abs, "sorted_output": sorted_output, "impute_median": impute_median,
@@ -473,10 +482,12 @@ def _partial_ctes(rows: str, replicate: bool) -> list[tuple[str, str]]:
 
 
 NAMED = ("named", "select * from (values " + ", ".join(f"('{h[0]}', '{h[1]}', '{h[2]}', '{','.join(h[3])}')" for h in HYPOTHESES) + ") t(label, feature, outcome, controls)")
-RESAMPLED = [
-    *drawn_ctes("features", ["fold"], "case_id", PARTIAL_REPLICATES, SEED, "f_"),
-    ("sampled", "select d.b, o.* from f_drawn d join f_ord o on o.n = d.n and o.i = d.d"),
-]
+def _resampled(replicates: int) -> list[tuple[str, str]]:
+    drawn = drawn_ctes("features", ["fold"], "case_id", replicates, SEED, "f_")
+    return [*drawn, ("sampled", "select d.b, o.* from f_drawn d join f_ord o on o.n = d.n and o.i = d.d")]
+
+
+RESAMPLED = _resampled(REPLICATES_SHORT)
 
 
 def _prefixed(ctes: list[tuple[str, str]], names: list[str], prefix: str) -> list[tuple[str, str]]:
@@ -574,6 +585,7 @@ ORACLES = {
     "partial_spearman": with_(X, NAMED, *PARTIAL, GRID, ("t", f"select *, {correlation_p('rho', 'n - 2')} as p from prho"))
         + f"select label, feature, outcome, controls, n, round(rho, 9) as partial_rho, {digits('p')} as log10_p_value from t join named using (label)",
     "bootstrap_partial_rho": with_(X, *RESAMPLED, *PARTIAL_B) + f"select label, {interval('rho')} from s_prho group by 1",
+    "bootstrap_partial_rho_keyed": with_(X, *_resampled(KEYED_REPLICATES), *PARTIAL_B) + f"select label, {interval('rho')} from s_prho group by 1",
     "partial_rho_table": with_(X, NAMED, *PARTIAL, *RESAMPLED, *PARTIAL_B) + f"""select label, feature, outcome, controls, n, round(rho, 9) as partial_rho,
         ci_low, ci_high from prho join named using (label) left join (select label, {interval('rho')} from s_prho group by 1) c using (label)""",
     "mann_whitney": with_(X, CUTS, FLAGGED, GROUPS, GRID, ("rows1", "select feature, v, failure_bottom10 as hit from grouped"))
