@@ -132,6 +132,51 @@ def test_near_odd_rows(spark):
     assert near_dup.components(table(spark, [(1, "")])).collect()[0].kept
 
 
+def cousins(n):
+    """2n close variants of one text and n of another that shares about 60 % of its shingles with the first."""
+    base = [f"b{k}" for k in range(200)]
+    other = base[:150] + [f"c{k}" for k in range(50)]
+    docs = []
+    for kind, (text, many) in enumerate(((base, 2 * n), (other, n))):
+        for i in range(many):
+            words = list(text)
+            words[(7 * i + 3) % 148] = f"v{kind}x{i}"
+            docs.append((kind * 10_000 + i, " ".join(words)))
+    return docs
+
+
+def test_pairs_of_connected_groups_are_not_listed_again(spark, monkeypatch):
+    counts, plain = [], near_dup._overlapping
+
+    def counted(tried):
+        out = plain(tried)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "_overlapping", counted)
+    for n in (15, 45):
+        docs = cousins(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(table(spark, docs)).collect()}
+        assert got == brute.near_components(docs)
+    assert counts[0] <= 15 and counts[1] <= 45, counts
+
+
+def test_stages_take_five_words(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(115)]
+    for _ in range(20):  # scattered edits that four-word shingles bear and five-word ones do not
+        edit = list(words)
+        for p in rng.sample(range(5, 105), 3):
+            edit[p] = "edited"
+        docs = [(1, " ".join(words)), (2, " ".join(edit))]
+        four, five = (len({c for _, c in brute.near_components(docs, k).values()}) for k in (4, 5))
+        if (four, five) == (1, 2):
+            break
+    assert (four, five) == (1, 2)
+    assert {r.doc_id for r in near_dup.deduplicate(table(spark, docs)).collect()} == {1, 2}
+    assert {r.doc_id for r in near_dup.deduplicate(table(spark, docs), shingle=4).collect()} == {1}
+
+
 # language
 
 

@@ -88,7 +88,7 @@ def test_pipeline_equals_its_stages_in_plain_form(spark, rows):
     left = [r for r in rows if any(map(str.isalpha, r.text or ""))]
     newest = {r.text: r.doc_id for r in sorted(left, key=lambda r: r.doc_id)}
     left = [r for r in left if newest[r.text] == r.doc_id]
-    groups = brute.near_components([(r.doc_id, r.text) for r in left])
+    groups = brute.near_components([(r.doc_id, r.text) for r in left], 5)
     left = [r for r in left if groups[r.doc_id][1] == r.doc_id]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaky = {i for i, _ in brute.leaks([(r.doc_id, r.text) for r in left], items, 11)}
