@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lesionlens.llm import decontaminate, exact_dedup, language_id, lexical_search, mixing, near_dup, phrases, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
-from lesionlens.llm.columns import held_out
+from lesionlens.llm.columns import held_out, sized
 from lesionlens.llm.sampling import labelled_sample
-from lesionlens.session import checkpoint_root
+from lesionlens.session import checkpoint_root, materialize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,9 +51,10 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     a copy of each comes under another id and is deleted; that batch is applied twice and the ledger compacted."""
     ledger = token_counts.TokenLedger(spark, f"{checkpoint_root(spark).rstrip('/')}/token-ledger-{uuid4().hex}")
     docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
-    drafts = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = sized(materialize(table(spark, sf, "labels").select("doc_id", F.lit(True).alias("draft")).distinct(), "labelled"))
+    drafts = docs.join(labelled, "doc_id", "left_semi")
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    first = docs.join(drafts.select("doc_id", F.lit(True).alias("draft")), "doc_id", "left").withColumn("text", F.when(F.col("draft"), half).otherwise(F.col("text")))
+    first = docs.join(labelled, "doc_id", "left").withColumn("text", F.when(F.col("draft"), half).otherwise(F.col("text")))
     passing = drafts.withColumn("doc_id", -1 - F.col("doc_id"))
     ledger.apply("first texts, and passing documents", first.drop("draft").unionByName(passing))
     changes = drafts.withColumn("gone", F.lit(False)).unionByName(passing.withColumns({"gone": F.lit(True), "text": F.lit(None).cast("string")}))
