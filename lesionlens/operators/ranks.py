@@ -40,23 +40,39 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str], p_value: bool = True)
     return out.withColumn("p_value", correlation_p_value(F.col("r"), F.col("n") - 2)) if p_value else out
 
 
+def _missing_patterns(df: DataFrame, columns: list[str], row: str) -> dict[str, tuple]:
+    """For each column a key of the set of rows it is missing in; columns with the same set have the same key."""
+    mark = F.xxhash64(row).cast("decimal(20,0)")
+    one = df.agg(*[F.struct(F.count_if(F.col(c).isNull()), F.sum(F.when(F.col(c).isNull(), mark)), F.bit_xor(F.when(F.col(c).isNull(), F.xxhash64(F.lit(1), row)))).alias(c) for c in columns]).first()
+    return {c: tuple(one[c]) for c in columns}
+
+
 def spearman(
     df: DataFrame, features: list[str], outcomes: list[str], case: str = "case_id", p_value: bool = True
 ) -> DataFrame:
     """(feature, outcome, n, rho[, p_value]) for all feature x outcome pairs, pairwise deletion.
 
-    All pairs are ranked together; the pair is part of the key.
+    A column is ranked once for each pattern of missing rows among its partners, not for each partner: without missing values a
+    case is one row for each column. The ranks of a case meet again, and all correlations are sums of one aggregation.
     """
+    columns = list(dict.fromkeys([*features, *outcomes]))
+    base, n = stored(df.select(F.monotonically_increasing_id().alias("_row"), *[norm_missing(c).alias(c) for c in columns]))
+    patterns = _missing_patterns(base, columns, "_row")
+    number = {p: k for k, p in enumerate(dict.fromkeys(patterns.values()))}
+    place = {c: number[p] for c, p in patterns.items()}
+    shown = {k: c for c, k in reversed(place.items())}  # a column with that pattern
+    due = dict.fromkeys([(f, place[o]) for f in features for o in outcomes] + [(o, place[f]) for f in features for o in outcomes])
+    name = {(c, k): f"{columns.index(c)}/{k}" for c, k in due}
+    items = F.array(*[F.struct(F.lit(name[c, k]).alias("_key"), F.when(F.col(shown[k]).isNotNull(), F.col(c)).alias("_v")) for c, k in due])
+    rows, n = stored(base.select("_row", F.inline(items)).where(F.col("_v").isNotNull()))
+    rows = ranked(rows, ["_key"], "_v", ["_row"], rows=n).select("_row", "_key", centred_rank().alias("_c"))
+    cases = rows.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_c"))).alias("_ranks"))
+    rank = lambda c, k: F.try_element_at("_ranks", F.lit(name[c, k]))
     pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(o).alias("outcome"), norm_missing(f).alias("_x"), norm_missing(o).alias("_y"))
+        F.struct(F.lit(f).alias("feature"), F.lit(o).alias("outcome"), rank(f, place[o]).alias("_rx"), rank(o, place[f]).alias("_ry"))
         for f in features for o in outcomes
     ])
-    rows = df.select(case, F.inline(pairs)).dropna(subset=["_x", "_y"])
-    by = ["feature", "outcome"]
-    rows, n = stored(rows)
-    rows = ranked(rows, by, "_x", [case], rows=n).withColumn("_rx", centred_rank()).drop("before", "ties", "total")
-    rows = ranked(rows, by, "_y", [case], rows=n).withColumn("_ry", centred_rank())
-    out = rows.groupBy(*by).agg(
+    out = cases.select(F.inline(pairs)).where("_rx is not null and _ry is not null").groupBy("feature", "outcome").agg(
         F.count(F.lit(1)).alias("n"),
         F.try_divide(
             F.sum(F.col("_rx") * F.col("_ry")), F.sqrt(F.sum(F.pow("_rx", F.lit(2))) * F.sum(F.pow("_ry", F.lit(2))))

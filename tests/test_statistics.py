@@ -274,3 +274,23 @@ def test_domain_summary_masks_ineligible(df, cases):
     for d, part in cases.groupby("domain"):
         assert got.n[d] == len(part) and got.score_n[d] == part.score.notna().sum() == got.failure_bottom10_n[d]
         assert got.score_mean[d] == pytest.approx(part.score.mean())
+
+
+def test_spearman_ranks_once_per_missing_pattern(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 90
+    pdf = pd.DataFrame({c: rng.integers(0, 12, n).astype(float) for c in ("f1", "f2", "f3", "o1", "o2", "o3")})
+    pdf.loc[:9, "o2"] = np.nan
+    pdf.loc[:9, "o3"] = np.nan  # the same cases as o2
+    pdf.loc[20:25, "f3"] = np.nan
+    pdf["case_id"] = [7] * n  # ids need not be unique
+    seen, plain = [], ranks.ranked
+    monkeypatch.setattr(ranks, "ranked", lambda frame, *a, **k: (seen.append(frame.count()), plain(frame, *a, **k))[1])
+    got = {(r.feature, r.outcome): (r.n, r.rho) for r in ranks.spearman(spark.createDataFrame(pdf), ["f1", "f2", "f3"], ["o1", "o2", "o3"], p_value=False).collect()}
+    for f in ("f1", "f2", "f3"):
+        for o in ("o1", "o2", "o3"):
+            both = pdf[[f, o]].dropna()
+            assert got[f, o] == (len(both), pytest.approx(both[f].rank().corr(both[o].rank())))
+    assert len(seen) == 1 and seen[0] < 12 * n  # two patterns on either side, 9 pairs of two columns would be 18 rows a case
+    empty = ranks.spearman(spark.createDataFrame(pdf).where("false"), ["f1"], ["o1"]).collect()
+    assert empty == []
