@@ -86,17 +86,19 @@ def _label_tiles(group: np.ndarray, zyx: np.ndarray, bits: np.ndarray, tile: int
     return out
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Regroup sorted record batches so that no tile is cut; yields rows with their tile number."""
+def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str], nulls: bool = False) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Regroup sorted record batches so that no tile is cut; yields rows with their tile number. ``nulls`` lets NULL be a key like any other."""
     rest: pa.Table | None = None
 
     def numbered(table: pa.Table) -> np.ndarray:
         step = np.zeros(table.num_rows, dtype=bool)
         for name in keys:
             c = table.column(name).combine_chunks()
-            if c.null_count:
+            if c.null_count and not nulls:
                 raise ValueError(f"key column {name} holds NULL; components need named volumes")
-            step[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            step[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            if c.null_count:
+                step[1:] |= pc.not_equal(c[1:].is_null(), c[:-1].is_null()).to_numpy(zero_copy_only=False)
         return np.cumsum(step)
 
     for batch in batches:

@@ -105,12 +105,16 @@ def compactness(spark, sf):
     return out.select("fold", "mask", "volume", "surface_voxels", value.alias("compactness"))
 
 
-def surface_dice(spark, sf):
+def surface_dice(spark, sf, tile=cc.TILE):
     df = decoded(vox(spark, sf))
-    out = surface.surface_dice(df, CASE, {r: (masks("pred_lab")[r], masks("ref_lab")[r]) for r in REGIONS})
+    out = surface.surface_dice(df, CASE, {r: (masks("pred_lab")[r], masks("ref_lab")[r]) for r in REGIONS}, tile=tile)
     return out.select("case_id", *[F.round(r, 9).alias(f"nsd_{r}") for r in REGIONS])
 
 
+def surface_dice_tiles(spark, sf):
+    return surface_dice(spark, sf, SMALL_TILE)
+
+
 # --- components -------------------------------------------------------------------------------------
 
 def connected_components(spark, sf):
@@ -289,7 +293,7 @@ QUERIES = {
     "region_masks": region_masks, "region_decode": region_decode,
     "reconstruct_match": reconstruct_match, "voxel_confusion": voxel_confusion, "dice": dice, "label_domain": label_domain,
     "bbox_extent": bbox_extent, "centroid": centroid, "surface_voxels": surface_voxels, "compactness": compactness,
-    "surface_dice": surface_dice, "connected_components": connected_components, "component_stats": component_stats,
+    "surface_dice": surface_dice, "surface_dice_tiles": surface_dice_tiles, "connected_components": connected_components, "component_stats": component_stats,
     "min_size_filter": min_size_filter, "lesion_match": lesion_match, "morphology": morphology,
     "grid_cross": grid_cross, "grid_per_case": grid_per_case, "grid_summary": grid_summary, "lofo_summary": lofo_summary,
     "crossfit_select": crossfit_select, "apply_selection": apply_selection, "topk_grid": topk_grid,
@@ -553,4 +557,4 @@ ORACLES = {
 }
 
 # the same results whatever the tile
-ORACLES |= {f"{name}_tiles": ORACLES[name] for name in ("connected_components", "lesion_match", "morphology", "grid_per_case")}
+ORACLES |= {f"{name}_tiles": ORACLES[name] for name in ("connected_components", "lesion_match", "morphology", "grid_per_case", "surface_dice")}

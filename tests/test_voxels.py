@@ -132,6 +132,10 @@ def test_surface_dice(vox, vols, cases, tolerance):
     df = vox.withColumn("pred_lab", decode_regions())
     pairs = {r: (F.col("pred_lab").isin(*REGION_LABELS[r]), F.col("ref_lab").isin(*REGION_LABELS[r])) for r in REGIONS}
     got = {x["case_id"]: x for x in surface_dice(df, ["case_id"], pairs, tolerance, cases=cases).collect()}
+    for tile in (1, 4):  # volumes that many cubes share, and NULL as the name of one
+        named = df.withColumn("case_id", F.when(F.col("case_id") > 1, F.col("case_id")))
+        cut = {x["case_id"]: x for x in surface_dice(named, ["case_id"], pairs, tolerance, tile=tile).collect()}
+        assert all(cut[c][r] == (None if got[c][r] is None else pytest.approx(got[c][r])) for c in cut if c is not None for r in REGIONS) and len(cut) > 2
     for c, (ref, p) in vols.items():
         seg = decode(p, p[2] > np.float32(0.5))
         for r in REGIONS:
