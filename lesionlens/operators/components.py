@@ -86,7 +86,7 @@ def _label_tiles(group: np.ndarray, zyx: np.ndarray, bits: np.ndarray, tile: int
     return out
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str], nulls: bool = False) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str], nulls: bool = False) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Regroup sorted record batches so that no tile is cut; yields rows with their tile number. ``nulls`` lets NULL be a key like any other."""
     rest: pa.Table | None = None
 
@@ -168,7 +168,7 @@ def label_fragments(
     )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, number in _whole_tiles(batches, tile_keys):
+        for table, number in whole_tiles(batches, tile_keys):
             zyx = np.stack([table.column(a).to_numpy().astype(np.int64) for a in AXES], axis=1)
             first = _label_tiles(number, zyx, table.column("_bits").to_numpy(), tile, n_masks)
             code = (zyx[:, 0] << 2 * AXIS_BITS) | (zyx[:, 1] << AXIS_BITS) | zyx[:, 2]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lesionlens.functions.scalars import pack_bits
-from lesionlens.operators.components import TILE, _whole_tiles
+from lesionlens.operators.components import TILE, whole_tiles
 
 AXES = ("z", "y", "x")
 CORNERS = list(product((0, 1), repeat=3))
@@ -96,7 +96,7 @@ def surface_dice(
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = np.array([tile + 2 * h + 3 for h in halo], np.int64)
         stride = np.array([side[1] * side[2], side[2], 1], np.int64)
-        for table, number in _whole_tiles(batches, group, nulls=True):
+        for table, number in whole_tiles(batches, group, nulls=True):
             number = number - number[0]
             local = np.stack([table.column(a).to_numpy() - table.column(t).to_numpy() * tile + h + 1 for a, t, h in zip(AXES, tiles, halo)], axis=1)
             bits = table.column("_m").to_numpy()

@@ -31,9 +31,9 @@ def test_dice_reads_three_columns_and_shuffles_once(vox):
     assert "PartitionFilters: [isnotnull(fold" in p and p.count("Exchange hashpartitioning") == 1
 
 
-def test_erosion_moves_rows_once_per_axis(vox):
+def test_erosion_moves_voxels_once(vox):
     p = plan(voxels.erode_bits(vox.withColumn("m", F.lit(1)), ["case_id"], "m"))
-    assert p.count("Exchange hashpartitioning") == 3
+    assert p.count("Exchange hashpartitioning") == 1
 
 
 def test_surface_needs_one_voxel_shuffle(vox):

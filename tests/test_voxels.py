@@ -111,6 +111,17 @@ def test_alignment_and_reconstruction(spark):
     assert align_voxels(a, b, ["case_id"]).count() == 4
 
 
+@pytest.mark.parametrize("tile", [1, 3])
+def test_erosion_is_the_same_in_any_cubes(vox, tile):
+    from lesionlens.operators.voxels import erode_bits
+
+    df = vox.withColumn("case_id", F.when(F.col("case_id") > 1, F.col("case_id"))).withColumn("x", F.col("x") - 3).withColumn("m", F.lit(3))
+    df = df.where("case_id is not null or x > 0")
+    key = ["case_id", "z", "y", "x"]
+    got, want = (sorted(map(str, erode_bits(df, ["case_id"], "m", tile=t).select(*key, "interior").collect())) for t in (tile, 64))
+    assert got == want and len(want) == df.count() and any("interior=3" in r for r in want)
+
+
 def test_surface_voxels_are_mask_minus_erosion(vox, vols):
     got = surface_voxels(vox, ["case_id"], {r: F.col("ref_lab").isin(*REGION_LABELS[r]) for r in REGIONS}).toPandas()
     for c, (ref, _) in vols.items():
