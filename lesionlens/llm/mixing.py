@@ -5,7 +5,8 @@ queue up to its end, divided by the source's target. All packets are sorted glob
 comes before the running total reaches the budget, which is the only thing that ends a queue; the packet at which the budget is
 spent is split. A document is one packet, but for the one that its queue serves at virtual time 1, when a fair
 server spends the budget: that one is cut into packets of ``QUANTUM`` words, so that a long document does not make its source miss its
-target by its length.
+target by its length. The one word that is half served at time 1 has the next number above 1 as its finish time, so of what is left
+of the budget then, less than a word for each source, no source takes two words.
 
 The shuffle is the order of md5(seed:doc_id). Cumulative sizes need no task that sees a whole source: rows are
 grouped by the first digits of that digest, sums of groups give each group's start, and a window inside a
@@ -27,6 +28,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
 QUANTUM = 1  # words
+AFTER = 1 + 2.0**-52
 
 
 def queues(
@@ -86,7 +88,8 @@ def packets(queued: DataFrame, passes: int = PASSES, quantum: int = QUANTUM) ->
     step = F.when(in_service, F.lit(quantum)).otherwise(F.col("size")).cast("bigint").alias("step")
     cut = served.select("*", step).withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.col("step"))))
     cut = cut.withColumn("words", F.least("step", F.col("size") - F.col("at"))).withColumn("from", F.col("first") + F.col("at"))
-    cut = cut.withColumn("finish", (F.col("from") + F.col("words")) / F.col("target"))
+    half = (F.col("from") < F.col("target")) & (F.col("from") + F.col("words") > F.col("target"))
+    cut = cut.withColumn("finish", F.when(half, F.lit(AFTER)).otherwise((F.col("from") + F.col("words")) / F.col("target")))
     return cut.select("skey", "start", "from", "doc_id", "size", "turn", "words", "finish")
 
 

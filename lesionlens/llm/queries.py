@@ -142,7 +142,8 @@ y as (select *, case when first_word < target and first_word + size > target the
 c as (select *, unnest(range(0, size, step)) as cut from y),
 x as (select *, least(step, size - cut) as words, first_word + cut as begins from c),
 r as (
-  select *, coalesce(sum(words) over (order by (begins + words) / target, '=' || source nulls first, begins rows between unbounded preceding and 1 preceding), 0) as before
+  select *, coalesce(sum(words) over (order by case when begins < target and begins + words > target then 1.0000000000000002::double else (begins + words) / target end,
+                                     '=' || source nulls first, begins rows between unbounded preceding and 1 preceding), 0) as before
   from (select doc_id, source, start, words, begins, target from x) x),
 u as (
   select doc_id, source, start, sum(greatest(0, least(words, (select floor(sum(size) * 1.5::double)::bigint from d) - before)))::bigint as taken
