@@ -31,7 +31,7 @@ from lesionlens.functions.scalars import norm_missing, row_mean
 from lesionlens.operators.lookup import null_safe_join, with_scalars
 from lesionlens.operators.ordered import quantiles, row_position, stored
 
-CHUNK = 8192
+CHUNK = 32_768
 MODULUS = 2_147_483_647
 STEP = 32_452_843
 ROUTE = (49_979_687, 67_867_967)
