@@ -36,42 +36,68 @@ MODULUS = 2_147_483_647
 STEP = 32_452_843
 ROUTE = (49_979_687, 67_867_967)
 SECOND_SALT = 15_485_863  # prime, not a multiple of the draw step 104729
-BLOCK_CELLS = 1 << 17  # draws made at a time
-TASK_DRAWS = 1 << 27  # draws routed by a task, for groups below that size
+BLOCK_CELLS = 1 << 15  # draws made at a time: a few arrays of that length stay in a core's cache
+TASK_DRAWS = 1 << 27  # draws routed at a time by a task, for groups below that size
 TASKS, TASKS_OF_CHUNK = 64, 20  # tasks that small inputs are dealt to, and of them those of one chunk
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
-    """x mod MODULUS, a Mersenne prime, for 0 <= x < 2**62."""
-    x = (x & MODULUS) + (x >> 31)
-    x = (x & MODULUS) + (x >> 31)
-    return np.where(x >= MODULUS, x - MODULUS, x)
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """Bring unsigned x below 2**62 under 2**32 in place, keeping its remainder by MODULUS, a Mersenne prime."""
+    np.right_shift(x, np.uint64(31), out=spare)
+    np.bitwise_and(x, np.uint64(MODULUS), out=x)
+    np.add(x, spare, out=x)
 
 
 def _hash(b: np.ndarray, i: np.ndarray, salt: int) -> np.ndarray:
-    b, i = b.astype(np.int64)[:, None], i.astype(np.int64)[None, :]
-    h1 = _fold(b * 7919 + i * 104729 + salt)
-    return _fold(_fold(h1 * h1 + 12345) * 48271 + b)
+    """h for replicates ``b`` (column) and draw numbers ``i`` (row), in passes over one array; only the last is reduced in full."""
+    b = b.astype(np.uint64)[:, None]
+    x = b * np.uint64(7919) + np.uint64(salt) + (i.astype(np.uint64) * np.uint64(104729))[None, :]
+    spare = np.empty_like(x)
+    _fold(x, spare)
+    np.multiply(x, x, out=x)
+    np.add(x, np.uint64(12345), out=x)
+    _fold(x, spare)
+    np.multiply(x, np.uint64(48271), out=x)
+    np.add(x, b, out=x)
+    _fold(x, spare)  # below 2 * MODULUS: one difference is left, which wraps around where it must not be taken
+    np.subtract(x, np.uint64(MODULUS), out=spare)
+    return np.minimum(x, spare, out=x)
+
+
+def _mod(x: np.ndarray, n: int) -> np.ndarray:
+    """x mod n for one n: numpy divides by a scalar faster than it takes remainders."""
+    if n & (n - 1) == 0:
+        return np.bitwise_and(x, np.uint64(n - 1))
+    q = np.floor_divide(x, np.uint64(n))
+    np.multiply(q, np.uint64(n), out=q)
+    return np.subtract(x, q, out=q)
 
 
 def draws(b: np.ndarray, i: np.ndarray, n: int, salt: int) -> np.ndarray:
     """0-based draws from n rows for replicates ``b`` (column) and draw numbers ``i`` (row)."""
-    h = _hash(b, i, salt)
-    return h - n * np.floor(h / n).astype(np.int64)  # both below 2**31, so the quotient is exact
+    return _mod(_hash(b, i, salt), n).view(np.int64)
+
+
+def _routed_sizes(b: int, sizes: list[int], salt: int, size: int) -> list[np.ndarray]:
+    """For one replicate and each group size, how many draws go to each chunk; the draws' numbers are made once for all sizes."""
+    out = [np.zeros(-(-n // size), np.int64) for n in sizes]
+    for start in range(1, max(sizes) + 1, BLOCK_CELLS):
+        i = np.arange(start, min(start + BLOCK_CELLS, max(sizes) + 1))
+        high, low = (_hash(np.array([b]), i, salt + s)[0] for s in ROUTE)
+        high *= np.uint64(MODULUS)
+        high += low
+        for n, total in zip(sizes, out):
+            if n >= start:
+                to = _mod(high[: n - start + 1], n)
+                total += np.bincount(np.floor_divide(to, np.uint64(size)).view(np.int64), minlength=len(total))
+    return out
 
 
 def routed(b: np.ndarray, n: int, salt: int, size: int = CHUNK) -> np.ndarray:
     """(replicates, chunks): how many of its n draws each replicate sends to each chunk of ``size`` rows."""
-    chunks = -(-n // size)
-    if chunks == 1:
+    if n <= size:
         return np.full((len(b), 1), n)
-    out = np.zeros((len(b), chunks), np.int64)
-    for k in range(len(b)):
-        for start in range(1, n + 1, BLOCK_CELLS):
-            i = np.arange(start, min(start + BLOCK_CELLS, n + 1))
-            high, low = (_hash(b[k : k + 1], i, salt + s)[0] for s in ROUTE)
-            out[k] += np.bincount((high * MODULUS + low) % n // size, minlength=chunks)
-    return out
+    return np.stack([_routed_sizes(int(k), [n], salt, size)[0] for k in b])
 
 
 def _blocks(taken: np.ndarray) -> Iterator[slice]:
@@ -79,10 +105,17 @@ def _blocks(taken: np.ndarray) -> Iterator[slice]:
     yield from (slice(at, at + step) for at in range(0, len(taken), step))
 
 
+def _drawn(b: np.ndarray, taken: np.ndarray, rows: int, chunk: int, salt: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """:func:`chunk_draws` with None for ``valid`` where all columns are draws, as in blocks of one replicate."""
+    i = np.arange(1, int(taken.max(initial=0)) + 1)
+    valid = None if (taken == len(i)).all() else i[None, :] <= taken[:, None]
+    return draws(b, i, rows, salt + chunk * STEP), valid
+
+
 def chunk_draws(b: np.ndarray, taken: np.ndarray, rows: int, chunk: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """(draws, valid): the rows of a chunk that replicates take, and which of a replicate's columns are draws."""
-    i = np.arange(1, int(taken.max(initial=0)) + 1)
-    return draws(b, i, rows, salt + chunk * STEP), i[None, :] <= taken[:, None]
+    picked, valid = _drawn(b, taken, rows, chunk, salt)
+    return picked, np.ones(picked.shape, bool) if valid is None else valid
 
 
 def chunk_multiplicities(
@@ -97,49 +130,64 @@ def chunk_multiplicities(
     taken = routed(numbers, n, salt, size)[:, chunk] if taken is None else taken
     mine = min(size, n - chunk * size)
     for part in _blocks(taken):
-        picked, valid = chunk_draws(numbers[part], taken[part], mine, chunk, salt)
-        flat = (picked + (np.arange(len(picked)) * mine)[:, None])[valid]
+        picked, valid = _drawn(numbers[part], taken[part], mine, chunk, salt)
+        flat = picked + (np.arange(len(picked)) * mine)[:, None]
+        flat = flat.ravel() if valid is None else flat[valid]
         yield numbers[part], np.bincount(flat, minlength=len(picked) * mine).reshape(len(picked), mine)
 
 
 def _chunked(df: DataFrame, by: list[str], order: str, rows: int | None, size: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(rows with their chunk, group sizes, group columns)."""
+    """(rows with their unit, group sizes, group columns). A unit is a chunk, or as many small ones as make up ``CHUNK`` rows."""
     group = list(by) or ["_one"]
     if not by:
         df = df.withColumn("_one", F.lit(0))
     placed = row_position(df, group, order, "_ordinal", rows)
     sizes = df.groupBy(*[F.col(g).alias(g) for g in group]).agg(F.count(F.lit(1)).alias("n"))
-    return placed.withColumn("_chunk", F.floor((F.col("_ordinal") - 1) / F.lit(size)).cast("int")), sizes, group
+    return placed.withColumn("_unit", F.floor((F.col("_ordinal") - 1) / F.lit(size * _per_unit(size))).cast("int")), sizes, group
 
 
-def _routes(sizes: DataFrame, replicates: int, salt: int, size: int) -> DataFrame:
-    """(n, _chunk, replicate, taken) of every group size above one chunk: the routing stage."""
-    block = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.lit(TASK_DRAWS) / F.col("n")))).cast("int")
-    units = sizes.where(F.col("n") > size).select("n", block.alias("block")).distinct()
-    units = units.select("n", "block", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.col("block"))).alias("first"))
+def _per_unit(size: int) -> int:
+    return max(1, CHUNK // size)
+
+
+def _routes(sizes: DataFrame, replicates: int, salt: int, size: int, parts: int) -> DataFrame:
+    """(n, _unit, replicate, taken) of every group size above one chunk: the routing stage, ``taken`` by chunk of the unit.
+
+    Sizes of one order of magnitude share the draws' numbers. What a task costs does not show in the size of its rows, hence a fixed
+    number of partitions that adaptive execution leaves alone.
+    """
+    alike = sizes.where(F.col("n") > size).groupBy(F.floor(F.log2("n"))).agg(F.sort_array(F.collect_set("n")).alias("ns"))
+    total = F.aggregate("ns", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    block = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.lit(TASK_DRAWS) / total))).cast("int")
+    units = alike.select("ns", block.alias("block"))
+    units = units.select("ns", "block", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.col("block"))).alias("first"))
+    per = _per_unit(size)
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for n, width, first in zip(pdf["n"].tolist(), pdf["block"].tolist(), pdf["first"].tolist()):
-                b = np.arange(first, min(first + width, replicates + 1))
-                taken = routed(b, n, salt, size)
-                chunks = taken.shape[1]
-                yield pd.DataFrame({"n": n, "_chunk": np.tile(np.arange(chunks, dtype="int32"), len(b)), "replicate": np.repeat(b, chunks).astype("int32"), "taken": taken.ravel()})
+            for ns, width, first in zip(pdf["ns"], pdf["block"].tolist(), pdf["first"].tolist()):
+                ns = [int(n) for n in ns]
+                b = range(first, min(first + width, replicates + 1))
+                taken = [_routed_sizes(k, ns, salt, size) for k in b]
+                for at, n in enumerate(ns):
+                    of_unit = [t[at][u : u + per] for t in taken for u in range(0, len(t[at]), per)]
+                    units_of = len(of_unit) // len(b)
+                    yield pd.DataFrame({"n": n, "_unit": np.tile(np.arange(units_of, dtype="int32"), len(b)), "replicate": np.repeat(np.array(b, "int32"), units_of), "taken": of_unit})
 
-    return units.repartition("n", "first").mapInPandas(kernel, "n bigint, _chunk int, replicate int, taken bigint")
+    return units.repartition(parts).mapInPandas(kernel, "n bigint, _unit int, replicate int, taken array<bigint>")
 
 
-def _by_chunk(placed: DataFrame, sizes: DataFrame, group: list[str], kernel, schema: T.StructType, replicates: int, salt: int, size: int, rows: int | None) -> DataFrame:
-    """``kernel(rows of a chunk in order, replicates, draws it takes in each)`` over all chunks of all groups.
+def _by_unit(placed: DataFrame, sizes: DataFrame, group: list[str], kernel, schema: T.StructType, replicates: int, salt: int, size: int, rows: int | None) -> DataFrame:
+    """``kernel(rows by chunk in order, replicates, draws that the chunks take in each)`` over all units of all groups.
 
-    Few rows make few chunks but as many draws for each; their replicates are dealt to several tasks then. Partitions are of a fixed
+    Few rows make few units but as many draws for each; their replicates are dealt to several tasks then. Partitions are of a fixed
     number, because what a task costs does not show in the size of its rows.
     """
-    tasks = max(1, min(TASKS_OF_CHUNK, replicates, TASKS * size // max(rows, 1))) if rows is not None else 1
+    tasks = max(1, min(TASKS_OF_CHUNK, replicates, TASKS * CHUNK // max(rows, 1))) if rows is not None else 1
     width = -(-replicates // tasks)
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = [*group, "_chunk", "_task"]
-    routes = sizes.where(F.col("n") > size).join(_routes(sizes, replicates, salt, size).withColumnRenamed("n", "_n"), F.col("n") == F.col("_n"))
+    key = [*group, "_unit", "_task"]
+    routes = sizes.where(F.col("n") > size).join(_routes(sizes, replicates, salt, size, parts).withColumnRenamed("n", "_n"), F.col("n") == F.col("_n"))
     routes = routes.withColumn("_task", F.floor((F.col("replicate") - 1) / F.lit(width)).cast("int"))
     placed = placed.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // width) - 1))))
 
@@ -148,15 +196,23 @@ def _by_chunk(placed: DataFrame, sizes: DataFrame, group: list[str], kernel, sch
             return pd.DataFrame(columns=schema.names)
         first = 1 + width * int(pdf["_task"].iloc[0])
         b = np.arange(first, min(first + width, replicates + 1))
-        taken = np.full(len(b), int(pdf["n"].iloc[0]))
+        pdf = pdf.sort_values("_ordinal").reset_index(drop=True)
+        taken = np.full((len(b), 1), len(pdf))
         if len(route):
-            taken = np.zeros(len(b), np.int64)
-            taken[route["replicate"].to_numpy() - first] = route["taken"].to_numpy()
-        return kernel(pdf.sort_values("_ordinal").reset_index(drop=True), b, taken)
+            taken = np.zeros((len(b), -(-len(pdf) // size)), np.int64)
+            taken[route["replicate"].to_numpy() - first] = np.stack(route["taken"].to_numpy())
+        return kernel(pdf, b, taken)
 
     return placed.repartition(parts, *key).groupBy(*key).cogroup(routes.groupBy(*key)).applyInPandas(both, schema)
 
 
+def _chunks_of(pdf: pd.DataFrame, taken: np.ndarray, size: int, per: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """(number of the chunk, its rows in the unit, draws it takes)."""
+    first = int(pdf["_unit"].iloc[0]) * per
+    for k in range(taken.shape[1]):
+        yield first + k, slice(k * size, min((k + 1) * size, len(pdf))), taken[:, k]
+
+
 def bootstrap_sums(
     df: DataFrame, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED,
     rows: int | None = None, size: int = CHUNK,
@@ -164,6 +220,7 @@ def bootstrap_sums(
     """(by, replicate, sum_<v>, n_<v>): sums over each resample; missing values add to neither."""
     wanted = df.select(*by, order, *[F.col(v).cast("double").alias(v) for v in values])
     placed, sizes, group = _chunked(wanted, by, order, rows, size)
+    per = _per_unit(size)
     schema = T.StructType(
         [placed.schema[g] for g in group]
         + [T.StructField("replicate", T.IntegerType())]
@@ -172,17 +229,23 @@ def bootstrap_sums(
     )
 
     def kernel(pdf: pd.DataFrame, b: np.ndarray, taken: np.ndarray) -> pd.DataFrame:
-        x = pdf[values].to_numpy(float)
-        known = ~np.isnan(x)
-        every = known.all(axis=0)
-        x = np.where(known, x, 0.0)
-        sums, counts = np.zeros((len(b), len(values))), np.repeat(taken[:, None], len(values), axis=1)
-        for part in _blocks(taken):
-            picked, valid = chunk_draws(b[part], taken[part], len(x), int(pdf["_chunk"].iloc[0]), salt)
-            for j in range(len(values)):
-                sums[part, j] = (x[:, j][picked] * valid).sum(axis=1)
-                if not every[j]:
-                    counts[part, j] = (known[:, j][picked] & valid).sum(axis=1)
+        table = pdf[values].to_numpy(float)
+        known = ~np.isnan(table)
+        table = np.where(known, table, 0.0)
+        sums, counts = np.zeros((len(b), len(values))), np.zeros((len(b), len(values)), np.int64)
+        for chunk, at, draws_of in _chunks_of(pdf, taken, size, per):
+            columns = [np.ascontiguousarray(c) for c in table[at].T]
+            there = [None if c.all() else c.astype(float) for c in known[at].T]
+            for part in _blocks(draws_of):
+                picked, valid = _drawn(b[part], draws_of[part], at.stop - at.start, chunk, salt)
+                for j, (x, has) in enumerate(zip(columns, there)):
+                    drawn = x[picked]
+                    sums[part, j] += drawn.sum(axis=1) if valid is None else (drawn * valid).sum(axis=1)
+                    if has is None:
+                        counts[part, j] += draws_of[part]
+                    else:
+                        drawn = has[picked]
+                        counts[part, j] += (drawn if valid is None else drawn * valid).sum(axis=1).astype(np.int64)
         out = pd.DataFrame({"replicate": b.astype("int32")})
         for j, v in enumerate(values):
             out[f"sum_{v}"], out[f"n_{v}"] = sums[:, j], counts[:, j]
@@ -190,7 +253,7 @@ def bootstrap_sums(
             out[g] = pdf[g].iloc[0]
         return out[schema.names]
 
-    sums = _by_chunk(placed, sizes, group, kernel, schema, replicates, salt, size, rows)
+    sums = _by_unit(placed, sizes, group, kernel, schema, replicates, salt, size, rows)
     return sums.groupBy(*by, "replicate").agg(
         *[F.sum(f"sum_{v}").alias(f"sum_{v}") for v in values], *[F.sum(f"n_{v}").alias(f"n_{v}") for v in values]
     )
@@ -204,18 +267,20 @@ def bootstrap_weights(
     ``by`` are the strata: every stratum is resampled to its own size.
     """
     placed, sizes, group = _chunked(df, by, order, None, size)
+    per = _per_unit(size)
     extra = [T.StructField("replicate", T.IntegerType()), T.StructField("w", T.LongType())]
     schema = T.StructType([f for f in df.schema.fields] + extra)
     columns = df.columns
 
     def kernel(pdf: pd.DataFrame, numbers: np.ndarray, taken: np.ndarray) -> pd.DataFrame:
         parts = []
-        for b, times in chunk_multiplicities(int(pdf["n"].iloc[0]), int(pdf["_chunk"].iloc[0]), replicates, salt, size, numbers, taken):
-            r, c = np.nonzero(times)
-            parts.append(pdf[columns].iloc[c].assign(replicate=b[r].astype("int32"), w=times[r, c]))
+        for chunk, at, draws_of in _chunks_of(pdf, taken, size, per):
+            for b, times in chunk_multiplicities(chunk * size + at.stop - at.start, chunk, replicates, salt, size, numbers, draws_of):
+                r, c = np.nonzero(times)
+                parts.append(pdf[columns].iloc[at].iloc[c].assign(replicate=b[r].astype("int32"), w=times[r, c]))
         return pd.concat(parts, ignore_index=True)[schema.names]
 
-    return _by_chunk(placed, sizes, group, kernel, schema, replicates, salt, size, None)
+    return _by_unit(placed, sizes, group, kernel, schema, replicates, salt, size, None)
 
 
 def percentile_interval(

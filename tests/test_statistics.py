@@ -105,6 +105,28 @@ def test_partial_spearman(df, cases):
     assert ranks.partial_spearman(twice, [("x", "ratio", "score", ("size", "again"))], p_value=False).first()["partial_rho"] is None
 
 
+def test_routing_is_dealt_to_fixed_partitions(spark):
+    sizes = spark.createDataFrame([("a", 900), ("b", 1000), ("c", 25)], "g string, n long")
+    routes = resample._routes(sizes, 300, SEED, 20, 4).withColumn("part", F.spark_partition_id()).toPandas()
+    assert routes.part.nunique() == 4  # adaptive execution merged the few small rows into one task
+    per = resample._per_unit(20)
+    for n, rows in routes.groupby("n"):
+        want = resample.routed(np.array([1, 300]), n, SEED, 20)
+        for b, counts in zip((1, 300), want):
+            mine = rows[rows.replicate == b].sort_values("_unit")
+            assert np.array_equal(np.concatenate(mine.taken.to_numpy()), counts) and len(mine) == -(-len(counts) // per)
+
+
+def test_small_chunks_share_a_task(spark, monkeypatch):
+    n = 250
+    df = spark.createDataFrame(pd.DataFrame({"g": np.arange(n) % 2, "k": np.arange(n), "v": np.where(np.arange(n) % 7, np.arange(n) / 8.0, np.nan)})).withColumn("v", F.nanvl("v", F.lit(None)))
+    alone = resample.bootstrap_sums(df, ["g"], ["v"], "k", 9, size=20)
+    monkeypatch.setattr(resample, "CHUNK", 20)
+    apart = resample.bootstrap_sums(df, ["g"], ["v"], "k", 9, size=20)
+    a, b = (x.toPandas().sort_values(["g", "replicate"]).to_numpy(float) for x in (alone, apart))
+    assert len(a) == 18 and np.array_equal(a, b)
+
+
 def test_bootstrap_partial_same_on_both_ways(df, cases, monkeypatch):
     blocks = ranks.bootstrap_partial_spearman(df, HYPOTHESES, ["fold"], replicates=12).toPandas().set_index("label").sort_index()
     monkeypatch.setattr(ranks, "BLOCK_ROWS", 0)
