@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -12,11 +12,12 @@ from lesionlens.functions.fixed import FAILURE_PERCENTILES, REPLICATES_SHORT, SE
 from lesionlens.functions.scalars import norm_missing
 from lesionlens.functions.tails import chi2_p_value, correlation_p_value, normal_p_value
 from lesionlens.operators.ordered import quantiles, ranked, stored, suffix_min
-from lesionlens.operators.resample import CHUNK, bootstrap_weights, chunk_multiplicities, percentile_interval
+from lesionlens.operators.resample import CHUNK, _chunked, _routed_sizes, bootstrap_weights, chunk_multiplicities, percentile_interval
+from lesionlens.session import materialize
 
 SINGULAR = 1e-12
-BLOCK_ROWS = 500_000  # cases that a task may hold: about 100 bytes each, and BLOCK_CELLS weights
-BLOCK_CELLS, BLOCK_TASKS = 1 << 21, 64
+BLOCK_ROWS = 8_000_000  # cases that a task may hold: about 200 bytes each, whatever the number of replicates
+BLOCK_TASKS = 64
 
 
 def _long(df: DataFrame, keep: list, columns: list[str], name: str, value: str = "_v") -> DataFrame:
@@ -169,9 +170,9 @@ def bootstrap_partial_spearman(
 ) -> DataFrame:
     """(label, ci_low, ci_high): rows resampled within strata, missing dropped after, ranks anew each time.
 
-    Up to ``block_rows`` cases, by default ``BLOCK_ROWS``, a task takes all of them and as many replicates as keep its weights within
-    ``BLOCK_CELLS``: what moves is the table once for each task, not a rank for each case, variable and replicate. Beyond that the replicate
-    is part of the ranking key and no task sees all cases. Both ways draw the same rows and rank them alike.
+    Up to ``block_rows`` cases, by default ``BLOCK_ROWS``, a task takes all of them, as arrays, and its share of the replicates one after the
+    other: what moves is the table once for each of ``BLOCK_TASKS``, not a rank for each case, variable and replicate. Beyond that the
+    replicate is part of the ranking key and no task sees all cases. Both ways draw the same rows and rank them alike.
     """
     used = list(dict.fromkeys(c for h in hypotheses for c in (h[1], h[2], *h[3])))
     keep, n = stored(df.select(case, *strata, *[norm_missing(c).alias(c) for c in used if c not in strata]))
@@ -188,34 +189,79 @@ def _replicate_blocks(
     case: str, replicates: int, salt: int, n: int,
 ) -> DataFrame:
     """(label, replicate, partial_rho) with the replicates spread over tasks, for a checked number of cases."""
-    tasks = max(1, min(replicates, max(BLOCK_TASKS, replicates * n // BLOCK_CELLS)))
-    copies = keep.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    tasks = max(1, min(replicates, BLOCK_TASKS))
+    used = list(dict.fromkeys(c for h in hypotheses for c in (h[1], h[2], *h[3])))
+    numbers = keep.select(*strata, case, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_v{k}") for k, c in enumerate(used)])
+    placed, _, group = _chunked(numbers, strata, case, n, CHUNK)
+    items = F.sort_array(F.collect_list(F.struct("_ordinal", *[f"_v{k}" for k in range(len(used))])))
+    packed = placed.groupBy(*group, "_unit").agg(F.first("n").alias("n"), items.alias("_rows"))
+    packed = materialize(packed.select("n", "_unit", *[F.col(f"_rows._v{k}").alias(f"_v{k}") for k in range(len(used))]), "packed")
+    copies = packed.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     # a fixed number of partitions: what a task costs does not show in the size of its rows
-    copies = copies.repartition(max(min(tasks, int(keep.sparkSession.conf.get("spark.sql.shuffle.partitions"))), tasks // 64), "_task")
+    copies = copies.repartition(min(tasks, int(keep.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_task")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*strata, case]).reset_index(drop=True)
         mine = np.arange(1 + int(pdf["_task"].iloc[0]), replicates + 1, tasks)
-        times = np.zeros((len(mine), len(pdf)), dtype=np.int64)
-        for rows in pdf.groupby(strata, dropna=False).indices.values() if strata else [np.arange(len(pdf))]:
-            for chunk in range(-(-len(rows) // CHUNK)):
-                drawn = chunk_multiplicities(len(rows), chunk, replicates, salt, only=mine)
-                at = rows[chunk * CHUNK : (chunk + 1) * CHUNK]
-                done = 0
-                for b, t in drawn:
-                    times[done : done + len(b), at] = t
-                    done += len(b)
-        parts = []
-        for label, feature, outcome, controls in hypotheses:
-            x = pdf[[feature, outcome, *controls]].to_numpy(float)
-            full = ~np.isnan(x).any(axis=1)
-            rho = weighted_partial_rho(x[full], times[:, full])
-            parts.append(pd.DataFrame({"label": label, "replicate": mine.astype("int32"), "partial_rho": rho}))
-        return pd.concat(parts, ignore_index=True)
+        chunks = list(zip(pdf["n"].tolist(), pdf["_unit"].tolist(), [len(v) for v in pdf["_v0"]]))
+        x = {c: np.concatenate(pdf[f"_v{k}"].to_numpy()) for k, c in enumerate(used)}
+        del pdf
+        tests = WeightedRanks(x, hypotheses)
+        sizes = sorted({rows for rows, _, _ in chunks})
+        rho = {h[0]: np.empty(len(mine)) for h in hypotheses}
+        times = np.empty(len(x[used[0]]))
+        for k, b in enumerate(mine):
+            sent = dict(zip(sizes, _routed_sizes(int(b), sizes, salt, CHUNK)))
+            at = 0
+            for rows, chunk, length in chunks:
+                taken = sent[rows][chunk : chunk + 1]
+                for _, t in chunk_multiplicities(rows, chunk, replicates, salt, only=mine[k : k + 1], taken=taken):
+                    times[at : at + length] = t[0]
+                at += length
+            for label, value in tests.partial_rho(times).items():
+                rho[label][k] = value
+        return pd.concat([pd.DataFrame({"label": h, "replicate": mine.astype("int32"), "partial_rho": v}) for h, v in rho.items()], ignore_index=True)
 
     return copies.groupBy("_task").applyInPandas(kernel, "label string, replicate int, partial_rho double")
 
 
+class WeightedRanks:
+    """Partial rank correlations of the same rows under many weights: values are sorted once, a weight costs sums by value."""
+
+    def __init__(self, x: dict[str, np.ndarray], hypotheses: list[tuple[str, str, str, tuple[str, ...]]]):
+        self.variables = {h[0]: [h[1], h[2], *h[3]] for h in hypotheses}
+        self.rows, self.pattern, self.codes = [], {}, {}
+        for label, columns in self.variables.items():
+            full = ~np.logical_or.reduce([np.isnan(x[c]) for c in columns])
+            known = (k for k, other in enumerate(self.rows) if np.array_equal(full, other))
+            self.pattern[label] = k = next(known, len(self.rows))
+            if k == len(self.rows):
+                self.rows.append(full)
+            for c in columns:
+                if (c, k) not in self.codes:
+                    values, code = np.unique(x[c][full], return_inverse=True)
+                    self.codes[c, k] = len(values), code.astype(np.int32)
+
+    def partial_rho(self, times: np.ndarray) -> dict[str, float]:
+        out = {}
+        for k, full in enumerate(self.rows):
+            w = times[full]
+            centred = {}
+            for (c, of), (values, code) in self.codes.items():
+                if of == k:
+                    ties = np.bincount(code, weights=w, minlength=values)
+                    centred[c] = (np.cumsum(ties) - ties + (ties - w.sum()) / 2.0)[code]
+            cov = {}
+            for label, columns in self.variables.items():
+                if self.pattern[label] == k:
+                    for pair in combinations_with_replacement(columns, 2):
+                        a, b = sorted(pair)
+                        if (a, b) not in cov:
+                            cov[a, b] = np.array([np.sum(w * centred[a] * centred[b])])
+                    size = range(len(columns))
+                    out[label] = float(_partial({(a, b): cov[tuple(sorted((columns[a], columns[b])))] for a, b in combinations_with_replacement(size, 2)}, len(columns))[0])
+        return out
+
+
 def weighted_partial_rho(x: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Partial rank correlation of columns 0 and 1 given the others, one value per row of weights."""
     total = times.sum(axis=1, keepdims=True)
@@ -228,9 +274,13 @@ def weighted_partial_rho(x: np.ndarray, times: np.ndarray) -> np.ndarray:
         of_value = np.searchsorted(v[order][starts], v)
         centred.append((before + (ties - total) / 2.0)[:, of_value])
     k = len(centred)
+    return _partial({(a, b): (times * centred[a] * centred[b]).sum(axis=1) for a in range(k) for b in range(a, k)}, k)
+
+
+def _partial(cov: dict[tuple[int, int], np.ndarray], k: int) -> np.ndarray:
+    """Partial correlation of variables 0 and 1 of ``k`` given the others, from sums of products of centred ranks."""
     r = {}
     with np.errstate(divide="ignore", invalid="ignore"):
-        cov = {(a, b): (times * centred[a] * centred[b]).sum(axis=1) for a in range(k) for b in range(a, k)}
         for a, b in combinations(range(k), 2):
             r[a, b] = cov[a, b] / (np.sqrt(cov[a, a]) * np.sqrt(cov[b, b]))
         for z in range(2, k):

@@ -144,6 +144,19 @@ def test_bootstrap_partial_same_on_both_ways(df, cases, monkeypatch):
         assert np.allclose(blocks.loc[label, ["ci_low", "ci_high"]].to_numpy(float), np.quantile(v, [0.025, 0.975]))
 
 
+def test_a_task_holds_one_replicate_at_a_time(cases):
+    rng = np.random.default_rng(3)
+    x = {c: cases[c].to_numpy(float) for c in ("size", "ratio", "noise", "score")}
+    times = rng.integers(0, 4, (5, len(cases)))
+    tests = ranks.WeightedRanks(x, HYPOTHESES)
+    for label, f, o, controls in HYPOTHESES:
+        table = np.column_stack([x[c] for c in (f, o, *controls)])
+        full = ~np.isnan(table).any(axis=1)
+        want = ranks.weighted_partial_rho(table[full], times[:, full])
+        assert np.allclose([tests.partial_rho(t.astype(float))[label] for t in times], want, rtol=1e-12)
+    assert not hasattr(ranks, "BLOCK_CELLS")  # no matrix of weights whose rows grow with the table
+
+
 def test_mann_whitney_and_sensitivity(df, cases):
     flagged = binning.quantile_flags(df, "score")
     cut = {p: cases.score.quantile(p / 100) for p in (5, 10, 20)}
