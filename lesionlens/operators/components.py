@@ -2,8 +2,8 @@
 
 A volume is cut into cubes of ``tile`` voxels a side. Rows of a cube meet in one task -- at most
 ``tile**3`` of them, however large the case -- and are labelled there for all masks at once. Pieces of
-one component in different cubes are then joined over the face voxels only, and the resulting graph of
-pieces, orders of magnitude smaller than the voxels, is contracted by star operations.
+one component in different cubes meet over the face voxels only: such a voxel goes once to each of the neighbouring cubes ahead of it.
+The resulting graph of pieces is solved a volume at a time where it has at most ``LOCAL_EDGES`` edges, else by star operations.
 
 Masks travel as one BIGINT bit set per voxel, so ten thresholds cost one shuffle of the voxels.
 """
@@ -24,6 +24,7 @@ from lesionlens.session import discard, materialize
 AXES = ("z", "y", "x")
 TILE = 64
 AXIS_BITS = 20
+LOCAL_EDGES = 1_000_000  # edges of one volume and mask that a task may hold, about 100 bytes each
 FORWARD = [
     (dz, dy, dx)
     for dz in (-1, 0, 1)
@@ -139,7 +140,7 @@ class Fragments:
         return (
             df.withColumn("_mask", mask.cast("int"))
             .withColumn("_frag", F.col(frag))
-            .join(m, [*self.keys, "_mask", "_frag"], "left")
+            .join(m.hint("merge"), [*self.keys, "_mask", "_frag"], "left")  # pieces pack too well for their files' size to tell
             .withColumn(out, F.coalesce("_comp", frag))
             .drop("_mask", "_frag", "_comp", *([frag] if frag != out else []))
         )
@@ -190,33 +191,110 @@ def _merge(labelled: DataFrame, keys: list[str], tile: int, max_rounds: int) ->
     on_face = F.lit(False)
     for a in AXES:
         on_face = on_face | (F.col(a) % tile).isin(0, tile - 1)
-    face = labelled.where(on_face)
-    step = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip(o, AXES)]) for o in FORWARD]))
-    shifted = face.select(*keys, *AXES, F.col("frag").alias("_fa"), step.alias("_d"))
-    crosses, inside = F.lit(False), F.lit(True)
-    for a in AXES:
-        moved = F.col(a) + F.col(f"_d.{a}")
-        crosses = crosses | (F.floor(moved / F.lit(tile)) != F.floor(F.col(a) / F.lit(tile)))
-        inside = inside & (moved >= 0)
-    shifted = shifted.where(crosses & inside).select(
-        *keys, *[(F.col(a) + F.col(f"_d.{a}")).alias(a) for a in AXES], "_fa"
-    )
-    pairs = shifted.join(face.select(*keys, *AXES, F.col("frag").alias("_fb")), [*keys, *AXES])
-    edges = (
-        pairs.select(*keys, F.posexplode(F.arrays_zip("_fa", "_fb")).alias("mask", "_e"))
-        .select(*keys, "mask", F.col("_e._fa").alias("a"), F.col("_e._fb").alias("b"))
-        .where("a >= 0 and b >= 0")
-        .select(*keys, "mask", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    edges = materialize(edges, "edges")
+    face = labelled.where(on_face).select(*keys, *AXES, "frag")
+    edges = materialize(_face_edges(face, keys, tile), "edges")
     if edges.isEmpty():
         return None
-    return star_contraction(edges, [*keys, "mask"], max_rounds).select(
+    return contract(edges, [*keys, "mask"], max_rounds).select(
         *keys, "mask", F.col("u").alias("frag"), F.col("v").alias("comp")
     )
 
 
+def _face_edges(face: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """(keys, mask, u, v), u > v: pieces with neighbouring voxels in different tiles, distinct within a tile.
+
+    A pair is found in the tile that comes later in (z, y, x); the earlier voxel is sent there once, however many of its
+    neighbours are in it.
+    """
+    tiles = [f"_t{a}" for a in AXES]
+    own = F.struct(*[F.lit(0).alias(t) for t in tiles])
+    ahead = [own]
+    for step in [o for o in ((z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)) if o > (0, 0, 0)]:
+        reach = F.lit(True)
+        for a, d in zip(AXES, step):
+            reach = reach & {0: F.lit(True), 1: F.col(a) % tile == tile - 1, -1: (F.col(a) % tile == 0) & (F.col(a) > 0)}[d]
+        ahead.append(F.when(reach, F.struct(*[F.lit(d).alias(t) for t, d in zip(tiles, step)])))
+    rows = face.withColumn("_to", F.explode(F.array_compact(F.array(*ahead))))
+    home = F.lit(True)
+    for t in tiles:
+        home = home & (F.col(f"_to.{t}") == 0)
+    rows = rows.select(
+        *keys, *[(F.floor(F.col(a) / F.lit(tile)) + F.col(f"_to.{t}")).cast("int").alias(t) for a, t in zip(AXES, tiles)], *AXES,
+        home.alias("_home"), "frag",
+    )
+    tile_keys = [*keys, *tiles]
+    rows = rows.repartition(*tile_keys).sortWithinPartitions(*tile_keys, *AXES)
+    schema = T.StructType([face.schema[k] for k in keys] + [T.StructField(n, t) for n, t in (("mask", T.IntegerType()), ("u", T.LongType()), ("v", T.LongType()))])
+    every = [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) != (0, 0, 0)]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in whole_tiles(batches, tile_keys):
+            side = tile + 4  # the tile, one voxel beyond it, and one more that nothing is in
+            corner = np.stack([table.column(t).to_numpy().astype(np.int64) for t in tiles], axis=1) * tile
+            local = np.stack([table.column(a).to_numpy().astype(np.int64) for a in AXES], axis=1) - corner + 2
+            code = ((number * side + local[:, 0]) * side + local[:, 1]) * side + local[:, 2]
+            home = table.column("_home").to_numpy(zero_copy_only=False)
+            frag = table.column("frag").combine_chunks()
+            frag = (frag.chunk(0) if isinstance(frag, pa.ChunkedArray) else frag).flatten().to_numpy(zero_copy_only=False).reshape(len(code), -1)
+            guests = np.flatnonzero(~home)
+            first, second = [], []
+            for dz, dy, dx in every:
+                target = code[guests] + (dz * side + dy) * side + dx
+                j = np.minimum(np.searchsorted(code, target), len(code) - 1)
+                hit = (code[j] == target) & home[j]
+                first.append(guests[hit])
+                second.append(j[hit])
+            a, b = np.concatenate(first), np.concatenate(second)
+            fa, fb = frag[a], frag[b]
+            at, mask = np.nonzero((fa >= 0) & (fb >= 0))
+            if not len(at):
+                continue
+            u, v = np.maximum(fa[at, mask], fb[at, mask]), np.minimum(fa[at, mask], fb[at, mask])
+            order = np.lexsort((v, u, mask, number[a[at]]))
+            u, v, mask, row = u[order], v[order], mask[order], a[at][order]
+            new = np.r_[True, (np.diff(u) != 0) | (np.diff(v) != 0) | (np.diff(mask) != 0) | (np.diff(number[row]) != 0)]
+            out = table.select(keys).take(pa.array(row[new]))
+            out = out.append_column("mask", pa.array(mask[new].astype(np.int32))).append_column("u", pa.array(u[new])).append_column("v", pa.array(v[new]))
+            yield from out.combine_chunks().to_batches()
+
+    return rows.mapInArrow(kernel, schema)
+
+
+def contract(edges: DataFrame, keys: list[str], max_rounds: int = 50, local_edges: int | None = None) -> DataFrame:
+    """(keys, u, v), u > v, of a stored table -> (node u, smallest node v of its component), one row a node.
+
+    Graphs of up to ``local_edges`` edges, by default ``LOCAL_EDGES``, are solved whole, several in a task; larger ones by :func:`star_contraction`.
+    """
+    bound = LOCAL_EDGES if local_edges is None else local_edges
+    large = materialize(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(*keys), "large")
+    if large.isEmpty():
+        return _contract_whole(edges, keys)
+    small = _contract_whole(edges.join(large, keys, "left_anti"), keys)
+    return small.unionByName(star_contraction(edges.join(large, keys, "left_semi").distinct(), keys, max_rounds))
+
+
+def _contract_whole(edges: DataFrame, keys: list[str]) -> DataFrame:
+    rows = edges.select(*keys, "u", "v").repartition(*keys).sortWithinPartitions(*keys)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in whole_tiles(batches, keys):
+            n = len(number)
+            node = np.concatenate([table.column("u").to_numpy(), table.column("v").to_numpy()])
+            graph = np.concatenate([number, number])
+            order = np.lexsort((node, graph))
+            new = np.r_[True, (np.diff(node[order]) != 0) | (np.diff(graph[order]) != 0)]
+            place = np.empty(2 * n, np.int64)
+            place[order] = np.cumsum(new) - 1
+            shown = order[new]  # a row of each node; nodes of a graph are numbered by size
+            label = _min_labels(len(shown), place[:n], place[n:])
+            at = np.flatnonzero(label != np.arange(len(shown)))
+            out = table.select(keys).take(pa.array(shown[at] % n))
+            out = out.append_column("u", pa.array(node[shown[at]])).append_column("v", pa.array(node[shown[label[at]]]))
+            yield from out.combine_chunks().to_batches()
+
+    return materialize(rows.mapInArrow(kernel, rows.schema), "contracted")
+
+
 def _min_per_node(edges: DataFrame, node: list[str], salts: int) -> DataFrame:
     """Edges (u, v) with ``m``, the smallest v of their u; a node with very many edges is split by salt."""
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brute import components as flood, lesions
 from lesionlens.operators.components import (
-    component_stats, connected_components, lesion_match, min_size_filter,
+    component_stats, connected_components, contract, lesion_match, min_size_filter,
 )
 
 
@@ -52,6 +52,20 @@ def test_long_snake_over_many_tiles(spark):
     assert got.select("comp").distinct().count() == 1
 
 
+def test_graphs_solved_whole_or_by_stars_are_the_same(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, *map(int, (max(a, b), min(a, b)))) for g, n in (("a", 60), ("b", 400)) for a, b in rng.integers(0, 200, (n, 2)) if a != b]
+    edges = spark.createDataFrame(rows + rows[:5], "g string, u long, v long").cache()
+    got = [sorted(map(tuple, contract(edges, ["g"], local_edges=n).collect())) for n in (1000, 100, 0)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_pieces_are_never_broadcast(spark):
+    got = connected_components(frame(spark, {"c": volume(1)}), ["case_id"], tile=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # repeated ids pack so well that files of many rows look small
+
+
 def test_stats_filter_and_matching(spark):
     pred, ref = {}, {}
     for i in range(5):
