@@ -82,8 +82,9 @@ def grid_per_case(
     )
     touch = frags.resolve(touch)
     touch = frags.resolve(touch, "rfrag", "rcomp", F.lit(n))
+    # only components with a voxel of the reference are met, so no other is sent to the join
     best = (
-        touch.join(comps.select(*keys, "mask", "comp", "size"), [*keys, "mask", "comp"])
+        touch.join(comps.where("hit_et > 0").select(*keys, "mask", "comp", "size"), [*keys, "mask", "comp"])
         .groupBy(*keys, "mask", "rcomp").agg(F.max("size").alias("_best"))
         .groupBy(*keys, "mask")
         .agg(*[(F.count_if(F.lit(True) if m <= 1 else F.col("_best") >= m)).alias(f"tp_{m}") for m in min_voxels])
