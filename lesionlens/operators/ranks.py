@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lesionlens.functions.fixed import FAILURE_PERCENTILES, REPLICATES_SHORT, SEED
 from lesionlens.functions.scalars import norm_missing
 from lesionlens.functions.tails import chi2_p_value, correlation_p_value, normal_p_value
 from lesionlens.operators.ordered import quantiles, ranked, stored, suffix_min
-from lesionlens.operators.resample import CHUNK, _chunked, _routed_sizes, bootstrap_weights, chunk_multiplicities, percentile_interval
+from lesionlens.operators.resample import (
+    CHUNK, _by_unit, _chunked, _per_unit, _routed_sizes, chunk_multiplicities, percentile_interval, unit_multiplicities,
+)
 from lesionlens.session import materialize
 
 SINGULAR = 1e-12
 BLOCK_ROWS = 8_000_000  # cases that a task may hold: about 200 bytes each, whatever the number of replicates
 BLOCK_TASKS = 64
+VECTOR = 100  # replicates whose weights of one value travel as one vector
+PIECE_ROWS = 32_768  # vectors that a piece of the sorted values holds, about
 
 
 def _long(df: DataFrame, keep: list, columns: list[str], name: str, value: str = "_v") -> DataFrame:
@@ -101,14 +107,10 @@ def _condition(df: DataFrame, variables: int) -> DataFrame:
     return df
 
 
-def _partial_rho(
-    df: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], case: str,
-    replicate: list[str] = (), weight: str | None = None,
-) -> DataFrame:
-    """(label, [replicate,] n, n_controls, partial_rho); ranks are taken anew in every replicate."""
+def _partial_rho(df: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], case: str) -> DataFrame:
+    """(label, n, n_controls, partial_rho) over complete rows."""
     variables = {h[0]: [h[1], h[2], *h[3]] for h in hypotheses}
     most = max(len(v) for v in variables.values())
-    w = F.col(weight) if weight else F.lit(1).cast("bigint")
     stacked = []
     for label, cols in variables.items():
         complete = F.lit(True)
@@ -118,17 +120,19 @@ def _partial_rho(
             F.when(complete, F.struct(F.lit(label).alias("label"), F.lit(k).alias("_k"), norm_missing(c).alias("_v")))
             for k, c in enumerate(cols)
         ]
-    rows = df.select(case, *replicate, w.alias("_w"), F.inline(F.array_compact(F.array(*stacked))))
-    key = ["label", *replicate]
-    rows = ranked(rows, [*key, "_k"], "_v", [case], weight="_w" if weight else None).withColumn("_c", centred_rank())
-    wide = rows.groupBy(*key, case).agg(
-        F.max("_w").alias("_w"), *[F.max(F.when(F.col("_k") == k, F.col("_c"))).alias(f"_c{k}") for k in range(most)]
-    )
-    pairs = [*combinations(range(most), 2), *[(k, k) for k in range(most)]]
-    sums = wide.groupBy(*key).agg(
-        F.sum("_w").cast("bigint").alias("n"),
-        *[F.sum(F.col("_w") * F.col(f"_c{a}") * F.col(f"_c{b}")).alias(f"_s{a}_{b}") for a, b in pairs],
+    rows = df.select(case, F.inline(F.array_compact(F.array(*stacked))))
+    rows = ranked(rows, ["label", "_k"], "_v", [case]).withColumn("_c", centred_rank())
+    wide = rows.groupBy("label", case).agg(*[F.max(F.when(F.col("_k") == k, F.col("_c"))).alias(f"_c{k}") for k in range(most)])
+    sums = wide.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(f"_c{a}") * F.col(f"_c{b}")).alias(f"_s{a}_{b}") for a, b in combinations_with_replacement(range(most), 2)],
     )
+    return _rho_of_sums(sums, ["label"], variables)
+
+
+def _rho_of_sums(sums: DataFrame, key: list[str], variables: dict[str, list[str]]) -> DataFrame:
+    """(key, n, n_controls, partial_rho) from the sums of products of centred ranks, ``_s<a>_<b>`` with a <= b."""
+    most = max(len(v) for v in variables.values())
     r = sums.withColumns({
         f"p0_{a}_{b}": F.try_divide(F.col(f"_s{a}_{b}"), F.sqrt(F.col(f"_s{a}_{a}")) * F.sqrt(F.col(f"_s{b}_{b}")))
         for a, b in combinations(range(most), 2)
@@ -171,16 +175,15 @@ def bootstrap_partial_spearman(
     """(label, ci_low, ci_high): rows resampled within strata, missing dropped after, ranks anew each time.
 
     Up to ``block_rows`` cases, by default ``BLOCK_ROWS``, a task takes all of them, as arrays, and its share of the replicates one after the
-    other: what moves is the table once for each of ``BLOCK_TASKS``, not a rank for each case, variable and replicate. Beyond that the
-    replicate is part of the ranking key and no task sees all cases. Both ways draw the same rows and rank them alike.
+    other: what moves is the table once for each of ``BLOCK_TASKS``, not a rank for each case, variable and replicate. Beyond that
+    vectors over replicates are ranked in pieces of the sorted values and no task sees all cases. Both ways draw the same rows and rank them alike.
     """
     used = list(dict.fromkeys(c for h in hypotheses for c in (h[1], h[2], *h[3])))
     keep, n = stored(df.select(case, *strata, *[norm_missing(c).alias(c) for c in used if c not in strata]))
     if n <= (BLOCK_ROWS if block_rows is None else block_rows):
         samples = _replicate_blocks(keep, hypotheses, strata, case, replicates, salt, n)
     else:
-        drawn = bootstrap_weights(keep, strata, case, replicates, salt)
-        samples = _partial_rho(drawn, hypotheses, case, ["replicate"], "w")
+        samples = _replicate_pieces(keep, hypotheses, strata, case, replicates, salt, n)
     return percentile_interval(samples, ["label"], "partial_rho")
 
 
@@ -224,6 +227,181 @@ def _replicate_blocks(
     return copies.groupBy("_task").applyInPandas(kernel, "label string, replicate int, partial_rho double")
 
 
+def _replicate_pieces(
+    keep: DataFrame, hypotheses: list[tuple[str, str, str, tuple[str, ...]]], strata: list[str],
+    case: str, replicates: int, salt: int, n: int,
+) -> DataFrame:
+    """(label, replicate, n, n_controls, partial_rho) where no task sees all cases.
+
+    A unit of cases tells how often each distinct value is drawn, as a vector over up to ``VECTOR`` replicates. The values of all units are
+    sorted into pieces, where running sums of the vectors give the ranks in all replicates at once; these go back to the units as differences
+    between the unit's neighbouring values, a byte or two for each replicate. A unit then multiplies ranks for its own rows. So what moves is
+    two small vectors for each distinct value of a unit, and nothing for each replicate.
+    """
+    variables = {h[0]: [h[1], h[2], *h[3]] for h in hypotheses}
+    used = list(dict.fromkeys(c for v in variables.values() for c in v))
+    place = {c: k for k, c in enumerate(used)}
+    pattern = _complete_patterns(keep, variables)
+    wanted = list(dict.fromkeys((pattern[h], c) for h, v in variables.items() for c in v))
+    complete = {pattern[h]: [place[c] for c in v] for h, v in variables.items()}
+    numbers = keep.select(*strata, case, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_v{k}") for k, c in enumerate(used)])
+    size, per = CHUNK, _per_unit(CHUNK)
+    placed, sizes, group = _chunked(numbers, strata, case, n, size)
+    width = min(replicates, VECTOR)
+    unit = [placed.schema[g] for g in group] + [T.StructField(c, T.IntegerType()) for c in ("_unit", "_task")]
+    keys = [f.name for f in unit]
+    binary = lambda *names: [T.StructField(c, T.BinaryType()) for c in names]
+    number = lambda *names: [T.StructField(c, T.IntegerType()) for c in names]
+    numbers_of = lambda task: np.arange(1 + width * task, min(width * (task + 1), replicates) + 1)
+
+    def drawn(pdf: pd.DataFrame, b: np.ndarray, taken: np.ndarray) -> pd.DataFrame:
+        x = pdf[[f"_v{k}" for k in range(len(used))]].to_numpy(float) + 0.0
+        times = unit_multiplicities(int(pdf["_unit"].iloc[0]) * per, len(x), b, taken, replicates, salt, size)
+        parts = [pd.DataFrame({"_p": [-1], "_v": [0.0], "_t": [taken.astype(np.int64).tobytes()], "_x": [x.tobytes()]})]
+        for at, (k, c) in enumerate(wanted):
+            full = ~np.isnan(x[:, complete[k]]).any(axis=1)
+            v = x[full, place[c]]
+            if len(v):
+                order = np.argsort(v, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(v[order]) != 0])
+                ties = np.add.reduceat(times[full][order], starts, axis=0, dtype=np.int64)
+                parts.append(pd.DataFrame({"_p": at, "_v": v[order][starts], "_t": _vectors(ties), "_x": None}))
+        out = pd.concat(parts, ignore_index=True)
+        for g in keys:
+            out[g] = pdf[g].iloc[0]
+        return out[[*keys, "_p", "_v", "_t", "_x"]]
+
+    schema = T.StructType([*unit, *number("_p"), T.StructField("_v", T.DoubleType()), *binary("_t", "_x")])
+    tables = materialize(_by_unit(placed, sizes, group, drawn, schema, replicates, salt, size, n, width), "drawn")
+    values, order = tables.where("_p >= 0").drop("_x"), ["_p", "_task", "_v"]
+    parts = max(1, -(-values.count() // PIECE_ROWS))
+
+    def running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        piece = TaskContext.get().partitionId()
+        for (p, task), run in pd.concat(frames, ignore_index=True).groupby(["_p", "_task"]):
+            v = run["_v"].to_numpy()
+            new = np.r_[True, np.diff(v) != 0]
+            ties = np.add.reduceat(_stacked(run["_t"], len(numbers_of(task))), np.flatnonzero(new), axis=0)
+            twice = 2 * np.cumsum(ties, axis=0) - ties  # of the weight before a value, and its own once: the mean rank, twice
+            row = np.cumsum(new) - 1
+            code = run.groupby([*group, "_unit"], dropna=False, sort=False).ngroup().to_numpy()
+            by_unit = np.argsort(code, kind="stable")
+            bounds = np.flatnonzero(np.r_[True, np.diff(code[by_unit]) != 0, True])
+            mine = [by_unit[a:z] for a, z in zip(bounds, bounds[1:])]
+            out = run[[*keys, "_p"]].iloc[by_unit[bounds[:-1]]].reset_index(drop=True)
+            out["_v"] = [v[i].tobytes() for i in mine]
+            out["_first"] = [_small(twice[row[i[0]]]).tobytes() for i in mine]
+            steps = [_small(np.diff(twice[row[i]], axis=0)) for i in mine]
+            out["_bytes"] = [s.itemsize for s in steps]
+            out["_t"] = [s.tobytes() for s in steps]
+            total = out.iloc[:1].assign(_unit=-1, _v=b"", _t=b"", _first=[ties.sum(axis=0).tobytes()])
+            yield pd.concat([out, total], ignore_index=True).assign(_piece=piece)[[*keys, "_p", "_piece", "_bytes", "_v", "_first", "_t"]]
+
+    schema = T.StructType([*unit, *number("_p", "_piece", "_bytes"), *binary("_v", "_first", "_t")])
+    pieces = materialize(values.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(running, schema), "pieces")
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_piece")
+        here = _stacked(pdf["_first"], len(numbers_of(int(pdf["_task"].iloc[0]))))
+        before = np.cumsum(here, axis=0) - here
+        return pdf[["_p", "_task", "_piece"]].assign(_shift=[r.tobytes() for r in 2 * before - here.sum(axis=0)])
+
+    totals = pieces.where("_unit < 0").select("_p", "_task", "_piece", "_first")
+    shifts = totals.groupBy("_p", "_task").applyInPandas(carried, T.StructType([*number("_p", "_task", "_piece"), *binary("_shift")]))
+    there = pieces.where("_unit >= 0").join(shifts, ["_p", "_task", "_piece"]).select(*keys, "_p", "_piece", "_bytes", "_v", "_first", "_t", "_shift")
+    none = F.lit(b"")
+    own = tables.where("_p < 0").select(
+        *keys, "_p", *[F.lit(0).alias(c) for c in ("_piece", "_bytes")], F.col("_x").alias("_v"), none.alias("_first"), "_t", none.alias("_shift")
+    )
+    most = max(len(v) for v in variables.values())
+    pairs = list(combinations_with_replacement(range(most), 2))
+
+    def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = numbers_of(int(pdf["_task"].iloc[0]))
+        pdf = pdf.sort_values(["_p", "_piece"])
+        first = pdf.iloc[0]
+        x = np.frombuffer(first["_v"]).reshape(-1, len(used))
+        taken = np.frombuffer(first["_t"], np.int64).reshape(len(b), -1)
+        w = unit_multiplicities(int(first["_unit"]) * per, len(x), b, taken, replicates, salt, size).astype(float)
+        centred = {}
+        for at, run in pdf.iloc[1:].groupby("_p"):
+            k, c = wanted[at]
+            known = np.concatenate([np.frombuffer(v) for v in run["_v"]])
+            first_of = _stacked(run["_first"], len(b))
+            rank = np.concatenate([
+                np.cumsum(np.vstack([f + np.frombuffer(s, np.int64), np.frombuffer(t, f"u{step}").reshape(-1, len(b))]), axis=0, dtype=np.int64) / 2.0
+                for f, t, s, step in zip(first_of, run["_t"], run["_shift"], run["_bytes"])
+            ])
+            full = ~np.isnan(x[:, complete[k]]).any(axis=1)
+            centred[k, c] = rank, np.searchsorted(known, x[full, place[c]])
+        parts, done = [], {}
+        for label, columns in variables.items():
+            k = pattern[label]
+            full = np.flatnonzero(~np.isnan(x[:, complete[k]]).any(axis=1))
+            if not len(full):
+                continue
+            out = pd.DataFrame({"label": label, "replicate": b.astype("int32"), "n": w[full].sum(axis=0).astype(np.int64)})
+            for i, j in pairs:
+                name = tuple(sorted((columns[i], columns[j]))) if j < len(columns) else None
+                if name and (k, name) not in done:
+                    done[k, name] = _weighted_products(w, full, *[centred[k, c] for c in name])
+                out[f"_s{i}_{j}"] = done[k, name] if name else np.nan
+            parts.append(out)
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["label", "replicate", "n", *[f"_s{i}_{j}" for i, j in pairs]])
+
+    schema = "label string, replicate int, n bigint, " + ", ".join(f"_s{i}_{j} double" for i, j in pairs)
+    tasks = int(keep.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    products = own.unionByName(there).repartition(tasks, *keys).groupBy(*keys).applyInPandas(multiplied, schema)
+    sums = products.groupBy("label", "replicate").agg(F.sum("n").alias("n"), *[F.sum(f"_s{i}_{j}").alias(f"_s{i}_{j}") for i, j in pairs])
+    return _rho_of_sums(sums.where("n > 0"), ["label", "replicate"], variables)
+
+
+def _complete_patterns(df: DataFrame, variables: dict[str, list[str]]) -> dict[str, int]:
+    """A number for each label; labels whose complete rows are the same share it."""
+    full = {}
+    for label, columns in variables.items():
+        full[label] = F.lit(True)
+        for c in columns:
+            full[label] = full[label] & norm_missing(c).isNotNull()
+    labels = list(variables)
+    apart = [(a, b) for b in range(len(labels)) for a in range(b)]
+    counts = df.agg(F.lit(0), *[F.count_if(full[labels[a]] != full[labels[b]]) for a, b in apart]).first()
+    same = {pair for pair, c in zip(apart, counts[1:]) if not c}
+    return {label: next((a for a in range(b) if (a, b) in same), b) for b, label in enumerate(labels)}
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    """Counts in the shortest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _vectors(a: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in _small(a)]
+
+
+def _stacked(vectors: pd.Series, width: int) -> np.ndarray:
+    """Counts of :func:`_vectors`, ``width`` in each, as rows of 64 bits; the length of a vector tells its type."""
+    vectors = vectors.to_numpy()
+    length = np.array([len(v) for v in vectors])
+    out = np.empty((len(vectors), width), np.int64)
+    for k in np.unique(length):
+        at = np.flatnonzero(length == k)
+        out[at] = np.frombuffer(b"".join(vectors[at]), f"u{k // width}").reshape(-1, width)
+    return out
+
+
+def _weighted_products(w: np.ndarray, rows: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Per replicate the sum of weight x rank x rank over ``rows``; ranks are given by distinct value, with each row's value."""
+    out = np.zeros(w.shape[1])
+    for at in range(0, len(rows), 2048):
+        part = slice(at, at + 2048)
+        out += (w[rows[part]] * a[0][a[1][part]] * b[0][b[1][part]]).sum(axis=0)
+    return out
+
+
 class WeightedRanks:
     """Partial rank correlations of the same rows under many weights: values are sorted once, a weight costs sums by value."""
 

@@ -177,14 +177,17 @@ def _routes(sizes: DataFrame, replicates: int, salt: int, size: int, parts: int)
     return units.repartition(parts).mapInPandas(kernel, "n bigint, _unit int, replicate int, taken array<bigint>")
 
 
-def _by_unit(placed: DataFrame, sizes: DataFrame, group: list[str], kernel, schema: T.StructType, replicates: int, salt: int, size: int, rows: int | None) -> DataFrame:
+def _by_unit(
+    placed: DataFrame, sizes: DataFrame, group: list[str], kernel, schema: T.StructType, replicates: int, salt: int, size: int, rows: int | None,
+    width: int | None = None,
+) -> DataFrame:
     """``kernel(rows by chunk in order, replicates, draws that the chunks take in each)`` over all units of all groups.
 
-    Few rows make few units but as many draws for each; their replicates are dealt to several tasks then. Partitions are of a fixed
-    number, because what a task costs does not show in the size of its rows.
+    Few rows make few units but as many draws for each; their replicates are dealt to several tasks then, of ``width`` replicates if that is
+    given. Partitions are of a fixed number, because what a task costs does not show in the size of its rows.
     """
     tasks = max(1, min(TASKS_OF_CHUNK, replicates, TASKS * CHUNK // max(rows, 1))) if rows is not None else 1
-    width = -(-replicates // tasks)
+    width = width or -(-replicates // tasks)
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = [*group, "_unit", "_task"]
     routes = sizes.where(F.col("n") > size).join(_routes(sizes, replicates, salt, size, parts).withColumnRenamed("n", "_n"), F.col("n") == F.col("_n"))
@@ -213,6 +216,17 @@ def _chunks_of(pdf: pd.DataFrame, taken: np.ndarray, size: int, per: int) -> Ite
         yield first + k, slice(k * size, min((k + 1) * size, len(pdf))), taken[:, k]
 
 
+def unit_multiplicities(first: int, rows: int, numbers: np.ndarray, taken: np.ndarray, replicates: int, salt: int, size: int) -> np.ndarray:
+    """(rows, replicates): how often each row of a unit, whose first chunk is number ``first``, is drawn in each of the replicates ``numbers``."""
+    out = np.empty((rows, len(numbers)), np.int32)
+    for k in range(taken.shape[1]):
+        at, chunk, done = slice(k * size, min((k + 1) * size, rows)), first + k, 0
+        for b, times in chunk_multiplicities(chunk * size + at.stop - at.start, chunk, replicates, salt, size, numbers, taken[:, k]):
+            out[at, done : done + len(b)] = times.T
+            done += len(b)
+    return out
+
+
 def bootstrap_sums(
     df: DataFrame, by: list[str], values: list[str], order: str, replicates: int, salt: int = SEED,
     rows: int | None = None, size: int = CHUNK,

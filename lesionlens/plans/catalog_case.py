@@ -264,7 +264,7 @@ KEYED_REPLICATES = 100
 
 
 def bootstrap_partial_rho_keyed(spark, sf):
-    """The way of tables beyond any task: a rank for each case and replicate."""
+    """The way of tables beyond any task: vectors over replicates, ranked in pieces of the sorted values."""
     out = ranks.bootstrap_partial_spearman(materialize(features(spark, sf), "features"), HYPOTHESES, ["fold"], replicates=KEYED_REPLICATES, block_rows=0)
     return _round(out, ["label"], ["ci_low", "ci_high"])
 

@@ -9,6 +9,7 @@ from lesionlens.functions.fixed import SEED
 from lesionlens.functions.tails import chi2_p, correlation_p, log_beta_tail, normal_p
 from lesionlens.operators import binning, embed, ordered, ranks, resample, scores
 from lesionlens.operators.resample import MODULUS, chunk_multiplicities
+from lesionlens.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -144,6 +145,37 @@ def test_bootstrap_partial_same_on_both_ways(df, cases, monkeypatch):
         assert np.allclose(blocks.loc[label, ["ci_low", "ci_high"]].to_numpy(float), np.quantile(v, [0.025, 0.975]))
 
 
+def test_keyed_bootstrap_makes_no_row_for_each_replicate(spark, cases, monkeypatch):
+    """Vectors over replicates are ranked in pieces; several chunks, pieces and blocks of replicates give what whole tables give."""
+    monkeypatch.setattr(resample, "CHUNK", 64)
+    monkeypatch.setattr(ranks, "CHUNK", 64)
+    monkeypatch.setattr(ranks, "PIECE_ROWS", 100)
+    monkeypatch.setattr(ranks, "VECTOR", 7)
+    stored_rows = {}
+
+    def counted(df, name="stage"):
+        out = materialize(df, name)
+        stored_rows[name] = max(stored_rows.get(name, 0), out.count())
+        return out
+
+    pdf = pd.concat([cases, cases.assign(case_id=cases.case_id + 1000, size=cases["size"] - 1)], ignore_index=True)
+    pdf["fold"] = np.where(pdf.case_id % 5 == 0, None, (pdf.case_id % 3 % 2).astype(str))
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    drawn = resample.bootstrap_weights(df, ["fold"], "case_id", 15, size=64).select("case_id", "replicate", "w").toPandas()
+    want = {h[0]: [] for h in HYPOTHESES}
+    for _, rows in drawn.groupby("replicate"):
+        sample = pdf.set_index("case_id").loc[np.repeat(rows.case_id, rows.w)]
+        for label, *h in HYPOTHESES:
+            want[label].append(partial(sample, *h))
+    monkeypatch.setattr(ranks, "materialize", counted)
+    monkeypatch.setattr(ordered, "materialize", counted)
+    got = ranks.bootstrap_partial_spearman(df, HYPOTHESES, ["fold"], replicates=15, block_rows=0).toPandas().set_index("label")
+    for label, v in want.items():
+        assert len(v) == 15 and np.allclose(got.loc[label, ["ci_low", "ci_high"]].to_numpy(float), np.quantile(v, [0.025, 0.975]))
+    vectors = 3 * len(pdf) * sum(2 + len(h[3]) for h in HYPOTHESES)  # at most one for each case, variable and block of replicates
+    assert max(stored_rows.values()) <= vectors  # the rows were 15 times as many before
+
+
 def test_a_task_holds_one_replicate_at_a_time(cases):
     rng = np.random.default_rng(3)
     x = {c: cases[c].to_numpy(float) for c in ("size", "ratio", "noise", "score")}
