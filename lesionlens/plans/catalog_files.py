@@ -10,7 +10,7 @@ from lesionlens.operators.lookup import with_scalars
 from lesionlens.plans import analyses
 from lesionlens.plans.check_sql import fx, with_
 from lesionlens.plans.fixtures import fixture, table
-from lesionlens.session import scratch
+from lesionlens.session import materialize, scratch
 from lesionlens.sources import readers, writers
 
 
@@ -94,15 +94,16 @@ def snapshot_inputs(spark, sf) -> DataFrame:
 
 def voxel_scan(spark, sf) -> DataFrame:
     """Voxel tables by fold, scanned by the reader with the cases and shapes they are declared with."""
-    vox = fixture(spark, sf, "voxels").withColumn("case_id", F.col("case_id").cast("string"))
+    # each is read several times: the voxels are derived once, what the reader aligned is aligned once
+    vox = materialize(fixture(spark, sf, "voxels").withColumn("case_id", F.col("case_id").cast("string")), "voxels")
     root, axes = scratch(spark, "volumes"), ["case_id", "z", "y", "x"]
     parts = {"prob": vox.select("fold", *axes, "p_wt", "p_tc", "p_et"), "label": vox.select("fold", *axes, F.col("ref_lab").alias("lab")),
              "export": vox.select("fold", *axes, F.col("export_lab").alias("lab"))}
     for name, df in parts.items():
-        df.repartition("fold", "z").write.partitionBy("fold").parquet(f"{root}/{name}")
-    cases = vox.select("case_id", "fold").distinct()
+        df.write.partitionBy("fold").parquet(f"{root}/{name}")
+    cases = materialize(vox.select("case_id", "fold").distinct(), "cases")
     shapes = cases.select("case_id", *[F.lit(20).alias(f"dim_{a}") for a in "zyx"])
-    read = readers.read_voxels(spark, *[f"{root}/{n}" for n in parts], shapes=shapes, cases=cases)
+    read = materialize(readers.read_voxels(spark, *[f"{root}/{n}" for n in parts], shapes=shapes, cases=cases), "aligned")
     outside = guards.shape_guard(read, shapes, ["case_id"]).agg(F.count(F.lit(1)).alias("n_outside"))
     lab = lambda c, v: F.count_if(F.col(c) == v)
     return with_scalars(read.groupBy("fold").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lesionlens.functions.scalars import float_gt
 from lesionlens.operators import binning, components, ensemble, guards, inventory, lookup as lk, ordered
 from lesionlens.plans import analyses
+from lesionlens.session import materialize
 from lesionlens.sources import readers, writers
 
 EYE = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
@@ -135,6 +136,16 @@ def test_score_scan_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "doc")).first()["stats"]["n"] == 2
 
 
+def test_voxel_scan_derives_and_aligns_once(spark, monkeypatch):
+    from lesionlens.plans import catalog_files
+
+    stored = []
+    monkeypatch.setattr(catalog_files, "materialize", lambda df, name: stored.append(name) or materialize(df, name))
+    out = catalog_files.voxel_scan(spark, "/root/testdata/sf0.001")
+    assert stored == ["voxels", "cases", "aligned"]
+    assert all("/aligned-" in f for f in out.inputFiles()), "the sources were aligned again for each use"
+
+
 def test_voxel_scan_aligns_sources(spark, tmp_path):
     prob = spark.createDataFrame([("a", 0, 0, 0, 0, 0.9, 0.8, 0.7)], readers.PROBABILITY_SCHEMA)
     lab = spark.createDataFrame([("a", 0, 0, 0, 3), ("a", 1, 1, 1, 2)], readers.LABEL_SCHEMA)
