@@ -37,7 +37,8 @@ def lookup(
         return null_safe_join(left, F.broadcast(right), keys, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(salted, copies, [*keys, "_salt"], how).drop("_salt")
+    # the planner sees the size of the stored files, not that of all copies, and would broadcast them
+    return null_safe_join(salted, copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

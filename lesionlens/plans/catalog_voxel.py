@@ -270,7 +270,7 @@ def tta_mean(spark, sf):
 
 
 def masked_zscore(spark, sf):
-    df = fixture(spark, sf, "image")
+    df = materialize(fixture(spark, sf, "image"), "image")  # read for the moments and again for the voxels
     out = ensemble.masked_zscore(df, ["case_id", "channel"], "intensity", F.col("inside") == 1)
     return out.select("case_id", "channel", "z", "y", "x", F.round("z_score", 6).alias("z_score"))
 

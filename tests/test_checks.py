@@ -136,6 +136,14 @@ def test_score_scan_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "doc")).first()["stats"]["n"] == 2
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_salted_lookup_broadcasts_no_copies(spark, how):
+    left, right = spark.range(100).selectExpr("id % 7 k", "id x"), spark.range(5).selectExpr("id k", "id * 2 v")
+    out = lk.lookup(left, right, ["k"], ["x"], how, limit=1)
+    assert out.count() == (100 if how == "left" else 72)
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
 def test_voxel_scan_derives_and_aligns_once(spark, monkeypatch):
     from lesionlens.plans import catalog_files
 
