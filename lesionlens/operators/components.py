@@ -121,7 +121,8 @@ def whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str], nulls: bool
 class Fragments:
     """Tile-local pieces of components.
 
-    ``voxels``: input rows plus ``frag``, an array with one piece id per mask (-1 outside the mask).
+    ``voxels``: input rows plus ``frag``, an array with one piece id per mask (-1 outside the mask), and on request ``sizes``, an array with the
+    voxels of the piece at its first voxel and 0 elsewhere.
     ``merged``: (keys, mask, frag, comp) for the pieces that continue in another tile, or None.
     """
 
@@ -148,9 +149,9 @@ class Fragments:
 
 def label_fragments(
     vox: DataFrame, keys: list[str], bits: str, n_masks: int, payload: list[str] = (), tile: int = TILE,
-    max_rounds: int = 50,
+    max_rounds: int = 50, sizes: bool = False,
 ) -> Fragments:
-    """Label all masks of ``bits`` inside tiles and find which pieces belong together.
+    """Label all masks of ``bits`` inside tiles and find which pieces belong together; ``sizes`` are counted where the tile is at hand.
 
     ``vox`` has one row per (keys, z, y, x) with axes >= 0 and no missing key. Component ids are the smallest voxel code of
     a component, hence independent of row order, partitioning and tile size.
@@ -165,7 +166,8 @@ def label_fragments(
     # every level of nesting is sorted, so the tiles of a partition arrive one after the other
     rows = rows.repartition(*tile_keys).sortWithinPartitions(*tile_keys, *AXES)
     schema = T.StructType(
-        [f for f in rows.drop(*tiles).schema.fields] + [T.StructField("frag", T.ArrayType(T.LongType()))]
+        [f for f in rows.drop(*tiles).schema.fields]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("frag", *(["sizes"] if sizes else []))]
     )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +177,11 @@ def label_fragments(
             code = (zyx[:, 0] << 2 * AXIS_BITS) | (zyx[:, 1] << AXIS_BITS) | zyx[:, 2]
             frag = np.where(first >= 0, code[first], -1)
             offsets = np.arange(0, frag.size + 1, n_masks, dtype=np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(frag.ravel()))
-            out = table.drop_columns(tiles).append_column("frag", arrays)
+            listed = lambda a: pa.ListArray.from_arrays(pa.array(offsets), pa.array(a.ravel()))
+            out = table.drop_columns(tiles).append_column("frag", listed(frag))
+            if sizes:
+                counts = [np.bincount(of[of >= 0], minlength=len(first)) for of in first.T]
+                out = out.append_column("sizes", listed(np.ascontiguousarray(np.stack(counts, axis=1), dtype=np.int64)))
             yield from out.combine_chunks().to_batches()
 
     labelled = materialize(rows.mapInArrow(kernel, schema), "fragments")

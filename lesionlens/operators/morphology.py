@@ -24,12 +24,15 @@ def morphology(
     """
     measures = shape_measures(vox, keys, masks)
     packed = vox.withColumn("_m", pack_bits(list(masks.values())))
-    frags = label_fragments(packed, keys, "_m", len(masks), tile=tile)
+    frags = label_fragments(packed, keys, "_m", len(masks), tile=tile, sizes=True)
+    # pieces are nearly as many as voxels where these are scattered: none is grouped unless it may continue in another tile
     pieces = (
-        frags.voxels.select(*keys, F.posexplode("frag").alias("mask", "frag"))
-        .where("frag >= 0").groupBy(*keys, "mask", "frag").agg(F.count(F.lit(1)).alias("size"))
+        frags.voxels.select(*keys, F.posexplode(F.arrays_zip("frag", "sizes")).alias("mask", "_piece"))
+        .select(*keys, "mask", F.col("_piece.frag").alias("frag"), F.col("_piece.sizes").alias("size")).where("size > 0")
     )
-    comps = frags.resolve(pieces).groupBy(*keys, "mask", "comp").agg(F.sum("size").alias("size"))
+    comps = frags.resolve(pieces)
+    if frags.merged is not None:
+        comps = comps.groupBy(*keys, "mask", "comp").agg(F.sum("size").alias("size"))
     names = F.array(*[F.lit(n) for n in masks])
     stats = (
         comps.groupBy(*keys, "mask")

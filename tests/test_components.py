@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brute import components as flood, lesions
 from lesionlens.operators.components import (
-    component_stats, connected_components, contract, lesion_match, min_size_filter,
+    component_stats, connected_components, contract, label_fragments, lesion_match, min_size_filter,
 )
 
 
@@ -42,6 +42,15 @@ def test_components_match_flood_fill(spark, tile):
         assert {(r.z, r.y, r.x): r.comp for r in rows.itertuples()} == {tuple(map(int, k)): v for k, v in want.items()}
 
 
+@pytest.mark.parametrize("tile", [64, 4])
+def test_piece_sizes_come_with_their_first_voxel(spark, tile):
+    vox = frame(spark, {"a": volume(1), "b": volume(2)}).withColumn("_m", F.when(F.col("x") % 3 == 0, 2).otherwise(3))
+    got = label_fragments(vox, ["case_id"], "_m", 2, tile=tile, sizes=True).voxels
+    pieces = got.select("case_id", F.posexplode(F.arrays_zip("frag", "sizes")).alias("mask", "p")).select("case_id", "mask", "p.frag", "p.sizes").where("frag >= 0")
+    whole = pieces.groupBy("case_id", "mask", "frag").agg(F.count(F.lit(1)).alias("n"), F.sum("sizes").alias("s"), F.count_if(F.col("sizes") > 0).alias("k")).toPandas()
+    assert len(whole) > 10 and (whole.n == whole.s).all() and (whole.k == 1).all()
+
+
 def test_long_snake_over_many_tiles(spark):
     mask = np.zeros((3, 24, 24), bool)
     for y in range(0, 24, 2):
