@@ -65,7 +65,9 @@ def grid_per_case(
             *[F.sum(F.expr(bit(k))).alias(c) for k, c in enumerate(COUNTED[2:])],
         )
     )
-    comps = frags.resolve(pieces).groupBy(*keys, "mask", "comp").agg(*[F.sum(c).alias(c) for c in COUNTED])
+    comps = frags.resolve(pieces)
+    if frags.merged is not None:  # else a piece is a whole component
+        comps = comps.groupBy(*keys, "mask", "comp").agg(*[F.sum(c).alias(c) for c in COUNTED])
     comps = materialize(comps, "components")
 
     def per_size(c: str, m: int) -> Column:
