@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -117,13 +117,36 @@ FIXTURES = {
 }
 
 
+# Rows of these go to the task of their voxel before they are grouped: hardly any share a voxel, so that a task grouping ahead of
+# the shuffle would hold all rows of its scan split.
+CELL = (
+    "l_suppkey", "cast((l_orderkey * 31 + l_linenumber * 7) % 20 as int)", "cast((l_partkey * 17 + l_linenumber * 3) % 20 as int)",
+    "cast(cast(l_quantity as bigint) % 20 as int)",
+)
+GROUPED = {"voxels": ("lineitem", CELL), "members": ("lineitem", CELL), "image": ("lineitem", CELL)}
+GROUPED_ROWS = (500_000, 2_000_000)  # of them a task, about 350 bytes each: the first up to UNSORTED tasks, the second at most
+UNSORTED = 200  # rows for more tasks than this are held and sorted as they are sent (spark.shuffle.sort.bypassMergeThreshold)
+
+
 def tables_of(text: str) -> list[str]:
     return list(dict.fromkeys(n for _, n, _, _ in string.Formatter().parse(text) if n))
 
 
+def grouping_tasks(rows: int) -> int:
+    """Tasks that group so many rows; neither their rows nor those held for sending grow with the table."""
+    few, most = (-(-rows // n) for n in reversed(GROUPED_ROWS))
+    return max(few, min(most, UNSORTED))
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = FIXTURES[name]
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(text)})
+    tables = {t: table(spark, sf_dir, t) for t in tables_of(text)}
+    if name in GROUPED:
+        source, by = GROUPED[name]
+        tasks = grouping_tasks(tables[source].count())  # in the files' footers
+        if tasks > spark.sparkContext.defaultParallelism:
+            tables[source] = tables[source].repartition(tasks, *[F.expr(e) for e in by])
+    return spark.sql(text, **tables)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lesionlens.operators import components, ordered, surface, voxels
+from lesionlens.plans import fixtures
 from lesionlens.sources import readers
 
 
@@ -64,6 +65,27 @@ def test_hot_group_is_split_into_pieces(spark, monkeypatch):
     assert tuple(got) == (12000, 12000, 0)
 
 
+@pytest.mark.parametrize("name", sorted(fixtures.GROUPED))
+def test_voxels_meet_before_they_are_grouped(spark, tmp_path, monkeypatch, name):
+    spark.range(6000).selectExpr(
+        "id % 40 l_orderkey", "nullif(id % 30, 7) l_partkey", "nullif(id % 3, 2) l_suppkey", "cast(id % 4 as int) l_linenumber",
+        "cast(id % 50 as double) l_quantity", "id * 1.5e0 l_extendedprice", "id % 11 / 100.0e0 l_discount", "id % 9 / 100.0e0 l_tax",
+        "substr('ANR', cast(id % 3 as int) + 1, 1) l_returnflag",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = sorted(map(str, fixtures.fixture(spark, str(tmp_path), name).collect()))
+    monkeypatch.setattr(fixtures, "GROUPED_ROWS", (100, 1000))
+    got = fixtures.fixture(spark, str(tmp_path), name)
+    p = plan(got)
+    assert p.count("Exchange") == 1 and p.index("partial_") < p.index("Exchange")  # the plan begins with its last step
+    assert sorted(map(str, got.collect())) == plain and len(plain) < 6000
+    assert got.groupBy(F.spark_partition_id()).count().count() > 20
+
+
+def test_grouping_tasks_are_bounded():
+    rows = (1, 600_000, 36_000_000, 216_000_000, 2_160_000_000)
+    assert [fixtures.grouping_tasks(n) for n in rows] == [1, 2, 72, 200, 1080]
+
+
 def test_list_files_never_reads_contents(spark, tmp_path):
     (tmp_path / "a.nii.gz").write_bytes(b"abc")
     p = plan(readers.list_files(spark, str(tmp_path)))
